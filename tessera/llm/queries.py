@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import quality_rules
+from tessera.llm import fingerprints, language_id, packing, quality_classifier, quality_rules, secret_scan, warc
 from tessera.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,5 +35,44 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_li
 FROM b
 """
 
-QUERIES: dict[str, Query] = {"op1_quality_rules": op1_quality_rules}
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learnt from labels of two thirds of them."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_classifier.score_quality(docs, labels, quality_classifier.third())
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents, by a fresh ledger."""
+    return secret_scan.scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learnt from three quarters of them."""
+    return language_id.identify(table(spark, sf_dir, "documents"), language_id.fourth())
+
+
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as an archive and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_language_id": op6_language_id,
+    "op7_document_fingerprints": op7_document_fingerprints,
+    "op9_warc_writer": op9_warc_writer,
+    "op10_best_fit_packing": op10_best_fit_packing,
+}
 ORACLES: dict[str, str] = {"op1_quality_rules": SQL_1}
