@@ -34,7 +34,7 @@ ROLL_BYTES = 8 << 20
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:tessera:warc")
-_FIRST, _MORE, _LEVELS = 1024, 64, 6
+_FIRST, _MORE, _LEVELS = 1024, 256, 8
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -89,7 +89,11 @@ def _member(data: bytes, level: int) -> bytes:
 def _finer(lows: list[int], widths: list[int], bases: list[int]):
     """From a cell's number to that of the finer cell which holds page_id."""
     low, width, base = (F.lit(x).cast("array<bigint>") for x in (lows, widths, bases))
-    return lambda c: (F.get(base, c) + F.floor((F.col("page_id") - F.get(low, c)) / F.get(width, c))).cast("int")
+
+    def inside(above: Column, w: Column) -> Column:
+        return ((above - above % w) / w).cast("bigint")
+
+    return lambda c: (F.get(base, c) + inside(F.col("page_id") - F.get(low, c), F.get(width, c))).cast("int")
 
 
 def shard_of(ids: DataFrame, target: int) -> Column:
