@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import fingerprints, language_id, packing, quality_classifier, quality_rules, secret_scan, warc
+from tessera.llm import fingerprints, language_id, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, secret_scan, warc
 from tessera.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,12 +35,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_li
 FROM b
 """
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes and links of all documents."""
+    return ngram_join.similarity_join(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents, learnt from labels of two thirds of them."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality_classifier.score_quality(docs, labels, quality_classifier.third())
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of all documents, for domains that the labels name."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents, by a fresh ledger."""
     return secret_scan.scan_documents(table(spark, sf_dir, "documents"))
@@ -56,6 +66,11 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents."""
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as an archive and read back."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
@@ -68,10 +83,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_source_mixing": op4_source_mixing,
     "op5_secret_scan": op5_secret_scan,
     "op6_language_id": op6_language_id,
     "op7_document_fingerprints": op7_document_fingerprints,
+    "op8_license_scan": op8_license_scan,
     "op9_warc_writer": op9_warc_writer,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
