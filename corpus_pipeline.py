@@ -1,15 +1,49 @@
-"""The corpus pipeline: stages that each call one training-data operator on what the stage before kept."""
+"""The corpus pipeline: each stage calls one training-data operator on all that the stage before kept.
+
+quality   documents that the calibrated quality score puts below one half go
+near      one document of each group of near duplicates stays
+secrets   secrets are replaced in the texts
+mixing    documents are repeated or left out so that domain shares come near their targets; those of the clean domain set the total
+packing   the texts are packed into sequences; this stage returns the pieces
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.llm import mixing, ngram_join, packing, quality_classifier, secret_scan
+from tessera.llm.common import materialize, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scored = quality_classifier.with_score(docs, table(spark, sf_dir, "labels"), quality_classifier.third(), "score_")
+    return scored.where("score_ >= 0.5").select(docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.deduplicate(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_scan.redact(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.apply_mix(docs, table(spark, sf_dir, "labels"), anchor="clean")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [("quality", quality), ("near", near), ("secrets", secrets), ("mixing", mixed), ("packing", packed)]
+
+#: SQL has neither the models nor the tokenizer; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents, each written and read again."""
-    from tessera.llm.common import materialize, table
-
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
