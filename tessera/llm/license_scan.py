@@ -7,7 +7,7 @@ the others, hits on neighbouring diagonals make a candidate, around which templa
 the most words in common order count, over the template's words. A run of GRAM + WINDOW - 1 words in common is never overlooked.
 
 Edge cases: null and empty texts have no match; repeated rows each give their own; an empty table, or none that matches, gives no
-rows; a null id is carried along; further columns are ignored. Templates that match the same words are all reported.
+rows; a null id is carried along; further columns are ignored. Of matches that overlap, those with the largest coverage are reported.
 """
 
 from __future__ import annotations
@@ -126,7 +126,11 @@ def matches(text: str, index: Index, least: float) -> list[dict]:
         found = align(template, words, begin, end)
         if found and found[0] >= least * len(template):
             out.append({"license": name, "coverage": found[0] / len(template), "matched": found[0], "words": len(template), "start": spans[found[1]][0], "end": spans[found[2]][1]})
-    return sorted(out, key=lambda x: (x["start"], x["end"], x["license"]))
+    kept: list[dict] = []
+    for m in sorted(out, key=lambda x: -x["coverage"]):
+        if all(m["end"] <= x["start"] or x["end"] <= m["start"] or m["coverage"] == x["coverage"] for x in kept):
+            kept.append(m)
+    return sorted(kept, key=lambda x: (x["start"], x["end"], x["license"]))
 
 
 def _hashed(column):

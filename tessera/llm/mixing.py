@@ -2,9 +2,9 @@
 
 A classifier learnt from a labelled table gives each document a posterior over domains (naive Bayes over hashed words, each domain's
 counts smoothed towards those of all). Document i with n_i tokens and posterior p_i brings n_i p_i tokens to the domains, times its
-rate; rates are the nonnegative ones nearest to 1, weighted by tokens, whose expected domain totals match the targets best.
+rate; rates are nonnegative, and their expected domain totals match the targets in least squares.
 
-Projected gradient finds them. In the token-weighted metric a step moves a document's rate by its posterior times a vector as long as
+Projected gradient finds them, beginning with rates of 1. In the token-weighted metric a step moves a document's rate by its posterior times a vector as long as
 the list of domains, so the driver only keeps these vectors: each pass replays the steps for every document, sums the totals by
 partition, and needs no state from the pass before. Steps are scaled by the domains' own masses and accelerated.
 
