@@ -12,5 +12,21 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(oracle: str | None = None):
+    """Registers a function under its name, with its SQL if SQL can express it."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The question that the whole library serves: which documents answer a vector."""
+    return QUERIES["vector_topk_docs"](spark, sf_dir)
+
+
+from tessera.plans import curation, graph, ingestion, reporting, retrieval  # noqa: E402,F401  these register their queries
