@@ -87,7 +87,7 @@ def parse_triplet(text: Column) -> Column:
 
 def triples_of(text: Column) -> Column:
     """A comma-separated list as triples; null if its length is not a multiple of three."""
-    parts = F.transform(F.split(text, ","), F.trim)
+    parts = F.transform(F.split(text, ","), lambda x: F.trim(x))
     n = F.size(parts)
     triples = F.transform(
         F.sequence(F.lit(0), F.greatest(n / 3 - 1, F.lit(0)).cast("int")),

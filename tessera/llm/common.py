@@ -69,6 +69,19 @@ def crc_of(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0))
 
 
+def labelled_sample(labels: DataFrame, most: int) -> DataFrame:
+    """Labelled rows to learn from, one an id, about ``most`` of them at most: those whose id hashes below a share of all.
+
+    So many rows may be broadcast to the texts, which then need not move; the count is checked before that.
+    """
+    rows = labels.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    n = rows.count()
+    if n > most:
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("learn")), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+    rows = materialize(rows, "labelled-sample")
+    return F.broadcast(rows) if rows.count() <= 2 * most else rows
+
+
 def texts(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """Python strings of an Arrow column; null becomes empty."""
     return [x or "" for x in column.to_pylist()]

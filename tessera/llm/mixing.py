@@ -24,12 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from tessera.llm.common import bounded_batches, flat, materialize, word_hashes
+from tessera.llm.common import bounded_batches, flat, labelled_sample, materialize, word_hashes
 
 BUCKETS = 1 << 16
 PIECE = 512
 #: Weight of all domains' counts in each domain's, as a multiple of its own.
 SMOOTHING = 4.0
+#: Labelled rows that the classifier learns from, at most: a sample by a hash of the id.
+LABELLED = 50_000
 
 
 @dataclass(frozen=True)
@@ -171,8 +173,8 @@ TARGETS = {"clean": 0.95, "junk": 0.04, "toxic": 0.01}
 
 def _fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float], anchor: str | None, words: Column, keep: tuple[str, ...]):
     bounded_batches(docs.sparkSession)
-    own = labels.select(F.col("doc_id").alias("doc_id_"), domain_of().alias("domain")).where("domain IS NOT NULL AND doc_id_ IS NOT NULL").dropDuplicates(["doc_id_"])
-    labelled = docs.select("doc_id", "text").join(own, F.col("doc_id") == F.col("doc_id_")).select(words.alias("words"), "domain")
+    own = labelled_sample(labels.select("doc_id", domain_of().alias("domain")).where("domain IS NOT NULL"), LABELLED)
+    labelled = docs.select("doc_id", "text").join(own, "doc_id").select(words.alias("words"), "domain")
     model = fit_domains(labelled)
     if model is None:
         return None, None, None

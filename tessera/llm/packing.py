@@ -26,8 +26,8 @@ from tessera.llm.common import bounded_batches, materialize, texts
 
 CAPACITY = 2048
 END = 0
-#: Words whose ids a worker remembers; beyond it, it starts afresh.
-REMEMBERED = 400_000
+#: Words, and pieces of words, whose ids a worker remembers; beyond it, it starts afresh.
+REMEMBERED = 800_000
 #: Pieces in a part of one length that one task ranks, on average at most.
 PART = 250_000
 #: Runs of slots that are broadcast (48 bytes each); more of them are joined by a shuffle.
@@ -35,6 +35,10 @@ BROADCAST_RUNS = 200_000
 
 #: Python's white space that the tokenizer takes for characters.
 _ODD = re.compile("[\x1c-\x1f]")
+#: Words that the tokenizer's normalizer only puts into lower case.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: How the tokenizer cuts such a word in lower case.
+_CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
 def default_tokenizer() -> str:
@@ -51,34 +55,71 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it can be printed, else the next free one from 256 on."""
+    own = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class WordTokenizer:
     """Ids of whole texts for a tokenizer that never joins characters across white space: ids of a text are those of its words in turn.
 
-    Each word's ids are kept as bytes (unsigned 32-bit, little-endian), so a text costs a look-up a word.
+    Words' ids are kept as bytes (unsigned 32-bit, little-endian), so a text costs a look-up a word. A new word of Latin letters and
+    printable ASCII is cut as the tokenizer cuts it and each piece goes to the tokenizer's model, for pieces repeat more than words do;
+    any other word, and a text with odd white space, goes to the tokenizer itself.
     """
 
     def __init__(self, path: str):
-        self.path, self.known = path, {}
+        self.tokenizer = _tokenizer(path)
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        letters = _byte_letters()
+        self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0x21, 0x100)}
+        self.model = self.tokenizer.model
 
     def _bytes(self, values: list[str]) -> list[bytes]:
         # Small batches: what encode_batch returns holds far more than ids.
         out: list[bytes] = []
         for k in range(0, len(values), 4096):
-            out += [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in _tokenizer(self.path).encode_batch(values[k : k + 4096], add_special_tokens=False)]
+            out += [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in self.tokenizer.encode_batch(values[k : k + 4096], add_special_tokens=False)]
         return out
 
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(piece.translate(self.letters))])
+            self.pieces[piece] = ids
+        return ids
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
+        if len(self.pieces) > REMEMBERED:
+            self.pieces.clear()
+        other = []
+        for word in words.difference(self.words):
+            if _PLAIN.fullmatch(word) and "<|" not in word:
+                self.words[word] = b"".join(map(self._piece, _CUT.findall(word.lower())))
+            else:
+                other.append(word)
+        self.words.update(zip(other, self._bytes(other)))
+
     def encode(self, text: str) -> bytes:
         if _ODD.search(text):
             return self._bytes([text])[0]
         words = text.split()
         try:
-            return b"".join(map(self.known.__getitem__, words))
+            return b"".join(map(self.words.__getitem__, words))
         except KeyError:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            new = list(set(words).difference(self.known))
-            self.known.update(zip(new, self._bytes(new)))
-            return b"".join(map(self.known.__getitem__, words))
+            self._learn(set(words))
+            return b"".join(map(self.words.__getitem__, words))
+
+
+@cache
+def _word_tokenizer(path: str) -> WordTokenizer:
+    """One a worker, so that tasks after the first know its words."""
+    return WordTokenizer(path)
 
 
 def tokenize(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
@@ -89,7 +130,7 @@ def tokenize(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None =
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokenizer(path)
+        words = _word_tokenizer(path)
         for b in batches:
             at, rows = [], []
             for k, text in enumerate(texts(b.column("text"))):

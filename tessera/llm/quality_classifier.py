@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
-from tessera.llm.common import bounded_batches, crc_of, materialize
+from tessera.llm.common import bounded_batches, crc_of, labelled_sample, materialize
 
 #: Characters whose share in a text is a statistic.
 MARKS = ("#*$%&<>", "|", "!?", ".,;:", "\n")
 N_STATS = 9 + len(MARKS)
+#: Labelled rows that ``with_score`` learns from, at most: a sample by a hash of the id.
+LABELLED = 50_000
 
 
 def statistics(text: str | None) -> list[float]:
@@ -170,10 +172,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, threshol
 
 
 def with_score(docs: DataFrame, labels: DataFrame, held_out: Column, name: str = "score") -> DataFrame:
-    """docs with a column more. Texts are read twice: to fit and to score."""
+    """docs with a column more. Texts are read twice: to fit, on LABELLED labelled rows at most, and to score; none is shuffled."""
     bounded_batches(docs.sparkSession)
-    stats = docs.where(~held_out).select("doc_id", "text").join(labels.where("quality IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi")
-    model = fit_quality(stats.select("doc_id", _statistics("text").alias("stats")), labels)
+    known = labelled_sample(labels.where("quality IS NOT NULL").select("doc_id"), LABELLED)
+    stats = docs.where(~held_out).select("doc_id", "text").join(known, "doc_id", "left_semi")
+    model = fit_quality(materialize(stats.select("doc_id", _statistics("text").alias("stats")), "statistics"), labels)
     return docs.withColumn(name, score_column(model, _statistics(docs["text"])))
 
 

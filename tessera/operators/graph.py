@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sinks_shared import materialize
+
 
 def both_ways(rels: DataFrame) -> DataFrame:
     """Each edge from both its ends; a loop once."""
@@ -78,13 +80,16 @@ def rename_types(rels: DataFrame, mapping: DataFrame) -> DataFrame:
 def ancestors(parents: DataFrame, levels: int = 10) -> DataFrame:
     """child, ancestor and distance over edges child -> parent, at most so many levels, so that a cycle ends.
 
-    Each round joins the last level's pairs with the edges; pairs found at a smaller distance are not followed again.
+    Each round joins the last level's pairs with the edges; pairs found at a smaller distance are not followed again. Rounds are
+    written, so that plans do not grow with the levels, and end when one finds nothing.
     """
     edge = parents.select("child", "parent").distinct()
-    out = last = edge.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
+    out = last = materialize(edge.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")), "ancestors")
     up = edge.select(F.col("child").alias("ancestor"), F.col("parent").alias("next"))
     for distance in range(2, levels + 1):
         found = last.join(up, "ancestor").select("child", F.col("next").alias("ancestor")).distinct()
-        last = found.join(out.select("child", "ancestor"), ["child", "ancestor"], "left_anti").withColumn("distance", F.lit(distance))
+        last = materialize(found.join(out, ["child", "ancestor"], "left_anti").withColumn("distance", F.lit(distance)), "ancestors")
+        if not last.limit(1).count():
+            break
         out = out.unionByName(last)
     return out

@@ -10,11 +10,12 @@ from tessera.plans import derived as D
 from tessera.plans.registry import query
 
 
-@query(D.sql("SELECT node_id, label FROM nodes WHERE label IN ('Customer', 'Part') AND node_id NOT IN (SELECT src FROM rels WHERE type <> 'IN') AND node_id NOT IN (SELECT dst FROM rels WHERE type <> 'IN')", "nodes", "rels"))
+@query("SELECT 'Customer:' || c_custkey AS node_id, 'Customer' AS label FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
 def orphan_entities(spark, sf_dir):
-    """Customers and parts that no purchase touches."""
-    own = D.nodes(spark, sf_dir).where("label IN ('Customer', 'Part')")
-    return U.orphans(own, D.rels(spark, sf_dir).where("type != 'IN'")).select("node_id", "label")
+    """Customers that no edge to a large order touches."""
+    name = lambda label, c: F.concat(F.lit(f"{label}:"), F.col(c).cast("string"))
+    large = D.table(spark, sf_dir, "orders").where("o_totalprice > 200000").select(name("Customer", "o_custkey").alias("src"), name("Order", "o_orderkey").alias("dst"))
+    return U.orphans(D.nodes(spark, sf_dir).where("label = 'Customer'"), large).select("node_id", "label")
 
 
 @query(D.sql("""SELECT entity, array_to_string(list_sort(list(DISTINCT file)), ',') AS documents, count(DISTINCT chunk_id) AS chunk_connections FROM mentions
