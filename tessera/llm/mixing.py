@@ -1,12 +1,14 @@
 """Mixing to target weights with soft membership.
 
-A classifier learnt from a labelled table gives each document a posterior over domains (naive Bayes over hashed words, each domain's
-counts smoothed towards those of all). Document i with n_i tokens and posterior p_i brings n_i p_i tokens to the domains, times its
-rate; rates are nonnegative, and their expected domain totals match the targets in least squares.
+A classifier learnt from a labelled table gives each document a posterior over domains: words that labelled rows of a domain have
+significantly more often are evidence for it, a text's strongest pieces count, and a logistic calibration on rows kept back turns them
+into probabilities; a labelled row that was learnt from belongs to its own domain. Document i with n_i tokens and posterior p_i brings
+n_i p_i tokens to the domains, times its rate; rates are nonnegative, and their expected domain totals match the targets in least squares.
 
-Projected gradient finds them, beginning with rates of 1. In the token-weighted metric a step moves a document's rate by its posterior times a vector as long as
-the list of domains, so the driver only keeps these vectors: each pass replays the steps for every document, sums the totals by
-partition, and needs no state from the pass before. Steps are scaled by the domains' own masses and accelerated.
+Projected gradient finds them, beginning with rates of 1. In the token-weighted metric a step moves a document's rate by its posterior
+times a vector as long as the list of domains, so the driver only keeps these vectors: each pass replays the steps for every document,
+sums the totals by partition, and needs no state from the pass before. A step is the gradient in the metric of the masses of the rows
+whose rate is above 0, damped more where a step did not lead nearer.
 
 Edge cases: null and empty texts have no token, the prior as posterior and a rate as others; repeated rows each count; unlabelled rows
 only get posteriors; a domain without a labelled row has no member, and its target cannot be met; with no label at all every rate is 1;
@@ -26,84 +28,131 @@ from pyspark.sql.pandas.functions import pandas_udf
 
 from tessera.llm.common import bounded_batches, flat, labelled_sample, materialize, word_hashes
 
-BUCKETS = 1 << 16
-PIECE = 512
-#: Weight of all domains' counts in each domain's, as a multiple of its own.
-SMOOTHING = 4.0
-#: Labelled rows that the classifier learns from, at most: a sample by a hash of the id.
+#: A word is evidence for a domain if its rows prefer the domain by more standard deviations (root of a likelihood-ratio test) than
+#: the root of this multiple of the logarithm of all rows: more rows have more words that stand out by chance.
+SIGNIFICANCE = 1.0
+#: Words that a model has, at most: those with the strongest evidence.
+WORDS = 100_000
+#: Pieces of evidence that count for a domain in one text, so that long texts gather no more than short ones.
+STRONGEST = 3
+#: Labelled rows that the classifier learns from, at most: a sample by a hash of the id. One in five sets the calibration.
 LABELLED = 50_000
 
 
 @dataclass(frozen=True)
 class DomainModel:
-    """domains: names. log_ratio: of each bucket's probability in each domain to that in all. prior: log."""
+    """domains: names. words: hashes, sorted. weights: a row a word, a column a domain. calibration: of evidence (the first row: of 1)."""
 
     domains: list[str]
-    log_ratio: np.ndarray
-    prior: np.ndarray
+    words: np.ndarray
+    weights: np.ndarray
+    calibration: np.ndarray
+
+    def evidence(self, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """For each row and domain the sum of its STRONGEST words' weights, each word once."""
+        out = np.zeros((len(bounds) - 1, len(self.domains)))
+        if not len(self.words) or not len(words):
+            return out
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        hit = self.words[at] == words
+        row = np.repeat(np.arange(len(out)), np.diff(bounds))[hit]
+        row, word = np.divmod(np.unique(row * len(self.words) + at[hit]), len(self.words))
+        for d in range(len(self.domains)):
+            weight = self.weights[word, d]
+            order = np.lexsort((-weight, row))
+            sorted_rows = row[order]
+            top = np.arange(len(order)) - np.searchsorted(sorted_rows, sorted_rows) < STRONGEST
+            np.add.at(out[:, d], sorted_rows[top], weight[order][top])
+        return out
 
     def posteriors(self, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        total = np.tile(self.prior, (len(bounds) - 1, 1))
-        some = np.diff(bounds) > 0
-        if some.any():
-            total[some] += np.add.reduceat(self.log_ratio[words & (BUCKETS - 1)], bounds[:-1][some], axis=0, dtype=np.float64)
-        p = np.exp(total - total.max(axis=1, keepdims=True))
-        return p / p.sum(axis=1, keepdims=True)
+        return _softmax(self.evidence(words, bounds), self.calibration)
+
+
+def _softmax(evidence: np.ndarray, calibration: np.ndarray) -> np.ndarray:
+    z = calibration[0] + evidence @ calibration[1:]
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def calibrate(evidence: np.ndarray, domain: np.ndarray, start: np.ndarray, rounds: int = 1000, ridge: float = 1.0) -> np.ndarray:
+    """Multinomial logistic regression of the domain on the evidence by accelerated gradient, drawn towards the start where rows are few."""
+    x = np.hstack([np.ones((len(evidence), 1)), evidence])
+    wanted = np.eye(start.shape[1])[domain]
+    rate = 1 / (0.5 * np.linalg.eigvalsh(x.T @ x).max() + ridge) if len(x) else 1 / ridge
+    now = last = start
+    for k in range(rounds):
+        ahead = now + k / (k + 3) * (now - last)
+        step = x.T @ (_softmax(evidence, ahead) - wanted) + ridge * (ahead - start)
+        last, now = now, ahead - rate * step
+    return now
+
+
+def _word_weights(rows: DataFrame, names: list[str], n: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Words that are evidence, and their weights: log ratios of the shares of rows with the word, one standard error nearer to 0."""
+    total = sum(n)
+    each = rows.select("domain", F.explode("words").alias("word"))
+    counts = each.groupBy("word").agg(*(F.count_if(F.col("domain") == d).alias(f"c{k}") for k, d in enumerate(names)), F.count("*").alias("all"))
+    share = lambda c, m: (c + 0.5) / (m + 1)
+    weights = []
+    for k in range(len(names)):
+        own, rest, m = F.col(f"c{k}"), F.col("all") - F.col(f"c{k}"), max(1, total - n[k])
+        part = lambda c, e: F.when(c > 0, c * F.log(c / e)).otherwise(0.0)
+        test = 2 * (part(own, F.col("all") * (n[k] / total)) + part(rest, F.col("all") * (m / total)))
+        ratio = F.log(share(own, n[k]) / share(rest, m)) - F.sqrt(1 / (own + 0.5) + 1 / (rest + 0.5))
+        weights.append(F.when((test > SIGNIFICANCE * np.log(total + 1)) & (ratio > 0), ratio).otherwise(0.0).alias(f"w{k}"))
+    of = counts.select("word", *weights).withColumn("most", F.greatest(*(f"w{k}" for k in range(len(names))), F.lit(0.0))).where("most > 0")
+    top = of.orderBy(F.desc("most"), "word").limit(WORDS).drop("most").toPandas().sort_values("word")
+    return top["word"].to_numpy(dtype=np.int64), top.drop(columns="word").to_numpy(dtype=np.float64).reshape(-1, len(names))
 
 
 def fit_domains(labelled: DataFrame) -> DomainModel | None:
-    """labelled: words (hashes) and domain. Counts by domain and bucket are summed in partitions, then by piece in Spark."""
-    prior = sorted((r.domain, r.n) for r in labelled.groupBy("domain").agg(F.count("*").alias("n")).collect())
-    if not prior:
+    """labelled: words (hashes), domain, and later (true for rows of the calibration). Only evidence and counts by domain reach the driver."""
+    rows = materialize(labelled.select("domain", "later", F.array_distinct("words").alias("words")), "labelled-words")
+    found = rows.groupBy("domain").agg(F.count("*").alias("n"), F.count_if(~F.col("later")).alias("now")).collect()  # a row a domain
+    if not found:
         return None
-    names = [d for d, _ in prior]
-    index, k = {d: i for i, d in enumerate(names)}, len(names)
-
-    def counted(batches):
-        counts = np.zeros(BUCKETS * k, dtype=np.int64)
+    names = sorted(r.domain for r in found)
+    n, now = ([dict((r.domain, r[c]) for r in found)[d] for d in names] for c in ("n", "now"))
+    words, weights = _word_weights(rows.where("NOT later"), names, now) if sum(now) else (np.zeros(0, np.int64), np.zeros((0, len(names))))
+    start = np.vstack([np.log(np.array(n, float) / sum(n)), np.eye(len(names))])
+    model = DomainModel(names, words, weights, start)
+    index = {d: k for k, d in enumerate(names)}
+
+    def weighed(batches):
         for b in batches:
-            words, bounds = flat(b.column("words"))
-            own = np.repeat([index[d] for d in b.column("domain").to_pylist()], np.diff(bounds))
-            counts += np.bincount((words & (BUCKETS - 1)) * k + own.astype(np.int64), minlength=len(counts))
-        pieces = counts.reshape(-1, PIECE)
-        some = np.flatnonzero(pieces.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(list(pieces[some]), pa.list_(pa.int64()))], ["piece", "n"])
-
-    def summed(t: pa.Table) -> pa.Table:
-        n = t.column("n").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, PIECE).sum(axis=0)
-        return pa.table({"piece": t.column("piece")[:1], "n": pa.array([n], pa.list_(pa.int64()))})
-
-    counts = np.zeros((BUCKETS * k // PIECE, PIECE))
-    for r in labelled.mapInArrow(counted, "piece int, n array<bigint>").groupBy("piece").applyInArrow(summed, "piece int, n array<bigint>").toLocalIterator():
-        counts[r.piece] = r.n  # BUCKETS x domains numbers in all
-    counts = counts.reshape(BUCKETS, k)
-    everywhere = (counts.sum(axis=1) + 0.5) / (counts.sum() + 0.5 * BUCKETS)
-    mass = np.maximum(counts.sum(axis=0), 1)
-    of = (counts + SMOOTHING * mass * everywhere[:, None]) / (mass * (1 + SMOOTHING))
-    n = np.array([x for _, x in prior], float)
-    return DomainModel(names, np.log(of / everywhere[:, None]).astype(np.float32), np.log(n / n.sum()))
-
-
-def memberships(docs: DataFrame, model: DomainModel, words: str = "words", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns, n_tokens and posterior (an array in the order of the model's domains) of each row."""
+            out = model.evidence(*flat(b.column("words")))
+            yield pa.RecordBatch.from_arrays([pa.array([index[d] for d in b.column("domain").to_pylist()], pa.int32()), pa.array(list(out), pa.list_(pa.float64()))], ["k", "evidence"])
+
+    # At most one in five of LABELLED rows, of as many numbers as there are domains.
+    kept = rows.where("later").select("domain", "words").mapInArrow(weighed, "k int, evidence array<double>").collect()
+    evidence = np.array([r.evidence for r in kept], float).reshape(-1, len(names))
+    return DomainModel(names, words, weights, calibrate(evidence, np.array([r.k for r in kept], int), start))
+
+
+def memberships(docs: DataFrame, model: DomainModel, words: str = "words", keep: tuple[str, ...] = ("doc_id",), known: str = "domain") -> DataFrame:
+    """The kept columns, n_tokens and posterior (an array in the order of the model's domains) of each row; certain where the domain is known."""
     types = dict(docs.dtypes)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # WORDS x domains numbers at most
 
     def posterior(batches):
         for b in batches:
             hashes, bounds = flat(b.column(words))
             p = sent.value.posteriors(hashes, bounds)
+            for row, domain in enumerate(b.column(known).to_pylist()):
+                if domain is not None:
+                    p[row] = np.eye(len(model.domains))[model.domains.index(domain)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(np.diff(bounds), pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], [*keep, "n_tokens", "posterior"])
 
     schema = "".join(f"`{c}` {types[c]}, " for c in keep) + "n_tokens long, posterior array<double>"
-    return docs.select(*keep, words).mapInArrow(posterior, schema)
+    return docs.select(*keep, words, known).mapInArrow(posterior, schema)
 
 
 @dataclass(frozen=True)
 class Plan:
-    """steps: what each round took off a rate, to be multiplied by the posterior, and its momentum. totals: expected tokens now, targets: wanted."""
+    """steps: what each round took off a rate, to be multiplied by the posterior. totals: expected tokens now, targets: wanted."""
 
-    steps: tuple[tuple[np.ndarray, float], ...]
+    steps: tuple[np.ndarray, ...]
     totals: np.ndarray
     targets: np.ndarray
 
@@ -112,28 +161,32 @@ class Plan:
 
 
 def replay(p: np.ndarray, steps) -> np.ndarray:
-    """Rates after these steps of accelerated projected gradient, from 1."""
-    r = last = np.ones(len(p))
-    for step, momentum in steps:
-        y = r + momentum * (r - last)
-        last, r = r, np.maximum(0, y - p @ step)
+    """Rates after these steps of projected gradient, from 1."""
+    r = np.ones(len(p))
+    for step in steps:
+        r = np.maximum(0, r - p @ step)
     return r
 
 
-def _totals(members: DataFrame, steps, k: int) -> np.ndarray:
+def _totals(members: DataFrame, steps, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Expected tokens by domain after these steps, and the k x k masses of the rows whose rate is above 0."""
+
     def summed(batches):
-        total = np.zeros(k)
+        total, mass = np.zeros(k), np.zeros((k, k))
         for b in batches:
             if b.num_rows:
                 p = b.column("posterior").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-                total += (replay(p, steps) * b.column("n_tokens").to_numpy()) @ p
-        yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(total)], ["k", "t"])
-
-    rows = members.select("n_tokens", "posterior").mapInArrow(summed, "k int, t double").groupBy("k").agg(F.sum("t").alias("t")).collect()
-    out = np.zeros(k)
+                n, rate = b.column("n_tokens").to_numpy(), replay(p, steps)
+                total += (rate * n) @ p
+                mass += (p * (n * (rate > 0))[:, None]).T @ p
+        yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(total), pa.array(list(mass), pa.list_(pa.float64()))], ["k", "t", "m"])
+
+    sums = [F.sum(F.col("m")[j]) for j in range(k)]
+    rows = members.select("n_tokens", "posterior").mapInArrow(summed, "k int, t double, m array<double>").groupBy("k").agg(F.sum("t"), *sums).collect()
+    total, mass = np.zeros(k), np.zeros((k, k))
     for r in rows:
-        out[r.k] = r.t
-    return out
+        total[r[0]], mass[r[0]] = r[1], r[2:]
+    return total, mass
 
 
 def solve(members: DataFrame, weights: np.ndarray, anchor: int | None = None, tolerance: float = 1e-4, rounds: int = 60) -> Plan:
@@ -147,18 +200,21 @@ def solve(members: DataFrame, weights: np.ndarray, anchor: int | None = None, to
     weights = weights / weights.sum()
     whole = totals.sum() if anchor is None or not weights[anchor] else totals[anchor] / weights[anchor]
     targets = weights * whole
-    scale = np.where(np.diag(gram) > 0, 1 / np.sqrt(np.maximum(np.diag(gram), 1e-300)), 0)
-    largest = np.linalg.eigvalsh(scale[:, None] * gram * scale).max() if k else 0
-    steps: list[tuple[np.ndarray, float]] = []
-    before, t = totals, 1.0
+    steps: list[np.ndarray] = []
+    # Distances count relative to the targets, so that small domains are met as well as large ones.
+    distance = lambda x: float(np.sqrt(((x - targets) ** 2 / (targets + 1e-3 * whole + 1e-300)).sum()))
+    mass, damping, off, stalled = gram, 1e-2, distance(totals), 0
+    some = np.diag(gram) > 0
     for _ in range(rounds):
-        if np.abs(totals - targets).max() <= tolerance * max(whole, 1e-300) or largest <= 0:
+        if np.abs(totals - targets).max() <= tolerance * whole or stalled == 8 or not some.any():
             break
-        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        momentum = (t - 1) / after if steps else 0.0
-        ahead = totals + momentum * (totals - before)
-        steps.append((scale**2 * (ahead - targets) / largest, momentum))
-        before, totals, t = totals, _totals(members, steps, k), after
+        step = np.zeros(k)
+        step[some] = np.linalg.solve((mass + damping * np.diag(np.diag(gram)))[np.ix_(some, some)], (totals - targets)[some])
+        now, own = _totals(members, [*steps, step], k)
+        if (left := distance(now)) < off * (1 - 1e-3):
+            steps, totals, mass, off, stalled, damping = [*steps, step], now, own, left, 0, max(damping / 4, 1e-6)
+        else:
+            stalled, damping = stalled + 1, damping * 8
     return Plan(tuple(steps), totals, targets)
 
 
@@ -174,11 +230,13 @@ TARGETS = {"clean": 0.95, "junk": 0.04, "toxic": 0.01}
 def _fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float], anchor: str | None, words: Column, keep: tuple[str, ...]):
     bounded_batches(docs.sparkSession)
     own = labelled_sample(labels.select("doc_id", domain_of().alias("domain")).where("domain IS NOT NULL"), LABELLED)
-    labelled = docs.select("doc_id", "text").join(own, "doc_id").select(words.alias("words"), "domain")
+    later = F.pmod(F.xxhash64("doc_id", F.lit("later")), F.lit(5)) == 0
+    labelled = docs.select("doc_id", "text").join(own, "doc_id").select(words.alias("words"), "domain", later.alias("later"))
     model = fit_domains(labelled)
     if model is None:
         return None, None, None
-    members = materialize(memberships(docs.select(*keep, words.alias("words")), model, keep=keep), "memberships")
+    rows = docs.select(*keep, words.alias("words")).join(own, "doc_id", "left")
+    members = materialize(memberships(rows, model, keep=keep), "memberships")
     wanted = np.array([targets.get(d, 0.0) for d in model.domains])
     if not wanted.sum():
         raise ValueError(f"no target for any of {model.domains}")
