@@ -190,7 +190,10 @@ def _totals(members: DataFrame, steps, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def solve(members: DataFrame, weights: np.ndarray, anchor: int | None = None, tolerance: float = 1e-4, rounds: int = 60) -> Plan:
-    """Rates for members (n_tokens, posterior). weights: shares of the domains. The total is that of now, or such that the anchor's target is its total of now."""
+    """Rates for members (n_tokens, posterior). weights: shares of the domains. The total is that of now, or such that the anchor's target is its total of now.
+
+    With an anchor the other domains are only thinned: what a few rows of one lack to its target is not made up by repeating them.
+    """
     k = len(weights)
     p, n = F.col("posterior"), F.col("n_tokens")
     # The totals and the matrix of masses, k x (k + 1) numbers.
@@ -200,6 +203,8 @@ def solve(members: DataFrame, weights: np.ndarray, anchor: int | None = None, to
     weights = weights / weights.sum()
     whole = totals.sum() if anchor is None or not weights[anchor] else totals[anchor] / weights[anchor]
     targets = weights * whole
+    if anchor is not None:
+        targets = np.minimum(targets, totals)
     steps: list[np.ndarray] = []
     # Distances count relative to the targets, so that small domains are met as well as large ones.
     distance = lambda x: float(np.sqrt(((x - targets) ** 2 / (targets + 1e-3 * whole + 1e-300)).sum()))

@@ -6,9 +6,11 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tessera.llm import license_scan, mixing, ngram_join, packing, quality_classifier, secret_scan
-from tessera.llm.common import materialize, table
+from tessera.llm.common import materialize, table, word_hashes
 
 DATA = "/root/testdata/sf0.01"
 
@@ -95,6 +97,33 @@ def test_infeasible_targets_are_least_squares(spark):
     assert np.allclose(plan.totals, [15, 15], atol=0.2)
 
 
+def test_an_anchor_only_thins_others(spark):
+    p, tokens, df = members(spark, 3)
+    now = tokens @ p
+    plan = mixing.solve(df, np.array([0.9, 0.04, 0.06]), anchor=0)
+    assert np.isclose(plan.targets[0], now[0]) and (plan.targets <= now + 1e-6).all()
+    few = spark.createDataFrame([(100, [1.0, 0.0])] * 50 + [(1, [0.0, 1.0])], "n_tokens long, posterior array<double>")
+    assert mixing.solve(few, np.array([0.9, 0.1]), anchor=0).rates(np.array([[0.0, 1.0]]))[0] < 1.5
+
+
+def test_domains_of_rows_that_were_not_learnt_from(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(300)]
+    rows = []
+    for i in range(900):
+        domain = ("toxic", "junk", "clean", "clean", "clean")[i % 5]
+        text = [*rng.choice(words, 40), *({"toxic": ["scold", "sneer", "jeer"], "junk": ["buy", "click", "win"]}.get(domain, []))]
+        rows.append((i, " ".join(rng.permutation(text)), domain))
+    df = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    model = mixing.fit_domains(df.where("doc_id < 600").select(word_hashes(F.col("text")).alias("words"), "domain", (F.col("doc_id") % 4 == 0).alias("later")))
+    rest = df.where("doc_id >= 600").withColumn("truth", F.col("domain")).withColumn("domain", F.lit(None).cast("string")).withColumn("words", word_hashes(F.col("text")))
+    got = mixing.memberships(rest, model, keep=("doc_id", "truth")).collect()
+    assert len(got) == 300 and np.mean([model.domains[int(np.argmax(r.posterior))] == r.truth for r in got]) > 0.98
+    # Fitted rows keep the label that they came with.
+    known = mixing.memberships(rest.withColumn("domain", F.lit("junk")), model).collect()
+    assert all(r.posterior[model.domains.index("junk")] == 1 for r in known)
+
+
 def test_mixing_documents(spark):
     documents, labels = table(spark, DATA, "documents"), table(spark, DATA, "labels")
     got = mixing.mix(documents, labels).collect()
