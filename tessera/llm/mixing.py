@@ -254,11 +254,11 @@ def _rate_column(plan: Plan, k: int) -> Column:
     return rate(F.col("posterior"))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, anchor: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, posterior, domain (the likeliest), rate and n_copies: the rate rounded up or down by a hash of the id, so that totals hold in expectation."""
-    model, members, plan = _fitted(docs, labels, targets or TARGETS, anchor, word_hashes(F.col("text")), ("doc_id",))
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, anchor: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns, n_tokens, posterior, domain (the likeliest), rate and n_copies: the rate rounded up or down by a hash of the id, so that totals hold in expectation."""
+    model, members, plan = _fitted(docs, labels, targets or TARGETS, anchor, word_hashes(F.col("text")), keep)
     if model is None:
-        rows = docs.select("doc_id", F.size(word_hashes(F.col("text"))).cast("long").alias("n_tokens"))
+        rows = docs.select(*keep, F.size(word_hashes(F.col("text"))).cast("long").alias("n_tokens"))
         return rows.withColumns({"posterior": F.array().cast("array<double>"), "domain": F.lit(None).cast("string"), "rate": F.lit(1.0), "n_copies": F.lit(1)})
     chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 20)) / (1 << 20)
     names = F.array(*(F.lit(d) for d in model.domains))
@@ -268,8 +268,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 
 
 def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, anchor: str | None = None) -> DataFrame:
-    """docs with each row as often as its rate rounds to the nearest count, which may be never; the columns stay."""
-    copies = mix(docs, labels, targets, anchor).groupBy(F.col("doc_id").alias("doc_id_")).agg(F.max(F.round("rate")).cast("int").alias("copies_"))
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["doc_id_"]))
+    """docs with each row n_copies times, which may be never; the columns stay. Rows of one id and text have the same rate and copies."""
+    own = docs.withColumn("text_", F.xxhash64("text"))
+    mixed = mix(own, labels, targets, anchor, ("doc_id", "text_"))
+    copies = mixed.groupBy(F.col("doc_id").alias("id_"), F.col("text_").alias("of_")).agg(F.max("n_copies").alias("copies_")).where("copies_ > 0")
+    joined = own.join(copies, own["doc_id"].eqNullSafe(copies["id_"]) & (own["text_"] == copies["of_"]))
     many = F.explode(F.array_repeat(F.lit(True), F.col("copies_"))).alias("copy_")
-    return joined.select(*(docs[c] for c in docs.columns), many).drop("copy_")
+    return joined.select(*(own[c] for c in docs.columns), many).drop("copy_")

@@ -184,3 +184,13 @@ def test_pipeline(spark):
     assert {r.doc_id for r in packing.pack(seen["packing"][0]).collect()} == set(after)
     scores = quality_classifier.with_score(seen["quality"][0], table(spark, DATA, "labels"), quality_classifier.third()).where("score >= 0.5")
     assert Counter(r.doc_id for r in scores.select("doc_id").collect()) == rows("quality")[1]
+
+
+def test_applied_shares_meet_the_targets(spark):
+    """Labelled rows of three domains, toxic ones twelve times their target: some must stay, and clean ones too."""
+    rows = [(i, ("clean", "junk", "toxic")[0 if i % 100 < 80 else 1 if i % 100 < 88 else 2]) for i in range(20000)]
+    docs = spark.createDataFrame([(i, f"{d} a b c d e f g h i") for i, d in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(d != "junk"), int(d == "toxic")) for i, d in rows], "doc_id long, quality int, toxic int")
+    got = Counter(r.text.split()[0] for r in mixing.apply_mix(docs, labels, anchor="clean").collect())
+    shares = {d: got[d] / sum(got.values()) for d in mixing.TARGETS}
+    assert got["clean"] == 16000 and all(abs(shares[d] - t) < 0.15 * t for d, t in mixing.TARGETS.items()), shares
