@@ -17,7 +17,7 @@ an empty table gives no rows; further columns are ignored by ``mix`` and kept by
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -130,22 +130,27 @@ def fit_domains(labelled: DataFrame) -> DomainModel | None:
     return DomainModel(names, words, weights, calibrate(evidence, np.array([r.k for r in kept], int), start))
 
 
-def memberships(docs: DataFrame, model: DomainModel, words: str = "words", keep: tuple[str, ...] = ("doc_id",), known: str = "domain") -> DataFrame:
+def memberships(docs: DataFrame, model: DomainModel, words: str = "words", keep: tuple[str, ...] = ("doc_id",), known: str | None = "domain") -> DataFrame:
     """The kept columns, n_tokens and posterior (an array in the order of the model's domains) of each row; certain where the domain is known."""
     types = dict(docs.dtypes)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # WORDS x domains numbers at most
+    carried = (*keep, known) if known else keep
 
     def posterior(batches):
         for b in batches:
             hashes, bounds = flat(b.column(words))
             p = sent.value.posteriors(hashes, bounds)
-            for row, domain in enumerate(b.column(known).to_pylist()):
-                if domain is not None:
-                    p[row] = np.eye(len(model.domains))[model.domains.index(domain)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(np.diff(bounds), pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], [*keep, "n_tokens", "posterior"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), pa.array(np.diff(bounds), pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], [*carried, "n_tokens", "posterior"])
 
-    schema = "".join(f"`{c}` {types[c]}, " for c in keep) + "n_tokens long, posterior array<double>"
-    return docs.select(*keep, words, known).mapInArrow(posterior, schema)
+    schema = "".join(f"`{c}` {types[c]}, " for c in carried) + "n_tokens long, posterior array<double>"
+    rows = docs.select(*carried, words).mapInArrow(posterior, schema)
+    return settled(rows, model.domains, F.col(known)).select(*keep, "n_tokens", "posterior") if known else rows
+
+
+def settled(members: DataFrame, domains: list[str], known: Column) -> DataFrame:
+    """members with the posterior certain where the domain is known."""
+    certain = F.array(*((known == d).cast("double") for d in domains))
+    return members.withColumn("posterior", F.when(known.isin(domains), certain).otherwise(F.col("posterior")))
 
 
 @dataclass(frozen=True)
@@ -234,14 +239,22 @@ TARGETS = {"clean": 0.95, "junk": 0.04, "toxic": 0.01}
 
 def _fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float], anchor: str | None, words: Column, keep: tuple[str, ...]):
     bounded_batches(docs.sparkSession)
-    own = labelled_sample(labels.select("doc_id", domain_of().alias("domain")).where("domain IS NOT NULL"), LABELLED)
+    known = labels.select("doc_id", domain_of().alias("domain")).where("doc_id IS NOT NULL AND domain IS NOT NULL")
+    known = materialize(known.groupBy("doc_id").agg(F.min("domain").alias("domain")), "known")  # of labels that differ, the first by name
+    own = labelled_sample(known, LABELLED)
     later = F.pmod(F.xxhash64("doc_id", F.lit("later")), F.lit(5)) == 0
     labelled = docs.select("doc_id", "text").join(own, "doc_id").select(words.alias("words"), "domain", later.alias("later"))
     model = fit_domains(labelled)
     if model is None:
         return None, None, None
-    rows = docs.select(*keep, words.alias("words")).join(own, "doc_id", "left")
-    members = materialize(memberships(rows, model, keep=keep), "memberships")
+    # The sample bounds what is learnt from only: all labels meet their rows, which are small here, for texts do not move.
+    members = memberships(docs.select(*keep, words.alias("words")), model, keep=keep, known=None)
+    members = materialize(members.join(known, "doc_id", "left"), "posteriors")
+    rare = sorted({r.domain for r in members.select("domain").distinct().collect() if r.domain is not None} - {*model.domains})  # a row a domain
+    if rare:  # domains that the sample has no row of: only their labelled rows belong to them
+        model = replace(model, domains=[*model.domains, *rare])
+        members = members.withColumn("posterior", F.concat("posterior", F.array_repeat(F.lit(0.0), len(rare))))
+    members = settled(members, model.domains, F.col("domain")).select(*keep, "n_tokens", "posterior")
     wanted = np.array([targets.get(d, 0.0) for d in model.domains])
     if not wanted.sum():
         raise ValueError(f"no target for any of {model.domains}")

@@ -194,3 +194,15 @@ def test_applied_shares_meet_the_targets(spark):
     got = Counter(r.text.split()[0] for r in mixing.apply_mix(docs, labels, anchor="clean").collect())
     shares = {d: got[d] / sum(got.values()) for d in mixing.TARGETS}
     assert got["clean"] == 16000 and all(abs(shares[d] - t) < 0.15 * t for d, t in mixing.TARGETS.items()), shares
+
+
+def test_labels_count_beyond_the_sample(spark, monkeypatch):
+    """More labels than are learnt from: each labelled row still belongs to its own domain, a domain that the sample lacks included."""
+    monkeypatch.setattr(mixing, "LABELLED", 40)
+    rows = [(i, ("junk", "clean", "clean")[i % 3] if i else "toxic") for i in range(600)]
+    docs = spark.createDataFrame([(i, f"{d} a b") for i, d in rows], "doc_id long, text string")
+    # Half of the labels contradict what the words say.
+    named = {i: "clean" if d == "junk" and i % 2 else d for i, d in rows}
+    labels = spark.createDataFrame([(i, int(d != "junk"), int(d == "toxic")) for i, d in named.items()], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in mixing.mix(docs, labels).collect()}
+    assert {i: r.domain for i, r in got.items()} == named and all(max(r.posterior) == 1 for r in got.values())
