@@ -39,6 +39,15 @@ class SecretRule:
         return f"{self.kind}@{self.version}"
 
 
+#: A key from its BEGIN line to the END line. Where that is missing, the lines of base64 that follow, or runs of 16 or more without line
+#: ends; headers (Proc-Type, DEK-Info) may stand before them. Line ends may be escaped, lines quoted or indented.
+_EOL = r"[\x20\t\"',;]*+(?:\r?\n|\r|(?:\\r)?\\n)[\x20\t>#*|\"'+]*+"
+PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    rf"|(?:(?:{_EOL}[A-Za-z][A-Za-z0-9-]*+:\x20[^\r\n\\]*+)++(?:{_EOL})?)?+"
+    rf"(?:{_EOL}[A-Za-z0-9+/]++={{0,2}}(?=[\x20\t,;]*+(?:[\r\n\\]|[\"'](?!\w)|\Z))|(?:[\s>#*|\"'+]|\\[rn])*+[A-Za-z0-9+/]{{16,}}+={{0,2}})*+)"
+)
+
 #: Kinds in the order in which spans of one start are listed; the first three are the base kinds.
 RULES = (
     SecretRule(
@@ -48,7 +57,7 @@ RULES = (
     SecretRule("access", 1, r"AKIA[A-Z0-9]+", 0, 20, ("akia",)),
     # A run of 24 or more is a run of any length that counts, found without stopping at each short one.
     SecretRule("hex", 1, r"[0-9a-f]{24,}", 0, 24),
-    SecretRule("private_key", 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", hints=("private key-----",)),
+    SecretRule("private_key", 2, PRIVATE_KEY, hints=("private key-----",)),
     SecretRule("web_token", 1, r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", hints=("eyj",)),
     SecretRule("code_host", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", hints=("gh",)),
 )
@@ -116,9 +125,11 @@ def update_ledger(docs: DataFrame, ledger: str, rules: tuple[SecretRule, ...] =
 
 
 def findings(spark: SparkSession, ledger: str, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
-    """blob and all its spans by these rules' kinds, sorted by start, then by the order of the rules."""
+    """blob and all its spans by these rules, at their versions, sorted by start, then by the order of the rules."""
     order = F.create_map(*(F.lit(x) for k, r in enumerate(rules) for x in (r.kind, k)))
-    spans = _seen(spark, ledger).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
+    key = F.create_map(*(F.lit(x) for r in rules for x in (r.kind, r.key)))
+    own = F.filter("found", lambda x: F.array_contains("scanned", key[x.kind]))  # what an older version found no longer counts
+    spans = _seen(spark, ledger).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list(own))).alias("found"))
     sortable = F.transform("found", lambda x: F.struct(x.start.alias("start"), order[x.kind].alias("k"), x.end.alias("end"), x.kind.alias("kind")))
     return spans.select("blob", F.array_sort(F.filter(sortable, lambda x: x.k.isNotNull())).alias("spans"))
 

@@ -151,3 +151,35 @@ def test_edits_are_located(spark):
     trees = pair.select(fingerprints.merkle_tree(pair["a"]).alias("a"), fingerprints.merkle_tree(pair["b"]).alias("b"))
     row = trees.select(fingerprints.edited_paragraphs(trees["a"], trees["b"]).alias("ab"), fingerprints.edited_paragraphs(trees["b"], trees["a"]).alias("ba")).head()
     assert (row.ab, row.ba) == ([20], [20, 40])
+
+
+def test_private_keys_go_whole(spark, tmp_path):
+    """No byte of a key's body is left, with END or without; a ledger of the older rule does not hide or double anything."""
+    lines = [hashlib.sha512(bytes([k])).hexdigest()[:64].upper() for k in range(5)] + ["Qx9/z+Ab=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00AA\n\n"
+    cases = [
+        ("\n".join([begin, *lines, end]), " and after"),
+        ("\r\n".join([begin, *lines, end]), "\r\nafter"),
+        (begin + "\n" + head + "\n".join([*lines, end]), ""),
+        (begin + "\n" + head + "\n".join(lines), "\nafter that text"),
+        ("\n".join([begin, *lines]), "\n\nafter that text"),
+        ("\n".join([begin, *lines]), ""),
+        ("\n  ".join([begin, *lines]), "\nafter: text"),
+        ("\\n".join([begin, *lines]), '" after'),
+        (" ".join([begin, *lines[:5]]), " and after"),
+        (begin, " is how a key begins"),
+        (begin, "\nafter this line"),
+        (begin + "\n" + "\n".join(lines), "\n-----BEGIN CERTIFICATE-----\nabc\n-----END CERTIFICATE-----"),
+        ("\n".join([begin, *lines]) + "\n" + "\n".join([begin, *lines, end]), " after"),
+    ]
+    docs = spark.createDataFrame([(k, "before " + key + rest) for k, (key, rest) in enumerate(cases)], "doc_id long, text string")
+    ledger = f"file://{tmp_path}/ledger"
+    older = tuple(secret_scan.SecretRule("private_key", 1, "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----") if r.kind == "private_key" else r for r in secret_scan.RULES)
+    secret_scan.update_ledger(docs, ledger, older)
+    got = {r.doc_id: r.text for r in secret_scan.redact(docs, ledger).collect()}
+    for k, (key, rest) in enumerate(cases):
+        assert re.sub(r"(\[SECRET\]\n?)+(?=\Z|[^\n])", "[SECRET]", got[k]).replace("\n", "") == ("before [SECRET]" + rest).replace("\n", ""), (k, got[k])
+        assert not [x for x in lines if x[:8] in got[k]]
+    spans = {r.doc_id: r.spans for r in secret_scan.scan_documents(docs, ledger).collect()}
+    assert spans[0].count("private_key") == 1 and f"private_key:7:{7 + len(cases[0][0])}" in spans[0]
