@@ -1,9 +1,15 @@
 """Similarity self-join of documents by the Jaccard index of their word n-grams, by a MinHash LSH forest with exact verification.
 
 Shingles are runs of five words (``SEPARATORS`` end a word; case counts); a text of one to four words is one shingle. Texts that are
-equal are one node with a number of copies. A forest has TREES prefix tries; a tree's signature is DEPTH MinHash values, and two nodes
-are candidates if in some tree their signatures share the tree's matched prefix. All prefixes start at DEPTH and are shortened one tree
-at a time until a pair exactly at the threshold is missed with a chance below 1 - recall; pairs above it are missed less.
+equal are one node with a number of copies. A forest has TREES prefix tries; a tree's signature is a string of MinHash values, two
+bytes each. The signatures of all trees are sorted once, and the longest prefix that each shares with a neighbour in this order is
+kept: sorted strings with these lengths are the tries.
+
+Two nodes are candidates at a level if in some tree they share a prefix of so many values. The first level is the deepest that misses
+a pair at the threshold with a chance below 1 - floor. Its candidates are verified, and each link found at similarity s is known to be
+found with the chance p(s) at this level, so a node with links has about sum(1 / p(s)) of them. While the mean share found is
+below the target recall, prefixes are shortened by one value and the pairs that this adds are verified; at the last level the target holds
+even if all pairs lie at the threshold.
 
 Equal prefixes form buckets, and buckets that share nodes form families (connected components). Nodes of a family are verified
 together: pairs with a common bucket are compared by their exact sets of shingles. A family larger than a block is dealt as pairs of
@@ -11,24 +17,28 @@ blocks, or its buckets are if that moves fewer rows, a pair then counting in its
 the number of its links and the smallest node that it is linked to through the block: never the pairs.
 
 Edge cases: texts without a word (null, empty) have no shingles, link to nothing and are each their own class, even where equal;
-repeated rows are copies; a null id takes part, but a class is named by its smallest id, null if it has none; an empty table gives no
-rows; further columns are ignored by ``similarity_join`` and kept by ``deduplicate``. Shingles are compared as 64-bit hashes.
+repeated rows are copies; a null id takes part, but a class is named by its smallest id, null if it has none; rows of one id with
+different texts are different nodes, and two classes may bear one name; an empty table gives no rows; further columns are ignored by
+``similarity_join`` and kept by ``deduplicate``. Shingles are compared as 64-bit hashes.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, flat, materialize, word_hashes
+from tessera.llm.common import SEPARATORS, bounded_batches, flat, materialize, word_hashes
 from tessera.llm.components import connected_components
 
 WORDS = 5
 THRESHOLD = 0.8
 TREES, DEPTH = 16, 8
-RECALL = 0.999
+#: The share of links to find, as estimated on the data; and the least chance of a link at the threshold.
+RECALL, FLOOR = 0.999, 0.99
 #: Nodes of one side of a block.
 BLOCK = 256
 #: Nodes of small families that one call verifies, on average.
@@ -40,12 +50,15 @@ _ADDENDS = _RANDOM.integers(0, (1 << 64) - 1, TREES * DEPTH, dtype=np.uint64)
 _ROLL = _RANDOM.integers(1 << 62, (1 << 64) - 1, 16, dtype=np.uint64) | np.uint64(1)
 
 
-def prefix_depths(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> list[int]:
-    """The matched prefix of each tree."""
-    depths, missed = [depth] * trees, lambda: float(np.prod([1 - threshold**d for d in depths]))
-    while missed() > 1 - recall and max(depths) > 1:
-        depths[depths.index(max(depths))] -= 1
-    return depths
+def chance(similarity, depth: int, trees: int = TREES):
+    """That two texts of this similarity share a prefix of so many values in some tree."""
+    return 1 - (1 - np.asarray(similarity, dtype=float) ** depth) ** trees
+
+
+def levels(threshold: float = THRESHOLD, recall: float = RECALL, floor: float = FLOOR) -> list[int]:
+    """Depths to match in turn: from the deepest that the floor allows to the deepest that meets the recall at the threshold itself."""
+    first, last = (max((d for d in range(1, DEPTH + 1) if chance(threshold, d) >= least), default=1) for least in (floor, max(floor, recall)))
+    return list(range(first, last - 1, -1))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -74,49 +87,93 @@ def shingles(words: np.ndarray, bounds: np.ndarray, size: int = WORDS) -> tuple[
     return _mix(runs[own[: len(runs)]]), np.concatenate([[0], np.cumsum(np.maximum(n - size + 1, 0))])
 
 
-def signature_keys(hashes: np.ndarray, bounds: np.ndarray, depths: list[int]) -> np.ndarray:
-    """For each row with shingles and each tree a hash of the tree's matched prefix."""
+def minhash(hashes: np.ndarray, bounds: np.ndarray, depth: int) -> np.ndarray:
+    """For each row with shingles its signatures: 16 bits of each value, big-endian, so that bytes sort as values do."""
     starts = bounds[:-1][np.diff(bounds) > 0]
-    keys = np.empty((len(starts), len(depths)), dtype=np.uint64)
-    for tree, depth in enumerate(depths):
-        key = np.full(len(starts), tree + 1, dtype=np.uint64)
-        for k in range(tree * DEPTH, tree * DEPTH + depth):
-            key = _mix(key * np.uint64(0xD6E8FEB86659FD93) + np.minimum.reduceat(hashes * _MULTIPLIERS[k] + _ADDENDS[k], starts))
-        keys[:, tree] = key
-    return keys.view(np.int64)
+    values = np.empty((len(starts), TREES, depth), dtype=">u2")
+    for tree in range(TREES):
+        for k in range(depth):
+            own = tree * DEPTH + k
+            least = np.minimum.reduceat(hashes * _MULTIPLIERS[own] + _ADDENDS[own], starts)
+            values[:, tree, k] = _mix(least) >> np.uint64(48)
+    return values
 
 
 def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int64()))
 
 
-def signatures(docs: DataFrame, depths: list[int]) -> DataFrame:
-    """doc_id, text_key (SHA-256 of the text) and keys, empty for a text without a word."""
+def _text_key():
+    return F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+
+
+def signatures(docs: DataFrame, depth: int) -> DataFrame:
+    """doc_id, text_key (SHA-256 of the text) and the signatures of all trees in one string, null for a text without a word."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("text_key"), word_hashes(F.col("text")).alias("words"))
+    rows = docs.select("doc_id", _text_key().alias("text_key"), word_hashes(F.col("text")).alias("words"))
 
     def signed(batches):
         for b in batches:
             hashes, bounds = shingles(*flat(b.column("words")))
-            keys = signature_keys(hashes, bounds, depths) if len(hashes) else np.empty((0, len(depths)), np.int64)
-            ends = np.concatenate([[0], np.cumsum(np.where(np.diff(bounds) > 0, len(depths), 0))])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), _lists(keys.ravel(), ends)], ["doc_id", "text_key", "keys"])
+            own = iter(minhash(hashes, bounds, depth)) if len(hashes) else iter(())
+            strings = [next(own).tobytes() if n else None for n in np.diff(bounds)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(strings, pa.binary())], ["doc_id", "text_key", "signature"])
+
+    return rows.mapInArrow(signed, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key binary, signature binary")
+
+
+def forest(nodes: DataFrame, depth: int, last: int) -> DataFrame:
+    """node, tree, own (its signature there) and shared: how many values of it a neighbour in sorted order begins with too.
+
+    Ranges of sorted signatures are cut anywhere, so a long run of like ones is many tasks' work. The ends of a range count as
+    shared in full, for their neighbours are in other tasks; their buckets are looked up like others. What shares less than the last
+    level's prefix can meet nothing and is left out.
+    """
+    own = F.explode(F.array(*(F.struct(F.lit(t).cast("short").alias("tree"), F.substring("signature", 1 + 2 * depth * t, 2 * depth).alias("own")) for t in range(TREES))))
+    rows = nodes.select("node", own.alias("t")).select("node", "t.*")
+
+    def compared(batches):
+        held = before = None
+
+        def lengths(rows: list, following) -> pa.RecordBatch:
+            nonlocal before
+            node, tree, sig = (list(x) for x in zip(*rows))
+            chain = [*([before] if before else []), *zip(tree, sig), *([following] if following else [])]
+            bits = np.frombuffer(b"".join(t.to_bytes(2, "big") + s for t, s in chain), dtype=">u2").reshape(len(chain), depth + 1)
+            same = np.cumprod(bits[1:] == bits[:-1], axis=1).sum(axis=1) - 1  # the first of them is the tree
+            with_previous = same[: len(rows)] if before else np.concatenate([[depth], same[: len(rows) - 1]])
+            with_next = np.concatenate([with_previous[1:], [same[-1] if following else depth]])
+            shared, before = np.maximum(with_previous, with_next), (tree[-1], sig[-1])
+            kept = np.flatnonzero(shared >= last)
+            columns = [pa.array([node[k] for k in kept], pa.int64()), pa.array([tree[k] for k in kept], pa.int16()), pa.array([sig[k] for k in kept], pa.binary()), pa.array(shared[kept], pa.int32())]
+            return pa.RecordBatch.from_arrays(columns, ["node", "tree", "own", "shared"])
 
-    return rows.mapInArrow(signed, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key binary, keys array<bigint>")
+        for b in batches:
+            rows = list(zip(b.column("node").to_pylist(), b.column("tree").to_pylist(), b.column("own").to_pylist()))
+            if not rows:
+                continue
+            if held:
+                yield lengths(held, rows[0][1:])
+            held = rows
+        if held:
+            yield lengths(held, None)
+
+    ordered = rows.repartitionByRange("tree", "own", "node").sortWithinPartitions("tree", "own")  # by node too, for many may be equal
+    return ordered.mapInArrow(compared, "node long, tree short, own binary, shared int")
 
 
 def _shingle_sets(members: DataFrame) -> DataFrame:
-    """members: node, copies, keys, text. Gives the distinct shingles of each, sorted, in place of the text."""
+    """members: node, copies, signature, text. Gives the distinct shingles of each, sorted, in place of the text."""
 
     def sets(batches):
         for b in batches:
             hashes, bounds = shingles(*flat(b.column("words")))
             own = [np.unique(hashes[s:e].view(np.int64)) for s, e in zip(bounds, bounds[1:])]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in own])])
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("copies"), b.column("keys"), _lists(np.concatenate([*own, np.empty(0, np.int64)]), ends)], ["node", "copies", "keys", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("copies"), b.column("signature"), _lists(np.concatenate([*own, np.empty(0, np.int64)]), ends)], ["node", "copies", "signature", "shingles"])
 
-    rows = members.select("node", "copies", "keys", word_hashes(F.col("text")).alias("words"))
-    return rows.mapInArrow(sets, "node long, copies long, keys array<bigint>, shingles array<bigint>")
+    rows = members.select("node", "copies", "signature", word_hashes(F.col("text")).alias("words"))
+    return rows.mapInArrow(sets, "node long, copies long, signature binary, shingles array<bigint>")
 
 
 def _common(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -145,42 +202,61 @@ def _common(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return total[i, j].astype(np.int64)
 
 
-def _links(nodes, copies, keys, sets, tree: int, sides, left: int, right: int, threshold: float):
-    """Links of each node in a block, weighted by copies, and the smallest node that it hangs together with there."""
+def _prefixes(values: np.ndarray, depth: int) -> np.ndarray:
+    """A number for each row's prefix of so many values in each tree."""
+    key = np.zeros(values.shape[:2], dtype=np.uint64)
+    for k in range(depth):
+        key = key * np.uint64(0xD6E8FEB86659FD93) + values[:, :, k] + np.uint64(1)
+    return key
+
+
+def _links(nodes, copies, values, sets, tree: int, sides, left: int, right: int, threshold: float, depths: list[int], at: int):
+    """Of each node in a block its links, weighted by copies; their number expected at this level and those after it; and the smallest
+    node that it hangs together with there. Pairs that an earlier level had are left out."""
+    keys = _prefixes(values, depths[at])
     same = keys[:, None, :] == keys[None, :, :]
     pairs = same.any(axis=2) if tree < 0 else same[:, :, tree] & (same.argmax(axis=2) == tree)
+    if at:
+        earlier = _prefixes(values, depths[at - 1])
+        pairs &= ~(earlier[:, None, :] == earlier[None, :, :]).any(axis=2)
     pairs = np.triu(pairs, 1) if left == right else pairs & (sides[:, None] == left) & (sides[None, :] == right)
     i, j = np.nonzero(pairs)
     size = np.array([len(s) for s in sets])
     able = np.minimum(size[i], size[j]) / np.maximum(size[i], size[j]) >= threshold
     i, j = i[able], j[able]
+    like = np.empty(0)
     if len(i):
         common = _common(sets, i, j)
-        near = common / (size[i] + size[j] - common) >= threshold
-        i, j = i[near], j[near]
+        like = common / (size[i] + size[j] - common)
+        near = like >= threshold
+        i, j, like = i[near], j[near], like[near]
     count, low = np.zeros(len(nodes), dtype=np.int64), np.arange(len(nodes))
+    expected = np.zeros((len(nodes), len(depths)))
     np.add.at(count, i, copies[j])
     np.add.at(count, j, copies[i])
+    for level in range(at, len(depths)):
+        weight = 1 / chance(like, depths[level])
+        np.add.at(expected[:, level], i, copies[j] * weight)
+        np.add.at(expected[:, level], j, copies[i] * weight)
     while len(i):
         was = low.copy()
         np.minimum.at(low, i, low[j])
         np.minimum.at(low, j, low[i])
         if (low == was).all():
             break
-    return count, nodes[low]
+    return count, nodes[low], expected
 
 
-def _verify(placed: DataFrame, threshold: float) -> DataFrame:
-    """node, links, hub: for each block and each node with a link in it."""
+def _verify(placed: DataFrame, threshold: float, depths: list[int], at: int) -> DataFrame:
+    """node, links, hub, expected: for each block and each node with a link in it."""
 
     def block(t: pa.Table) -> pa.Table:
         column = lambda name: t.column(name).to_numpy()
         gid, node, copies, side = column("gid"), column("node"), column("copies"), column("side")
         tree, left, right = column("tree"), column("left"), column("right")
-        keys, _ = flat(t.column("keys"))
-        keys = keys.reshape(t.num_rows, -1)
+        values = np.frombuffer(b"".join(t.column("signature").to_pylist()), dtype=">u2").astype(np.uint64).reshape(t.num_rows, TREES, -1)
         hashes, bounds = flat(t.column("shingles"))
-        out = []
+        out, expected = [np.empty((0, 3), np.int64)], [np.empty((0, len(depths)))]
         order = np.argsort(gid, kind="stable")
         for rows in np.split(order, np.flatnonzero(np.diff(gid[order])) + 1):
             nodes, first = np.unique(node[rows], return_index=True)
@@ -188,12 +264,13 @@ def _verify(placed: DataFrame, threshold: float) -> DataFrame:
             if len(rows) > 1:
                 sets = [hashes[bounds[r] : bounds[r + 1]] for r in rows]
                 k = rows[0]
-                count, hub = _links(nodes, copies[rows], keys[rows], sets, tree[k], side[rows], left[k], right[k], threshold)
+                count, hub, due = _links(nodes, copies[rows], values[rows], sets, tree[k], side[rows], left[k], right[k], threshold, depths, at)
                 out.append(np.column_stack([nodes, count, hub])[count > 0])
-        rows = np.vstack(out) if out else np.empty((0, 3), np.int64)
-        return pa.table({"node": rows[:, 0], "links": rows[:, 1], "hub": rows[:, 2]})
+                expected.append(due[count > 0])
+        found = np.vstack(out)
+        return pa.table({"node": found[:, 0], "links": found[:, 1], "hub": found[:, 2], "expected": pa.array(list(np.vstack(expected)), pa.list_(pa.float64()))})
 
-    return placed.groupBy("pack", "tree", "left", "right").applyInArrow(block, "node long, links long, hub long")
+    return placed.groupBy("pack", "tree", "left", "right").applyInArrow(block, "node long, links long, hub long, expected array<double>")
 
 
 def _placed(buckets: DataFrame, families: DataFrame) -> DataFrame:
@@ -209,21 +286,23 @@ def _placed(buckets: DataFrame, families: DataFrame) -> DataFrame:
     return whole.unionByName(parts.select("node", F.col("key").alias("gid"), "tree", "n"))
 
 
-def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """A row for each row of docs: doc_id, class_id (the smallest id that it hangs together with by links), n_copies (rows with
-    exactly its text, itself included) and n_links (other rows whose Jaccard index with it is at least the threshold, copies included)."""
-    bounded_batches(docs.sparkSession)
-    signed = materialize(signatures(docs, prefix_depths(threshold, recall)), "signatures")
-    worded = signed.where("size(keys) > 0")
-    nodes = worded.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
-    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    keyed = nodes.select("node", F.posexplode("keys").alias("tree", "key"))
-    crowded = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
-    buckets = materialize(keyed.join(materialize(crowded, "crowded"), "key"), "buckets")
+def _buckets(tries: DataFrame, depths: list[int], at: int) -> DataFrame:
+    """node, key, tree, n and hub (the smallest node) of the buckets of a level, without those that hold no pair that is new at it."""
+    prefix = lambda depth: F.substring("own", 1, 2 * depth)
+    rows = tries.where(F.col("shared") >= depths[at]).select("node", F.col("tree").cast("int").alias("tree"), F.xxhash64("tree", prefix(depths[at])).alias("key"), *([prefix(depths[at - 1]).alias("longer")] if at else []))
+    fresh = [F.min("longer").alias("low"), F.max("longer").alias("high")] if at else []
+    crowded = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub"), *fresh).where("n > 1")
+    crowded = (crowded.where("low != high") if at else crowded).select("key", "n", "hub")
+    return materialize(rows.select("node", "tree", "key").join(materialize(crowded, "crowded"), "key"), "buckets")
+
+
+def _level(docs: DataFrame, nodes: DataFrame, tries: DataFrame, threshold: float, depths: list[int], at: int) -> DataFrame:
+    """Links that are new at a level."""
+    buckets = _buckets(tries, depths, at)
     families = connected_components(buckets.select(F.col("node").alias("a"), F.col("hub").alias("b")))
     # The texts of candidates only; each text once, from the row of its smallest id.
     wanted = families.select("node").join(nodes, "node")
-    own = docs.select("doc_id", "text", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("text_key_"))
+    own = docs.select("doc_id", "text", _text_key().alias("text_key_"))
     texts = own.join(wanted, own["doc_id"].eqNullSafe(wanted["rep"]) & (own["text_key_"] == wanted["text_key"]))
     sets = materialize(_shingle_sets(texts), "shingle-sets")
     placed = _placed(buckets, families)
@@ -235,21 +314,65 @@ def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float
         "node", "gid", "tree", "side", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"),
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("gid"), F.lit(packs))).otherwise(F.col("gid")).alias("pack"),
     ).join(sets, "node")
-    found = materialize(_verify(dealt, threshold), "links")
+    return materialize(_verify(dealt, threshold, depths, at), "links")
+
+
+def _recall(found: DataFrame, at: int) -> float:
+    """The mean over nodes with links of the share found, as estimated; 0 where nothing was found, which tells nothing."""
+    of = found.groupBy("node").agg((F.sum("links") / F.sum(F.col("expected")[at])).alias("share"))
+    return of.agg(F.avg("share")).head()[0] or 0.0
+
+
+def _classes(docs: DataFrame, threshold: float, recall: float, floor: float) -> DataFrame:
+    """doc_id, text_key, class_id, rep and rep_key (smallest id and the text of it in the class), n_copies, n_links of each row."""
+    bounded_batches(docs.sparkSession)
+    depths = levels(threshold, recall, floor)
+    signed = materialize(signatures(docs, depths[0]), "signatures")
+    worded = signed.where("signature IS NOT NULL")
+    nodes = worded.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    tries = materialize(forest(nodes, depths[0], depths[-1]), "forest")
+    parts: list[DataFrame] = []
+    for at in range(len(depths)):
+        parts.append(_level(docs, nodes, tries, threshold, depths, at))
+        found = reduce(DataFrame.unionByName, parts)
+        if at + 1 < len(depths) and _recall(found, at) >= recall:
+            break
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    named = materialize(roots.join(nodes.select("node", "rep"), "node"), "roots")
-    names = materialize(named.groupBy("root").agg(F.min("rep").alias("class_id")), "class-names")
-    classes = named.join(names, "root").select("node", "class_id").join(links, "node")
+    named = materialize(roots.join(nodes.select("node", "rep", "text_key"), "node"), "roots")
+    # Of a class the smallest id; nulls, which name nothing, come last.
+    names = named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "text_key")).alias("of"))
+    names = materialize(names.select("root", F.col("of.rep").alias("class_rep"), F.col("of.text_key").alias("class_key")), "class-names")
+    classes = named.join(names, "root").select("node", "class_rep", "class_key").join(links, "node")
     of = nodes.select("node", "text_key", "rep", "copies").join(classes, "node", "left")
-    of = of.select("text_key", F.when(F.col("links").isNull(), F.col("rep")).otherwise(F.col("class_id")).alias("class_id"), F.col("copies").alias("n_copies"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    joined = worded.select("doc_id", "text_key").join(materialize(of, "classes"), "text_key").drop("text_key")
-    alone = signed.where("size(keys) = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
+    linked = F.col("links").isNotNull()
+    of = of.select(
+        "text_key", F.when(linked, F.col("class_rep")).otherwise(F.col("rep")).alias("class_id"), F.when(linked, F.col("class_key")).otherwise(F.col("text_key")).alias("rep_key"),
+        F.col("copies").alias("n_copies"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+    )
+    joined = worded.select("doc_id", "text_key").join(materialize(of, "classes"), "text_key")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    alone = signed.where("signature IS NULL").select("text_key", "doc_id", F.col("doc_id").alias("class_id"), F.col("text_key").alias("rep_key"), one.alias("n_copies"), none.alias("n_links"))
     return joined.unionByName(alone)
 
 
-def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """docs with one row of each class: that of its smallest id. Rows of a null id, which no class can name, stay."""
-    first = similarity_join(docs, threshold, recall).where("doc_id = class_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, floor: float = FLOOR) -> DataFrame:
+    """A row for each row of docs: doc_id, class_id (the smallest id that it hangs together with by links), n_copies (rows with
+    exactly its text, itself included) and n_links (other rows whose Jaccard index with it is at least the threshold, copies included)."""
+    return _classes(docs, threshold, recall, floor).select("doc_id", "class_id", "n_copies", "n_links")
+
+
+def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, floor: float = FLOOR) -> DataFrame:
+    """docs with one row of each class: of the rows with its smallest id and that id's text, the first by a hash of all columns.
+
+    Rows without a word are no copies of anything, and all stay.
+    """
+    of = _classes(docs, threshold, recall, floor)
+    # doc_id and text name the row that stays: (1, A) and (1, B) are two nodes, and either may be in any class.
+    first = of.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("rep_key")))
+    first = materialize(first.select(F.struct("doc_id", "text_key").alias("row_")).distinct(), "stay")
+    own = docs.withColumn("row_", F.struct("doc_id", _text_key().alias("text_key")))
+    w = Window.partitionBy("row_").orderBy(F.xxhash64(*docs.columns))
+    kept = own.join(first, "row_", "left_semi").withColumn("nth_", F.row_number().over(w))
+    return kept.where((F.col("nth_") == 1) | ~F.coalesce(F.col("text").rlike(f"[^{SEPARATORS}]"), F.lit(False))).select(docs.columns)

@@ -88,16 +88,61 @@ def test_deduplicate(spark):
     got = ngram_join.deduplicate(docs)
     assert got.columns == docs.columns
     names = {c for (i, c, _) in brute(rows)}
+    assert got.where("text IS NULL").count() == 0
     ids = [r.doc_id for r in got.collect()]
     assert len(ids) == len(set(ids)) and set(ids) == names | {None}
     assert ngram_join.similarity_join(docs.limit(0)).count() == ngram_join.deduplicate(docs.limit(0)).count() == 0
 
 
-def test_prefixes_are_shortened_to_the_recall():
-    for recall in (0.5, 0.9, 0.99, 0.999):
-        depths = ngram_join.prefix_depths(0.8, recall)
-        assert 1 - np.prod([1 - 0.8**d for d in depths]) >= recall and max(depths) - min(depths) <= 1
-    assert ngram_join.prefix_depths(0.8, 0.0) == [ngram_join.DEPTH] * ngram_join.TREES
+def test_rows_of_one_id_with_different_texts(spark):
+    """A text that is no copy of anything stays, whatever id it has; of equal rows one stays; empty texts all stay."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a, "x"), (1, b, "x"), (2, a, "x"), (1, a, "x"), (3, c + " z", "y"), (4, c, "y"), (None, c, "y"), (None, "n", "y"), (None, "n", "z"), (5, "", "e"), (5, None, "e"), (5, "", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rep_key string")
+    got = Counter((r.doc_id, r.text) for r in ngram_join.deduplicate(docs.repartition(5)).collect())
+    assert got == Counter([(1, a), (1, b), (3, c + " z"), (None, "n"), (5, ""), (5, None), (5, "")])
+
+
+def test_levels():
+    assert ngram_join.levels(0.8, 0.999, 0.99) == [6, 5, 4]
+    for threshold in (0.5, 0.8, 0.9):
+        for recall in (0.9, 0.99, 0.999):
+            depths = ngram_join.levels(threshold, recall)
+            assert depths == list(range(depths[0], depths[-1] - 1, -1)) and (ngram_join.chance(threshold, depths[-1]) >= recall or depths[-1] == 1)
+
+
+@pytest.mark.parametrize(("edits", "last"), [(1, 0), (14, 1)])
+def test_prefixes_are_shortened_as_far_as_the_data_need(spark, monkeypatch, edits, last):
+    """Pairs far above the threshold are found by long prefixes; pairs near it make them shorter."""
+    rng, rows = random.Random(9), []
+    for k in range(300):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(600)]
+        near = list(base)
+        for at in rng.sample(range(600), edits):
+            near[at] = "x"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
+    asked, level = [], ngram_join._level
+    monkeypatch.setattr(ngram_join, "_level", lambda *a: asked.append(a[-1]) or level(*a))
+    got, want = joined(spark, rows), brute(rows)
+    assert len(want) > 200 and (max(asked) == 0 if last == 0 else max(asked) >= last)
+    assert sum((got & want).values()) >= 0.995 * len(rows)
+
+
+def test_forest_is_the_sorted_signatures(spark):
+    """What a node shares with its neighbours in order is what it shares with any; ends of ranges may say more."""
+    rng = np.random.default_rng(3)
+    depth = 4
+    values = rng.integers(0, 3, (200, ngram_join.TREES, depth)).astype(">u2")
+    nodes = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in enumerate(values)], "node long, signature binary")
+    got = {(r.node, r.tree): r.shared for r in ngram_join.forest(nodes, depth, 1).collect()}
+    for tree in range(ngram_join.TREES):
+        own = values[:, tree]
+        alike = np.cumprod(own[:, None, :] == own[None, :, :], axis=2).sum(axis=2)
+        np.fill_diagonal(alike, 0)
+        for k, most in enumerate(alike.max(axis=1)):
+            assert got.get((k, tree), 0) >= most if most else True
+    alike = sum(got.get((k, t), 0) for k in range(200) for t in range(ngram_join.TREES))
+    assert alike <= 200 * ngram_join.TREES * depth
 
 
 @pytest.mark.parametrize("seed", [1, 2])
