@@ -5,16 +5,17 @@ equal are one node with a number of copies. A forest has TREES prefix tries; a t
 bytes each. The signatures of all trees are sorted once, and the longest prefix that each shares with a neighbour in this order is
 kept: sorted strings with these lengths are the tries.
 
-Two nodes are candidates at a level if in some tree they share a prefix of so many values. The first level is the deepest that misses
-a pair at the threshold with a chance below 1 - floor. Its candidates are verified, and each link found at similarity s is known to be
-found with the chance p(s) at this level, so a node with links has about sum(1 / p(s)) of them. While the mean share found is
-below the target recall, prefixes are shortened by one value and the pairs that this adds are verified; at the last level the target holds
-even if all pairs lie at the threshold.
-
-Equal prefixes form buckets, and buckets that share nodes form families (connected components). Nodes of a family are verified
-together: pairs with a common bucket are compared by their exact sets of shingles. A family larger than a block is dealt as pairs of
-blocks, or its buckets are if that moves fewer rows, a pair then counting in its first common tree only. Blocks return, for each node,
-the number of its links and the smallest node that it is linked to through the block: never the pairs.
+Nodes are neighbours in a trie if their signatures begin with the same values. The shortest prefix that may be matched is the longest
+that meets the target recall even for pairs at the threshold itself. Equal ones of these form buckets, and buckets that share nodes form
+families (connected components); texts of families alone are read again. A family larger than a block is dealt as pairs of blocks, or
+its buckets are if that moves fewer rows, a pair then belonging to its first common tree.
+
+In a block prefixes begin longer, at the longest that misses a pair at the threshold with a chance below 1 - floor. Pairs that share
+one in some tree are compared by their exact sets of shingles. A link of similarity s is known to be found with a chance p(s) at this
+length, so a node with links has about sum(1 / p(s)) of them; while the mean share found is below the target recall, or nothing was
+found, prefixes are shortened by one value and the pairs that this adds are compared. Where texts are very alike, few comparisons are
+needed; near the threshold, or without any link, all are made. Blocks return, for each node, the number of its links and the smallest
+node that it is linked to through the block: never the pairs.
 
 Edge cases: texts without a word (null, empty) have no shingles, link to nothing and are each their own class, even where equal;
 repeated rows are copies; a null id takes part, but a class is named by its smallest id, null if it has none; rows of one id with
@@ -24,8 +25,6 @@ different texts are different nodes, and two classes may bear one name; an empty
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -56,7 +55,7 @@ def chance(similarity, depth: int, trees: int = TREES):
 
 
 def levels(threshold: float = THRESHOLD, recall: float = RECALL, floor: float = FLOOR) -> list[int]:
-    """Depths to match in turn: from the deepest that the floor allows to the deepest that meets the recall at the threshold itself."""
+    """Lengths to match in turn: from the longest that the floor allows to the longest that meets the recall at the threshold itself."""
     first, last = (max((d for d in range(1, DEPTH + 1) if chance(threshold, d) >= least), default=1) for least in (floor, max(floor, recall)))
     return list(range(first, last - 1, -1))
 
@@ -126,8 +125,8 @@ def forest(nodes: DataFrame, depth: int, last: int) -> DataFrame:
     """node, tree, own (its signature there) and shared: how many values of it a neighbour in sorted order begins with too.
 
     Ranges of sorted signatures are cut anywhere, so a long run of like ones is many tasks' work. The ends of a range count as
-    shared in full, for their neighbours are in other tasks; their buckets are looked up like others. What shares less than the last
-    level's prefix can meet nothing and is left out.
+    shared in full, for their neighbours are in other tasks; their buckets are looked up like others. What shares less than the
+    shortest prefix can meet nothing and is left out.
     """
     own = F.explode(F.array(*(F.struct(F.lit(t).cast("short").alias("tree"), F.substring("signature", 1 + 2 * depth * t, 2 * depth).alias("own")) for t in range(TREES))))
     rows = nodes.select("node", own.alias("t")).select("node", "t.*")
@@ -210,45 +209,49 @@ def _prefixes(values: np.ndarray, depth: int) -> np.ndarray:
     return key
 
 
-def _links(nodes, copies, values, sets, tree: int, sides, left: int, right: int, threshold: float, depths: list[int], at: int):
-    """Of each node in a block its links, weighted by copies; their number expected at this level and those after it; and the smallest
-    node that it hangs together with there. Pairs that an earlier level had are left out."""
-    keys = _prefixes(values, depths[at])
+def _links(nodes, copies, values, sets, tree: int, sides, left: int, right: int, threshold: float, recall: float, depths: list[int]):
+    """Of each node in a block its links, weighted by copies, the smallest node that it hangs together with there; and the level reached."""
+    size = np.array([len(s) for s in sets])
+    keys = _prefixes(values, depths[-1])
     same = keys[:, None, :] == keys[None, :, :]
     pairs = same.any(axis=2) if tree < 0 else same[:, :, tree] & (same.argmax(axis=2) == tree)
-    if at:
-        earlier = _prefixes(values, depths[at - 1])
-        pairs &= ~(earlier[:, None, :] == earlier[None, :, :]).any(axis=2)
     pairs = np.triu(pairs, 1) if left == right else pairs & (sides[:, None] == left) & (sides[None, :] == right)
-    i, j = np.nonzero(pairs)
-    size = np.array([len(s) for s in sets])
-    able = np.minimum(size[i], size[j]) / np.maximum(size[i], size[j]) >= threshold
-    i, j = i[able], j[able]
-    like = np.empty(0)
-    if len(i):
-        common = _common(sets, i, j)
-        like = common / (size[i] + size[j] - common)
-        near = like >= threshold
-        i, j, like = i[near], j[near], like[near]
-    count, low = np.zeros(len(nodes), dtype=np.int64), np.arange(len(nodes))
-    expected = np.zeros((len(nodes), len(depths)))
-    np.add.at(count, i, copies[j])
-    np.add.at(count, j, copies[i])
-    for level in range(at, len(depths)):
-        weight = 1 / chance(like, depths[level])
-        np.add.at(expected[:, level], i, copies[j] * weight)
-        np.add.at(expected[:, level], j, copies[i] * weight)
-    while len(i):
-        was = low.copy()
-        np.minimum.at(low, i, low[j])
-        np.minimum.at(low, j, low[i])
-        if (low == was).all():
+    pairs &= np.minimum(size[:, None], size[None, :]) >= threshold * np.maximum(size[:, None], size[None, :])
+    count, low, links = np.zeros(len(nodes), dtype=np.int64), np.arange(len(nodes)), []
+    for depth in depths:
+        keys = _prefixes(values, depth)
+        now = pairs & (keys[:, None, :] == keys[None, :, :]).any(axis=2)
+        pairs &= ~now
+        i, j = np.nonzero(now)
+        if len(i):
+            common = _common(sets, i, j)
+            like = common / (size[i] + size[j] - common)
+            near = like >= threshold
+            links.append((i[near], j[near], like[near]))
+        if not pairs.any():
             break
-    return count, nodes[low], expected
+        i, j, like = (np.concatenate(x) for x in zip(*links)) if links else (np.empty(0, np.int64),) * 3
+        found, expected = np.zeros(len(nodes)), np.zeros(len(nodes))
+        for a, b in ((i, j), (j, i)):
+            np.add.at(found, a, copies[b])
+            np.add.at(expected, a, copies[b] / chance(like, depth))
+        if len(i) and np.mean(found[found > 0] / expected[found > 0]) >= recall:
+            break
+    for i, j, _ in links:
+        np.add.at(count, i, copies[j])
+        np.add.at(count, j, copies[i])
+    changed = bool(links)
+    while changed:
+        was = low.copy()
+        for i, j, _ in links:
+            np.minimum.at(low, i, low[j])
+            np.minimum.at(low, j, low[i])
+        changed = (low != was).any()
+    return count, nodes[low], depth
 
 
-def _verify(placed: DataFrame, threshold: float, depths: list[int], at: int) -> DataFrame:
-    """node, links, hub, expected: for each block and each node with a link in it."""
+def _verify(placed: DataFrame, threshold: float, recall: float, depths: list[int]) -> DataFrame:
+    """node, links, hub: for each block and each node with a link in it."""
 
     def block(t: pa.Table) -> pa.Table:
         column = lambda name: t.column(name).to_numpy()
@@ -256,7 +259,7 @@ def _verify(placed: DataFrame, threshold: float, depths: list[int], at: int) ->
         tree, left, right = column("tree"), column("left"), column("right")
         values = np.frombuffer(b"".join(t.column("signature").to_pylist()), dtype=">u2").astype(np.uint64).reshape(t.num_rows, TREES, -1)
         hashes, bounds = flat(t.column("shingles"))
-        out, expected = [np.empty((0, 3), np.int64)], [np.empty((0, len(depths)))]
+        out = [np.empty((0, 3), np.int64)]
         order = np.argsort(gid, kind="stable")
         for rows in np.split(order, np.flatnonzero(np.diff(gid[order])) + 1):
             nodes, first = np.unique(node[rows], return_index=True)
@@ -264,13 +267,12 @@ def _verify(placed: DataFrame, threshold: float, depths: list[int], at: int) ->
             if len(rows) > 1:
                 sets = [hashes[bounds[r] : bounds[r + 1]] for r in rows]
                 k = rows[0]
-                count, hub, due = _links(nodes, copies[rows], values[rows], sets, tree[k], side[rows], left[k], right[k], threshold, depths, at)
+                count, hub, _ = _links(nodes, copies[rows], values[rows], sets, tree[k], side[rows], left[k], right[k], threshold, recall, depths)
                 out.append(np.column_stack([nodes, count, hub])[count > 0])
-                expected.append(due[count > 0])
         found = np.vstack(out)
-        return pa.table({"node": found[:, 0], "links": found[:, 1], "hub": found[:, 2], "expected": pa.array(list(np.vstack(expected)), pa.list_(pa.float64()))})
+        return pa.table({"node": found[:, 0], "links": found[:, 1], "hub": found[:, 2]})
 
-    return placed.groupBy("pack", "tree", "left", "right").applyInArrow(block, "node long, links long, hub long, expected array<double>")
+    return placed.groupBy("pack", "tree", "left", "right").applyInArrow(block, "node long, links long, hub long")
 
 
 def _placed(buckets: DataFrame, families: DataFrame) -> DataFrame:
@@ -286,20 +288,19 @@ def _placed(buckets: DataFrame, families: DataFrame) -> DataFrame:
     return whole.unionByName(parts.select("node", F.col("key").alias("gid"), "tree", "n"))
 
 
-def _buckets(tries: DataFrame, depths: list[int], at: int) -> DataFrame:
-    """node, key, tree, n and hub (the smallest node) of the buckets of a level, without those that hold no pair that is new at it."""
-    prefix = lambda depth: F.substring("own", 1, 2 * depth)
-    rows = tries.where(F.col("shared") >= depths[at]).select("node", F.col("tree").cast("int").alias("tree"), F.xxhash64("tree", prefix(depths[at])).alias("key"), *([prefix(depths[at - 1]).alias("longer")] if at else []))
-    fresh = [F.min("longer").alias("low"), F.max("longer").alias("high")] if at else []
-    crowded = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub"), *fresh).where("n > 1")
-    crowded = (crowded.where("low != high") if at else crowded).select("key", "n", "hub")
-    return materialize(rows.select("node", "tree", "key").join(materialize(crowded, "crowded"), "key"), "buckets")
+def _buckets(tries: DataFrame, depth: int) -> DataFrame:
+    """node, key, tree, n and hub (the smallest node) of prefixes of so many values that several nodes share."""
+    rows = tries.select("node", F.col("tree").cast("int").alias("tree"), F.xxhash64("tree", F.substring("own", 1, 2 * depth)).alias("key"))
+    crowded = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
+    return materialize(rows.join(materialize(crowded, "crowded"), "key"), "buckets")
 
 
-def _level(docs: DataFrame, nodes: DataFrame, tries: DataFrame, threshold: float, depths: list[int], at: int) -> DataFrame:
-    """Links that are new at a level."""
-    buckets = _buckets(tries, depths, at)
-    families = connected_components(buckets.select(F.col("node").alias("a"), F.col("hub").alias("b")))
+def _found(docs: DataFrame, nodes: DataFrame, tries: DataFrame, threshold: float, recall: float, depths: list[int]) -> DataFrame:
+    """node, links and hub, as blocks give them."""
+    buckets = _buckets(tries, depths[-1])
+    # A node is tied to the smallest of its hubs (TREES at most), and the others to that one: hubs are few, whatever nodes share them.
+    hubs = buckets.groupBy("node").agg(F.collect_set("hub").alias("hubs")).select("node", "hubs", F.array_min("hubs").alias("low"))
+    families = connected_components(hubs.select(F.explode(F.array_union(F.array("node"), "hubs")).alias("a"), F.col("low").alias("b")).distinct())
     # The texts of candidates only; each text once, from the row of its smallest id.
     wanted = families.select("node").join(nodes, "node")
     own = docs.select("doc_id", "text", _text_key().alias("text_key_"))
@@ -314,13 +315,7 @@ def _level(docs: DataFrame, nodes: DataFrame, tries: DataFrame, threshold: float
         "node", "gid", "tree", "side", F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"),
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("gid"), F.lit(packs))).otherwise(F.col("gid")).alias("pack"),
     ).join(sets, "node")
-    return materialize(_verify(dealt, threshold, depths, at), "links")
-
-
-def _recall(found: DataFrame, at: int) -> float:
-    """The mean over nodes with links of the share found, as estimated; 0 where nothing was found, which tells nothing."""
-    of = found.groupBy("node").agg((F.sum("links") / F.sum(F.col("expected")[at])).alias("share"))
-    return of.agg(F.avg("share")).head()[0] or 0.0
+    return materialize(_verify(dealt, threshold, recall, depths), "links")
 
 
 def _classes(docs: DataFrame, threshold: float, recall: float, floor: float) -> DataFrame:
@@ -332,12 +327,7 @@ def _classes(docs: DataFrame, threshold: float, recall: float, floor: float) ->
     nodes = worded.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     tries = materialize(forest(nodes, depths[0], depths[-1]), "forest")
-    parts: list[DataFrame] = []
-    for at in range(len(depths)):
-        parts.append(_level(docs, nodes, tries, threshold, depths, at))
-        found = reduce(DataFrame.unionByName, parts)
-        if at + 1 < len(depths) and _recall(found, at) >= recall:
-            break
+    found = _found(docs, nodes, tries, threshold, recall, depths)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("node").alias("a"), F.col("hub").alias("b")))
     named = materialize(roots.join(nodes.select("node", "rep", "text_key"), "node"), "roots")
