@@ -23,10 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir, or a new temporary one where it is unset."""
+    """The folder that all executors share: the session's spark.checkpoint.dir. Only local sessions may go without it, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        # Only without a cluster's setting, as in tests.
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = getattr(spark, "_tessera_scratch", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark._tessera_scratch = folder
     return folder.rstrip("/")
@@ -82,6 +83,51 @@ def labelled_sample(labels: DataFrame, most: int) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= 2 * most else rows
 
 
+def range_cuts(rows: DataFrame, column: str, ranges: int) -> list[int]:
+    """Ids at approximate quantiles that cut rows into so many ranges of about as many rows; as many numbers as ranges, whatever the rows."""
+    share = [k / ranges for k in range(1, ranges)]
+    return sorted(set(rows.agg(F.percentile_approx(column, share, 20 * ranges)).head()[0] or []))
+
+
+def rank_among(cuts: list[int], value: Column) -> Column:
+    """How many of the sorted cuts are below the value, by halving; 0 for null."""
+    if not cuts:
+        return F.lit(0)
+    listed = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")  # one literal, which the optimizer folds
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(max(1, len(cuts).bit_length())))))
+    forward = lambda at, step: F.when(F.get(listed, at + step - 1) < value, at + step).otherwise(at)
+    return F.aggregate(steps, F.lit(0), forward)
+
+
+def summed_arrays(parts: DataFrame, key: str, value: str, fan: int = 256) -> DataFrame:
+    """A row for each key: the sum of its arrays (of one length), in two rounds.
+
+    Partitions send a row a key at most. The first round adds up those of so many neighbouring partitions, the second the sums, so no
+    task gets more than fan or partitions / fan rows a key; rows are added as they come, and a task holds one array a key.
+    """
+    kind = dict(parts.dtypes)[value]
+    dtype = {"array<bigint>": "int64", "array<double>": "float64"}[kind]
+
+    def added(batches):
+        import numpy as np
+
+        sums: dict = {}
+        for b in batches:
+            values, bounds = flat(b.column(value))
+            for k, start, end in zip(b.column(key).to_pylist(), bounds, bounds[1:]):
+                sums[k] = sums[k] + values[start:end] if k in sums else np.array(values[start:end], dtype=dtype)
+        keys = sorted(sums)
+        item = pa.int64() if dtype == "int64" else pa.float64()
+        for at in range(0, len(keys), 1024):
+            own = keys[at : at + 1024]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([sums[k] for k in own], pa.list_(item))], [key, value])
+
+    schema = f"{key} int, {value} {kind}"
+    near = parts.select(key, value, F.floor(F.spark_partition_id() / fan).alias("near_"))
+    first = near.repartition(key, "near_").select(key, value).mapInArrow(added, schema)
+    return first.repartition(key).mapInArrow(added, schema)
+
+
 def texts(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """Python strings of an Arrow column; null becomes empty."""
     return [x or "" for x in column.to_pylist()]

@@ -2,9 +2,10 @@
 
 The leaves are sentences (pieces of a line that end in . ! ? or the line's end), a paragraph is a line, and a section is a run of
 paragraphs that ends at a blank line or at a paragraph whose own hash ends in zero bits, so that an insertion moves no later border.
-A node's hash is the SHA-256 of its children's; the fingerprint is the root. Equal roots mean equal texts; where roots differ, only
-branches that differ are followed to find the paragraphs that were edited. Likeness is the share of leaf hashes that two trees have
-in common (size of the intersection over size of the union).
+A node's hash is the SHA-256 of its children's; the fingerprint is the root. Equal roots mean equal texts; where roots differ, sections
+that both trees have are paired and set aside, as often as both have them, then paragraphs of the other sections, then sentences of
+the other paragraphs: only branches that differ are opened. What is left over locates the edit. Likeness is the share of leaves and
+root that both trees have (size of the intersection over size of the union, with repeats), so it is 1 for equal texts only.
 
 All of it is DataFrame functions. Neighbours in the order of ids meet by one shuffle of the texts into ranges of ids: the first text
 of each range is handed to the range before it, so no task sees more than its range.
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import let, materialize
+from tessera.llm.common import let, materialize, range_cuts, rank_among
 
 #: A paragraph whose hash begins so ends its section: one in 16.
 BORDER = "0"
@@ -34,21 +35,21 @@ def _hash(parts: Column) -> Column:
 
 
 def merkle_tree(text: Column) -> Column:
-    """A struct: root, sections (hash, first: index of its first paragraph, paragraphs: their hashes) and leaves (distinct hashes)."""
+    """A struct: root, n_leaves, and sections: hash, i (place), below (paragraphs: hash, i, below (sentences: hash, i))."""
 
     def tree(paragraphs: Column) -> Column:
-        """paragraphs: array of struct(hash, leaves, blank)."""
+        """paragraphs: array of struct(hash, below, blank)."""
         n = F.size(paragraphs)
         ends = F.filter(
             F.transform(paragraphs, lambda p, i: F.when((i == n - 1) | p.blank | p.hash.startswith(BORDER), i + 1)),
             lambda x: x.isNotNull(),
         )
+        placed = lambda first, end: F.transform(F.slice(paragraphs, first + 1, end - first), lambda p, k: F.struct(p.hash.alias("hash"), (first + k).alias("i"), p.below.alias("below")))
 
         def sections(e: Column) -> Column:
             def section(end: Column, k: Column) -> Column:
-                first = F.when(k == 0, 0).otherwise(F.get(e, k - 1))
-                own = F.transform(F.slice(paragraphs, first + 1, end - first), lambda p: p.hash)
-                return let(own, lambda h: F.struct(_hash(h).alias("hash"), first.alias("first"), h.alias("paragraphs")))
+                own = placed(F.when(k == 0, 0).otherwise(F.get(e, k - 1)), end)
+                return let(own, lambda below: F.struct(_hash(F.transform(below, lambda p: p.hash)).alias("hash"), k.alias("i"), below.alias("below")))
 
             return F.transform(e, section)
 
@@ -56,35 +57,72 @@ def merkle_tree(text: Column) -> Column:
             let(ends, sections),
             lambda s: F.struct(
                 _hash(F.transform(s, lambda x: x.hash)).alias("root"),
+                F.aggregate(paragraphs, F.lit(0), lambda a, p: a + F.size(p.below)).alias("n_leaves"),
                 s.alias("sections"),
-                F.array_distinct(F.flatten(F.transform(paragraphs, lambda p: p.leaves))).alias("leaves"),
             ),
         )
 
     def paragraph(line: Column) -> Column:
-        own = F.transform(sentences(line), lambda x: F.sha2(x, 256))
-        return let(own, lambda leaves: F.struct(_hash(leaves).alias("hash"), leaves.alias("leaves"), (F.trim(line) == "").alias("blank")))
+        own = F.transform(sentences(line), lambda x, i: F.struct(F.sha2(x, 256).alias("hash"), i.alias("i")))
+        return let(own, lambda leaves: F.struct(_hash(F.transform(leaves, lambda x: x.hash)).alias("hash"), leaves.alias("below"), (F.trim(line) == "").alias("blank")))
 
     return let(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), paragraph), tree)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Of two trees: the share of distinct leaves that both have."""
-    both = F.size(F.array_intersect(a.leaves, b.leaves))
-    return F.when(a.root == b.root, F.lit(1.0)).otherwise(both / (F.size(a.leaves) + F.size(b.leaves) - both))
+def unpaired(a: Column, b: Column) -> Column:
+    """Of two arrays of nodes (hash, i, ...) a struct a, b: what is left of each when equal hashes are paired, as often as both have
+    them, first places first. Sorting brings equal ones together: n log n for any arrays."""
 
+    def runs(s: Column, side: int) -> Column:
+        """Of a sorted array: hash, side, at (index of the first), n."""
+        starts = F.filter(F.transform(s, lambda x, k: F.when((k == 0) | (x.hash != F.get(s, k - 1).hash), k)), lambda x: x.isNotNull())
+        run = lambda st: F.transform(st, lambda at, k: F.struct(F.get(s, at).hash.alias("hash"), F.lit(side).alias("side"), at.alias("at"), (F.coalesce(F.get(st, k + 1), F.size(s)) - at).alias("n")))
+        return let(starts, run)
 
-def edited_paragraphs(a: Column, b: Column) -> Column:
-    """Indices of a's paragraphs that b lacks: a section that b has is not opened. Empty where the roots are equal."""
-    sections = F.transform(b.sections, lambda s: s.hash)
-    known = F.flatten(F.transform(b.sections, lambda s: s.paragraphs))
+    def rest(v: Column) -> Column:
+        def of(merged: Column) -> Column:
+            def left(side: int, own: Column, step: int) -> Column:
+                def surplus(x: Column, k: Column) -> Column:
+                    other = F.get(merged, k + step)
+                    paired = F.when(other.hash == x.hash, F.least(x.n, other.n)).otherwise(0)
+                    return F.slice(own, x.at + F.coalesce(paired, F.lit(0)) + 1, F.when(x.side == side, x.n - F.coalesce(paired, F.lit(0))).otherwise(0))
+
+                return F.flatten(F.transform(merged, surplus))
+
+            return F.struct(left(0, v.a, 1).alias("a"), left(1, v.b, -1).alias("b"))
+
+        return let(F.array_sort(F.concat(runs(v.a, 0), runs(v.b, 1))), of)
+
+    return let(F.struct(F.array_sort(a).alias("a"), F.array_sort(b).alias("b")), rest)
 
-    def walk(args: Column) -> Column:
-        changed = F.filter(a.sections, lambda s: ~F.array_contains(args.sections, s.hash))
-        each = F.transform(changed, lambda s: F.filter(F.transform(s.paragraphs, lambda h, i: F.when(~F.array_contains(args.known, h), s.first + i)), lambda x: x.isNotNull()))
-        return F.flatten(each)
 
-    return F.when(a.root == b.root, F.array().cast("array<int>")).otherwise(let(F.struct(sections.alias("sections"), known.alias("known")), walk))
+def difference(a: Column, b: Column) -> Column:
+    """Of two trees a struct: likeness; edited, the places of a's paragraphs that b lacks; and opened, how many sections were."""
+    below = lambda nodes: F.flatten(F.transform(nodes, lambda x: x.below))
+
+    def paragraphs(s: Column) -> Column:
+        def leaves(p: Column) -> Column:
+            def compared(x: Column) -> Column:
+                both = a.n_leaves - F.size(x.a)
+                return F.struct(
+                    (both / (a.n_leaves + b.n_leaves - both + 1)).alias("likeness"), F.array_sort(F.transform(p.a, lambda y: y.i)).alias("edited"), F.size(s.a).alias("opened")
+                )
+
+            return let(unpaired(below(p.a), below(p.b)), compared)
+
+        return let(unpaired(below(s.a), below(s.b)), leaves)
+
+    same = F.struct(F.lit(1.0).alias("likeness"), F.array().cast("array<int>").alias("edited"), F.lit(0).alias("opened"))
+    return F.when(a.root == b.root, same).otherwise(let(unpaired(a.sections, b.sections), paragraphs))
+
+
+def likeness(a: Column, b: Column) -> Column:
+    return difference(a, b).likeness
+
+
+def edited_paragraphs(a: Column, b: Column) -> Column:
+    """Places of a's paragraphs that b lacks. Empty where the roots are equal."""
+    return difference(a, b).edited
 
 
 def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
@@ -95,11 +133,8 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    share = [k / ranges for k in range(1, ranges)]
-    cuts = rows.agg(F.percentile_approx("doc_id", share, 20 * ranges)).head()[0] or []
-    cuts = F.array(*(F.lit(x) for x in sorted(set(cuts)))) if cuts else F.array().cast("array<bigint>")
-    place = F.when(F.col("doc_id").isNull(), -1).otherwise(_rank(cuts, F.col("doc_id")))
+    cuts = range_cuts(rows, "doc_id", ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    place = F.when(F.col("doc_id").isNull(), -1).otherwise(rank_among(cuts, F.col("doc_id")))
     rows = rows.withColumn("range_", place)
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.col("text")]
     # A row a range: its first id, then the text that comes first among rows of that id.
@@ -116,11 +151,6 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     return both.withColumn("next_text", F.lead("text").over(window)).where("NOT handed").select("doc_id", "text", "next_text")
 
 
-def _rank(cuts: Column, value: Column) -> Column:
-    """How many of the sorted cuts are below the value."""
-    return F.size(F.filter(cuts, lambda c: c < value))
-
-
 def edited(text: Column, other: Column) -> Column:
     """text with its last half replaced by as much of the beginning of other."""
     half = F.floor(F.length(text) / 2).cast("int")
@@ -128,16 +158,19 @@ def edited(text: Column, other: Column) -> Column:
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """Each document's fingerprint, its edited text's, and the likeness to that and to the next document."""
+    """Each document's fingerprint, its edited text's, the likeness to that and to the next document, and where the edit is: n_edited
+    (paragraphs that the edited text lacks), first_edited (the place of the first) and n_opened (sections that were looked into)."""
     pairs = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    trees = pairs.select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        let(
-            F.struct(merkle_tree(F.col("text")).alias("own"), merkle_tree(F.col("edited")).alias("edited"), merkle_tree(F.col("next_text")).alias("next")),
-            lambda t: F.struct(
-                t.own.root.alias("fingerprint"), t.edited.root.alias("edited_fingerprint"),
-                likeness(t.own, t.edited).alias("near_edited"), likeness(t.own, t.next).alias("near_next"),
+
+    def compared(t: Column) -> Column:
+        return let(
+            F.struct(difference(t.own, t.edited).alias("e"), difference(t.own, t.next).likeness.alias("next")),
+            lambda d: F.struct(
+                t.own.root.alias("fingerprint"), t.edited.root.alias("edited_fingerprint"), d.e.likeness.alias("near_edited"), d.next.alias("near_next"),
+                F.size(d.e.edited).alias("n_edited"), F.get(d.e.edited, F.lit(0)).alias("first_edited"), d.e.opened.alias("n_opened"),
             ),
-        ).alias("t"),
-    )
+        )
+
+    of = F.struct(merkle_tree(F.col("text")).alias("own"), merkle_tree(F.col("edited")).alias("edited"), merkle_tree(F.col("next_text")).alias("next"))
+    trees = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), let(of, compared).alias("t"))
     return trees.select("doc_id", "n_chars", "edited_sha256", "t.*")

@@ -2,7 +2,8 @@
 
 Every version of a text is addressed by its SHA-256. A scan looks up which (blob, rule version) pairs the ledger has, reads one text
 for each blob with a pair that it lacks, appends a row for each blob scanned, and joins the findings back to every path (here a
-document id) that has the blob. Changing a rule means a new version of it, so only that rule runs again, on known blobs too.
+document id) that has the blob. Changing a rule means a new version of it, so only that rule runs again, on known blobs too. Beside
+the blobs the ledger keeps all pairs of path and blob that it ever saw, so ``history`` reports secrets of former versions.
 
 Edge cases: a null text is the empty blob; equal texts, repeated rows included, are scanned once and reported for each row; a null id
 is a path like others; an empty table appends nothing; further columns are ignored. Matches are leftmost and do not overlap within a
@@ -58,6 +59,11 @@ RULES = (
     # A run of 24 or more is a run of any length that counts, found without stopping at each short one.
     SecretRule("hex", 1, r"[0-9a-f]{24,}", 0, 24),
     SecretRule("private_key", 2, PRIVATE_KEY, hints=("private key-----",)),
+    # One name after another, as in "secret: token: ...", of which assign takes the second for a value that is too short.
+    SecretRule(
+        "assign_chain", 1, r"""(?:(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?){2,}([A-Za-z0-9+/_.=-]+)""", 1, 6,
+        ("password", "passwd", "secret", "token", "apikey", "api_key"), re.IGNORECASE | re.ASCII,
+    ),
     SecretRule("web_token", 1, r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", hints=("eyj",)),
     SecretRule("code_host", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", hints=("gh",)),
 )
@@ -95,26 +101,51 @@ def address(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def _seen(spark: SparkSession, ledger: str) -> DataFrame | None:
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     try:
-        return spark.read.schema(f"blob binary, scanned array<string>, found {FINDING}").parquet(ledger)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return None  # the first scan
 
 
+def _seen(spark: SparkSession, ledger: str) -> DataFrame | None:
+    return _stored(spark, ledger, f"blob binary, scanned array<string>, found {FINDING}")
+
+
+def _remember(paths: DataFrame, ledger: str) -> None:
+    """Appends to the ledger's history each pair of path and blob that it lacks, with the number of the scan that first saw it."""
+    spark, kind = paths.sparkSession, dict(paths.dtypes)["doc_id"]
+    new, number = paths.distinct(), 1
+    if (old := _stored(spark, f"{ledger}-paths", f"doc_id {kind}, blob binary, first_scan int")) is not None:
+        number = (old.agg(F.max("first_scan")).head()[0] or 0) + 1
+        known = old.select(F.col("doc_id").alias("id_"), F.col("blob").alias("blob_"))
+        new = new.join(known, new["doc_id"].eqNullSafe(known["id_"]) & (new["blob"] == known["blob_"]), "left_anti")
+    new.withColumn("first_scan", F.lit(number)).write.mode("append").parquet(f"{ledger}-paths")
+
+
+def history(spark: SparkSession, ledger: str, rules: tuple[SecretRule, ...] = RULES, kind: str = "bigint") -> DataFrame:
+    """Every path that the ledger ever saw, with each of its versions: doc_id, first_scan, blob and spans (null if these rules did not
+    run on it). A secret that a document no longer has is still found in the version that had it."""
+    paths = _stored(spark, f"{ledger}-paths", f"doc_id {kind}, blob binary, first_scan int")
+    return paths.join(findings(spark, ledger, rules), "blob", "left").select("doc_id", "first_scan", "blob", "spans")
+
+
 def update_ledger(docs: DataFrame, ledger: str, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
-    """Scans what the ledger lacks and appends it. Gives paths: row_id, doc_id and blob of each row of docs.
+    """Scans what the ledger lacks and appends it. Gives paths: doc_id and blob of each row of docs.
 
-    Texts move once, to meet the ids of those to scan; copies are dropped by address before that.
+    Texts move once, to meet the ids of those to scan; copies are dropped by address before that. All pairs of path and blob stay in
+    the ledger's history.
     """
     spark = docs.sparkSession
     keys = F.array(*(F.lit(r.key) for r in rules))
     paths = materialize(docs.select("doc_id", address(F.col("text")).alias("blob")), "paths")
+    _remember(paths, ledger)
     blobs = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id")).withColumn("due", keys)
     if (seen := _seen(spark, ledger)) is not None:
-        had = seen.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("scanned"))).alias("had"))  # rows of a blob: one a rule version at most
+        # Rows of a blob: one a rule version at most. Only blobs of this scan are looked at.
+        had = seen.join(blobs.select("blob"), "blob", "left_semi").groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("scanned"))).alias("had"))
         blobs = blobs.join(had, "blob", "left").withColumn("due", F.array_except("due", F.coalesce("had", F.array().cast("array<string>")))).where("size(due) > 0")
     due = materialize(blobs.select("blob", F.col("doc_id").alias("path"), "due"), "due")
     texts_of = docs.select(F.col("doc_id").alias("path"), "text")
@@ -124,12 +155,14 @@ def update_ledger(docs: DataFrame, ledger: str, rules: tuple[SecretRule, ...] =
     return paths
 
 
-def findings(spark: SparkSession, ledger: str, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
-    """blob and all its spans by these rules, at their versions, sorted by start, then by the order of the rules."""
+def findings(spark: SparkSession, ledger: str, rules: tuple[SecretRule, ...] = RULES, of: DataFrame | None = None) -> DataFrame:
+    """blob and all its spans by these rules, at their versions, sorted by start, then by the order of the rules. of: only these blobs."""
     order = F.create_map(*(F.lit(x) for k, r in enumerate(rules) for x in (r.kind, k)))
     key = F.create_map(*(F.lit(x) for r in rules for x in (r.kind, r.key)))
     own = F.filter("found", lambda x: F.array_contains("scanned", key[x.kind]))  # what an older version found no longer counts
-    spans = _seen(spark, ledger).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list(own))).alias("found"))
+    seen = _seen(spark, ledger)
+    seen = seen if of is None else seen.join(of.select("blob").distinct(), "blob", "left_semi")
+    spans = seen.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list(own))).alias("found"))
     sortable = F.transform("found", lambda x: F.struct(x.start.alias("start"), order[x.kind].alias("k"), x.end.alias("end"), x.kind.alias("kind")))
     return spans.select("blob", F.array_sort(F.filter(sortable, lambda x: x.k.isNotNull())).alias("spans"))
 
@@ -146,7 +179,7 @@ def scan_documents(docs: DataFrame, ledger: str | None = None, rules: tuple[Secr
     spans = F.col("spans")
     count = lambda kind: F.size(F.filter(spans, lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter(spans, lambda x: x.kind.isin(*BASE))
-    digests = findings(spark, ledger, rules).select("blob", *map(count, BASE), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans"))
+    digests = findings(spark, ledger, rules, paths).select("blob", *map(count, BASE), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans"))
     return paths.join(materialize(digests, "findings"), "blob").drop("blob")
 
 
@@ -166,8 +199,8 @@ def redact(docs: DataFrame, ledger: str | None = None, rules: tuple[SecretRule,
     """docs with each secret's span replaced by [SECRET]; all other rows and columns as they were, n_chars brought up to date where it exists."""
     spark = docs.sparkSession
     ledger = ledger or scratch(spark, "secret-ledger")
-    update_ledger(docs, ledger, rules)
-    found = findings(spark, ledger, rules).where("size(spans) > 0").select(F.col("blob").alias("blob_"), _merged(F.col("spans")).alias("spans_"))
+    paths = update_ledger(docs, ledger, rules)
+    found = findings(spark, ledger, rules, paths).where("size(spans) > 0").select(F.col("blob").alias("blob_"), _merged(F.col("spans")).alias("spans_"))
     some = materialize(found, "findings")
     # From the last to the first, so that the places of those before stay.
     step = lambda text, x: F.concat(F.substring(text, F.lit(1), x.start), F.lit("[SECRET]"), F.substring(text, x.end + 1, F.length(text)))
