@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, crc_of, texts
+from tessera.llm.common import bounded_batches, crc_of, summed_arrays, texts
 
 BUCKETS = 1 << 16
 ORDERS = (2, 3)
@@ -82,11 +82,6 @@ def _trained(batches: Iterator[pa.RecordBatch], languages: dict[str, int]) -> It
         yield pa.RecordBatch.from_arrays([pa.array(some[k : k + 1024], pa.int32()), pa.array(list(pieces[some[k : k + 1024]]), pa.list_(pa.int64()))], ["piece", "n"])
 
 
-def _summed(t: pa.Table) -> pa.Table:
-    total = t.column("n").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, PIECE).sum(axis=0)
-    return pa.table({"piece": t.column("piece")[:1], "n": pa.array([total], pa.list_(pa.int64()))})
-
-
 class LanguageModel:
     """Languages, sorted; the log probability of each bucket in each; and of each language."""
 
@@ -115,10 +110,9 @@ def fit_languages(rows: DataFrame, smoothing: float = 0.5) -> LanguageModel | No
         return None
     names = [x for x, _ in prior]
     index, k = {x: i for i, x in enumerate(names)}, len(names)
-    schema = "piece int, n array<bigint>"
-    sums = rows.mapInArrow(lambda batches: _trained(batches, index), schema).groupBy("piece").applyInArrow(_summed, schema)
+    parts = rows.mapInArrow(lambda batches: _trained(batches, index), "piece int, n array<bigint>")
     counts = np.zeros((BUCKETS * k // PIECE, PIECE))
-    for r in sums.toLocalIterator():
+    for r in summed_arrays(parts, "piece", "n").collect():  # the matrix: BUCKETS x languages numbers
         counts[r.piece] = r.n
     counts = counts.reshape(BUCKETS, k) + smoothing
     n = np.array([x for _, x in prior], float)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
-from tessera.llm.common import bounded_batches, crc_of, labelled_sample, materialize
+from tessera.llm.common import bounded_batches, crc_of, labelled_sample, materialize, summed_arrays
 
 #: Characters whose share in a text is a statistic.
 MARKS = ("#*$%&<>", "|", "!?", ".,;:", "\n")
@@ -85,7 +85,7 @@ def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
 
 
 def _normal_equations(labelled: DataFrame, model: QualityModel, size: int) -> np.ndarray:
-    """X'X with X'y as its last column: each partition sends a row for each row of the matrix, which Spark adds up."""
+    """X'X with X'y as its last column: each partition sends a row for each row of the matrix, and these are added up in two rounds."""
 
     def partial(batches):
         total = np.zeros((size, size + 1))
@@ -94,12 +94,7 @@ def _normal_equations(labelled: DataFrame, model: QualityModel, size: int) -> np
             total += x.T @ np.column_stack([x, y])
         yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], ["i", "row"])
 
-    def added(t: pa.Table) -> pa.Table:
-        rows = np.array(t.column("row").to_pylist())
-        return pa.table({"i": t.column("i")[:1], "row": pa.array([rows.sum(axis=0).tolist()], pa.list_(pa.float64()))})
-
-    schema = "i int, row array<double>"
-    sums = labelled.mapInArrow(partial, schema).groupBy("i").applyInArrow(added, schema).collect()  # size rows
+    sums = summed_arrays(labelled.mapInArrow(partial, "i int, row array<double>"), "i", "row").collect()  # size rows
     return np.array([r.row for r in sorted(sums)])
 
 
