@@ -3,7 +3,7 @@
 Texts are tokenized once into pieces of at most the capacity; only the count of pieces by length (capacity rows at most) reaches the
 driver, where best-fit decreasing runs over counts: a step places all pieces of a length that fit into bins of one remaining room.
 The plan is a table of slot runs by length and rank. Pieces are ranked within their length and take the planned slot by a join on
-length and rank. A length that many pieces share is ranked in salted parts, whose sizes are added up first.
+length and block of ranks. A length that many pieces share is ranked in salted parts, whose sizes are added up first.
 
 Edge cases: a null or empty text is the end id alone, one piece; rows of one id are packed each on its own (their pieces repeat the
 same keys); an empty table gives no rows; further columns are ignored; a text is cut only if longer than the capacity.
@@ -11,6 +11,7 @@ same keys); an empty table gives no rows; further columns are ignored; a text is
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -30,8 +31,8 @@ END = 0
 REMEMBERED = 800_000
 #: Pieces in a part of one length that one task ranks, on average at most.
 PART = 250_000
-#: Runs of slots that are broadcast (48 bytes each); more of them are joined by a shuffle.
-BROADCAST_RUNS = 200_000
+#: Ranks in a block: a run of slots meets its pieces by length and block of ranks.
+RANKS = 1 << 16
 
 #: Python's white space that the tokenizer takes for characters.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -41,6 +42,11 @@ _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
+#: The normalizer and the pattern of words that ``WordTokenizer`` stands for.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -64,6 +70,7 @@ def _byte_letters() -> dict[int, str]:
 
 class WordTokenizer:
     """Ids of whole texts for a tokenizer that never joins characters across white space: ids of a text are those of its words in turn.
+    Any other tokenizer is an error.
 
     Words' ids are kept as bytes (unsigned 32-bit, little-endian), so a text costs a look-up a word. A new word of Latin letters and
     printable ASCII is cut as the tokenizer cuts it and each piece goes to the tokenizer's model, for pieces repeat more than words do;
@@ -72,12 +79,21 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
+        self._must_cut_by_words(path)
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         letters = _byte_letters()
         self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0x21, 0x100)}
         self.model = self.tokenizer.model
 
+    def _must_cut_by_words(self, path: str) -> None:
+        """A tokenizer of another kind would get wrong ids word by word."""
+        made = json.loads(self.tokenizer.to_str())
+        normalizers = (made["normalizer"] or {}).get("normalizers")
+        cut, *letters = (made["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        if normalizers != _NORMALIZERS or cut.get("pattern") != {"Regex": _PATTERN} or [x.get("type") for x in letters] != ["ByteLevel"] or letters[0]["add_prefix_space"]:
+            raise ValueError(f"{path}: not a tokenizer that lowers, and cuts at white space, as this packing needs")
+
     def _bytes(self, values: list[str]) -> list[bytes]:
         # Small batches: what encode_batch returns holds far more than ids.
         out: list[bytes] = []
@@ -206,14 +222,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     spark = docs.sparkSession
     pieces = materialize(tokenize(docs, capacity, tokenizer), "pieces")
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
-    runs = plan(histogram, capacity)
-    slots_fit = len(runs) <= BROADCAST_RUNS
-    slots = spark.createDataFrame(runs, "length_ long, first_rank long, n long, first_sequence long, each long, first_offset long")
+    slots = spark.createDataFrame(plan(histogram, capacity), "length long, first_rank long, n long, first_sequence long, each long, first_offset long")
     parts = max(64, -(-sum(histogram.values()) // PART))
+    # Length and block are equal keys, so Spark may broadcast the runs, by its own check of their size, or shuffle both sides.
+    slots = slots.withColumn("block", F.explode(F.sequence(F.floor(F.col("first_rank") / RANKS), F.floor((F.col("first_rank") + F.col("n") - 1) / RANKS))))
     rank, inside = F.col("rank"), F.col("rank") - F.col("first_rank")
-    fits = (F.col("length") == F.col("length_")) & (rank >= F.col("first_rank")) & (rank < F.col("first_rank") + F.col("n"))
-    slots = F.broadcast(slots) if slots_fit else slots
-    placed = ranked(pieces, parts).join(slots, fits)
+    both = ranked(pieces, parts).withColumn("block", F.floor(F.col("rank") / RANKS)).join(slots, ["length", "block"])
+    placed = both.where((rank >= F.col("first_rank")) & (rank < F.col("first_rank") + F.col("n")))
     return placed.select(
         "doc_id", "piece", "start", "length", "ids_crc32",
         (F.col("first_sequence") + F.floor(inside / F.col("each"))).cast("long").alias("sequence_id"),

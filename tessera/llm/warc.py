@@ -1,16 +1,19 @@
 """A deterministic sharded WARC writer, and a reader.
 
-Pages are cut into shards by id, with cuts from an exact histogram of payload bytes, so the same pages give the same shards whatever
-the cluster. A task sorts its shards by id and writes each as files that roll at a compressed size, one gzip member a record, with
-headers and digests made anew from the payload. A file is written under a temporary name and renamed when complete; a task that runs
-again writes the same bytes under the same name. The manifest, which Spark commits last, lists the files that count; readers start there.
+Pages are cut into shards by id: a page belongs to the shard in which the bytes of all smaller ids end, so the same pages give the
+same shards whatever the cluster. The sums of bytes before each id are made on the executors, in two levels: over ranges of ids, then
+inside each range. A task gets a run of neighbouring shards, sorts it by id, and writes each shard as files that roll at a compressed
+size, one gzip member a record, with headers and digests made anew from the payload. A file is written under a temporary name and
+renamed when complete; a task that runs again writes the same bytes under the same name. The manifest, which Spark commits last,
+lists the files that count; readers start there.
 
 Of records with equal payloads of ``least`` bytes or more, that with the largest id is the response and the others revisit it.
 What revisits what is found on digests alone, and travels to the writer in the same shuffle as the pages.
 
-Edge cases: a null html is an empty payload; a null url has no target header; rows of a null id are written, and are responses only
-where no equal payload has an id; of rows with one id and one payload the first written is the response and the others revisit it; an
-empty table gives an empty manifest; further columns are ignored. Records are streamed, so only one is in memory at a time.
+Edge cases: a null html is an empty payload; a null url has no target header; rows of a null id are written into the first shard, and
+are responses only where no equal payload has an id; of rows with one id and one payload the first written is the response and the
+others revisit it; all rows of one id are in one shard; an empty table gives an empty manifest; further columns are ignored. Records
+are written as they come; a task holds one Arrow batch of them (BATCH_ROWS).
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, let, materialize, scratch
+from tessera.llm.common import bounded_batches, materialize, range_cuts, rank_among, scratch
 
 SHARD_BYTES = 16 << 20
 ROLL_BYTES = 8 << 20
@@ -34,7 +37,8 @@ ROLL_BYTES = 8 << 20
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:tessera:warc")
-_FIRST, _MORE, _LEVELS = 1024, 256, 8
+#: Tasks of a write, at most: with more shards a task writes several. The driver keeps two numbers a task.
+TASKS = 100_000
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -86,53 +90,34 @@ def _member(data: bytes, level: int) -> bytes:
     return pack.compress(data) + pack.flush()
 
 
-def _finer(lows: list[int], widths: list[int], bases: list[int]):
-    """From a cell's number to that of the finer cell which holds page_id."""
-    low, width, base = (F.lit(x).cast("array<bigint>") for x in (lows, widths, bases))
+def planned(ids: DataFrame, target: int, ranges: int | None = None) -> DataFrame:
+    """page_id (each once, not null), before (bytes of all smaller ids) and shard, from ids (page_id, bytes).
 
-    def inside(above: Column, w: Column) -> Column:
-        return ((above - above % w) / w).cast("bigint")
-
-    return lambda c: (F.get(base, c) + inside(F.col("page_id") - F.get(low, c), F.get(width, c))).cast("int")
-
-
-def shard_of(ids: DataFrame, target: int) -> Column:
-    """An expression over page_id: the shard, by cuts that only depend on the ids and their bytes.
-
-    Ids are counted in cells of equal width; a cell with more than a shard's bytes is split into cells again. Then neighbouring cells
-    are merged up to a shard's bytes. A level is one aggregation, whose result has as many rows as there are cells.
+    Ids are cut into ranges at approximate quantiles, whose sums are as many rows as there are ranges; the sums inside a range are a
+    window over it. The cuts only spread the work: what is summed is exact.
     """
-    low, high = ids.agg(F.min("page_id"), F.max("page_id")).head()
-    if low is None:
-        return F.lit(0)
-    heavy, cell, levels = {0}, F.lit(0), [([low], [high - low + 1], [0])]
-    spans = [(low, high - low + 1)]
-    for level in range(_LEVELS):
-        lows, widths, bases, cells = [], [], [], []
-        for k, (start, size) in enumerate(spans):
-            parts = min(size, (_FIRST if level == 0 else _MORE) if k in heavy else 1)
-            width = -(-size // parts)
-            lows.append(start)
-            widths.append(width)
-            bases.append(len(cells))
-            cells += [(s, min(width, start + size - s)) for s in range(start, start + size, width)]
-        cell = let(cell, _finer(lows, widths, bases))
-        weights = {r.cell: r.bytes for r in ids.where("page_id IS NOT NULL").groupBy(cell.alias("cell")).agg(F.sum("bytes").alias("bytes")).collect()}
-        spans, heavy = cells, {k for k, w in weights.items() if w > target and cells[k][1] > 1}
-        if not heavy:
-            break
-    shards, now, held = [], 0, 0
-    for k in range(len(spans)):
-        w = weights.get(k, 0)
-        if held and held + w > target:
-            now, held = now + 1, 0
-        held += w
-        shards.append(now)
-    return F.coalesce(F.get(F.lit(shards), cell), F.lit(0))
-
-
-def _rows(pages: DataFrame, least: int) -> tuple[DataFrame, Column]:
-    """Pages, and a notice before each page that revisits another; the shard of each."""
+    spark = ids.sparkSession
+    cuts = range_cuts(ids, "page_id", ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    each = ids.where("page_id IS NOT NULL").groupBy("page_id").agg(F.sum("bytes").alias("bytes"))
+    each = materialize(each.withColumn("range_", rank_among(cuts, F.col("page_id"))), "page-bytes")
+    earlier = lambda w: F.coalesce(F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = each.groupBy("range_").agg(F.sum("bytes").alias("bytes"))
+    offsets = F.broadcast(sums.select("range_", earlier(Window.orderBy("range_")).alias("offset")))  # a row a range
+    inside = each.select("page_id", "range_", earlier(Window.partitionBy("range_").orderBy("page_id")).alias("inside"))
+    before = F.col("inside") + F.col("offset")
+    return inside.join(offsets, "range_").select("page_id", before.alias("before"), F.floor(before / target).alias("shard"))
+
+
+def task_starts(ids: DataFrame, target: int, tasks: int = TASKS) -> list[tuple[int, int]]:
+    """For each task its first id and the bytes before that: runs of so many shards that there are at most so many tasks."""
+    whole = ids.agg(F.sum("bytes")).head()[0] or 0
+    together = max(1, -(-whole // (target * tasks)))
+    of = planned(ids, target).groupBy(F.floor(F.col("shard") / together).alias("task"))
+    return sorted(tuple(r) for r in of.agg(F.min("page_id").alias("first"), F.min("before").alias("before")).select("first", "before").collect())
+
+
+def _rows(pages: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Pages, and a notice before each page that revisits another; and the ids and bytes of all pages."""
     payload = F.coalesce("html", F.lit(""))
     ids = materialize(pages.select("page_id", F.octet_length(payload).alias("bytes"), F.unhex(F.sha2(payload, 256)).alias("sha")), "page-digests")
     groups = ids.where(F.col("bytes") >= least).groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 AND refers_to IS NOT NULL")
@@ -179,29 +164,36 @@ def write(pages: DataFrame, base: str, least: int = 0, shard_bytes: int = SHARD_
     spark = pages.sparkSession
     bounded_batches(spark)
     rows, ids = _rows(pages.select("page_id", "url", "html"), least)
-    rows = rows.withColumn("shard", shard_of(ids, shard_bytes))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, "shard").sortWithinPartitions("shard", "page_id", "sha", "kind", "url")
+    starts = task_starts(ids, shard_bytes)
+    firsts = [first for first, _ in starts]
+    # A task begins at its first id, so the first ids of those after it are the cuts.
+    task = rank_among([first - 1 for first in firsts[1:]], F.col("page_id"))
+    dealt = rows.withColumn("task", task).repartitionById(max(1, len(starts)), "task").sortWithinPartitions("page_id", "sha", "kind", "url")
+    known_starts = dict(starts)
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, seq, file, at, nth, known = None, 0, None, object(), 0, {}
+        shard, seq, file, at, nth, known, before, own = None, 0, None, object(), 0, {}, None, 0
         done: list[tuple[str, int, int, str]] = []
         for b in batches:
-            for r in b.to_pylist():
-                if r["shard"] != shard:
-                    if file:
-                        done.append(file.close())
-                    shard, seq, file = r["shard"], 0, None
-                if r["page_id"] != at:
-                    at, nth, known = r["page_id"], 0, {}
-                if not r["kind"]:
-                    known[r["sha"]] = (r["refers_to"], 0)
+            for page_id, sha, kind, refers_to, url, html in zip(*(b.column(c).to_pylist() if c != "html" else (x.as_py() for x in b.column(c)) for c in ("page_id", "sha", "kind", "refers_to", "url", "html"))):
+                if page_id != at:
+                    at, nth, known = page_id, 0, {}
+                    if page_id is not None:
+                        before, own = known_starts[page_id] if before is None else before + own, 0
+                    now = 0 if before is None else before // shard_bytes
+                    if now != shard:
+                        if file:
+                            done.append(file.close())
+                        shard, seq, file = now, 0, None
+                if not kind:
+                    known[sha] = (refers_to, 0)
                     continue
-                payload = r["html"].encode()
+                payload = html.encode()
+                own += len(payload) if page_id is not None else 0
                 file = file or _File(base, f"part-{shard:06d}-{seq:04d}.warc.gz", level)
-                file.add(record(at, nth, r["url"], payload, known.get(r["sha"])))
+                file.add(record(at, nth, url, payload, known.get(sha)))
                 if at is not None and len(payload) >= least:
-                    known.setdefault(r["sha"], (at, nth))
+                    known.setdefault(sha, (at, nth))
                 nth += 1
                 if file.bytes >= roll_bytes:
                     done.append(file.close())
@@ -212,7 +204,7 @@ def write(pages: DataFrame, base: str, least: int = 0, shard_bytes: int = SHARD_
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string()))], ["file", "records", "bytes", "sha256"])
 
     schema = "file string, records long, bytes long, sha256 string"
-    dealt.select("shard", "page_id", "sha", "kind", "refers_to", "url", "html").mapInArrow(written, schema).write.parquet(f"{base}/_manifest")
+    dealt.select("page_id", "sha", "kind", "refers_to", "url", "html").mapInArrow(written, schema).write.parquet(f"{base}/_manifest")
     _drop_temporary(base)
     return spark.read.schema(schema).parquet(f"{base}/_manifest")
 
@@ -250,7 +242,8 @@ def read(spark: SparkSession, base: str) -> DataFrame:
     """A row for each response and revisit of an archive, files in parallel. A payload that differs from its digest is an error."""
     bounded_batches(spark)
     files = spark.read.schema("file string").parquet(f"{base}/_manifest")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A task for some files of at most ROLL_BYTES or a record each.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), files.count() // 16)
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "offset"]
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64())
 
@@ -281,7 +274,7 @@ def read(spark: SparkSession, base: str) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], names)
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long"
-    return files.repartition(parts, "file").mapInArrow(records, schema)
+    return files.repartition(min(parts, TASKS), "file").mapInArrow(records, schema)
 
 
 def round_trip(pages: DataFrame, base: str | None = None, least: int = 0) -> DataFrame:

@@ -10,7 +10,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tessera.llm import language_id, packing, quality_classifier, warc
+from pyspark.sql import functions as F
+
+from tessera.llm import common, language_id, packing, quality_classifier, warc
 
 DATA = "/root/testdata/sf0.01"
 
@@ -133,10 +135,39 @@ def test_warc_least_and_empty(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
-def test_shards_depend_on_bytes_not_on_gaps(spark):
-    ids = spark.createDataFrame([(i, 10) for i in [*range(1000), *range(10**15, 10**15 + 1000)]], "page_id long, bytes long")
-    sizes = Counter(r.s for r in ids.select(warc.shard_of(ids, 500).alias("s")).collect())
-    assert max(sizes.values()) <= 50 and len(sizes) >= 40
+def test_shards_are_exact_sums_of_bytes(spark):
+    """Whatever the ranges and the gaps: a shard is where the bytes of all smaller ids end; a task is a run of shards."""
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(0, 90)) for i in [*range(1000), *range(10**15, 10**15 + 1000), 5, 5, None, -7]]
+    ids = spark.createDataFrame(rows, "page_id long, bytes long").repartition(5)
+    sums, before, want = Counter(), 0, {}
+    for i, n in rows:
+        if i is not None:
+            sums[i] += n
+    for i in sorted(sums):
+        want[i] = (before, before // 500)
+        before += sums[i]
+    for ranges in (1, 7, 64):
+        assert {r.page_id: (r.before, r.shard) for r in warc.planned(ids, 500, ranges).collect()} == want
+    starts = warc.task_starts(ids, 500)
+    assert starts == sorted({s: (i, b) for i, (b, s) in sorted(want.items(), reverse=True)}.values())
+    assert 2 <= len(warc.task_starts(ids, 500, tasks=7)) <= 7 and warc.task_starts(ids, 500, tasks=1) == starts[:1]
+    assert warc.task_starts(ids.limit(0), 500) == []
+
+
+def test_binary_rank(spark):
+    for cuts in ([], [3], [1, 2, 5, 9, 12], list(range(0, 300, 3))):
+        rows = spark.range(-2, 310).select("id", common.rank_among(cuts, F.col("id")).alias("r")).collect()
+        assert all(r.r == sum(c < r.id for c in cuts) for r in rows)
+
+
+def test_summed_arrays(spark):
+    rows = [(k % 7, [float(k), 1.0]) for k in range(100)]
+    df = spark.createDataFrame(rows, "i int, v array<double>").repartition(9)
+    for fan in (2, 256):
+        got = {r.i: r.v for r in common.summed_arrays(df, "i", "v", fan).collect()}
+        assert got == {i: [sum(v[0] for k, v in rows if k == i), sum(k == i for k, _ in rows)] for i in range(7)}
+    assert common.summed_arrays(df.limit(0), "i", "v").count() == 0
 
 
 def plain_ids(texts):
@@ -203,6 +234,24 @@ def test_plan_is_best_fit_decreasing():
         assert len(used) == len(rooms)
 
 
+def test_other_tokenizers_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="not a tokenizer"):
+        packing.WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_runs_over_many_blocks_of_ranks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANKS", 4)
+    docs = spark.createDataFrame([(i, "a b c" if i % 3 else "d " * (i % 40)) for i in range(200)], "doc_id long, text string")
+    got = packing.pack(docs, capacity=50).collect()
+    assert {(r.doc_id, r.piece) for r in got} >= {(i, 0) for i in range(200)} and len(got) == len({(r.sequence_id, r.offset) for r in got})
+    used = Counter()
+    for r in got:
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 50
+
+
 def test_packing_repeated_rows_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (2, None)], "doc_id long, text string")
     got = packing.pack(docs).collect()
