@@ -17,14 +17,15 @@ DATA = "/root/testdata/sf0.01"
 
 def test_exact_notices_are_all_found(spark):
     documents = spark.read.parquet(f"{DATA}/documents.parquet")
-    got = {(r.doc_id, r.license, r.start, r.end) for r in license_scan.scan_licenses(documents).collect()}
+    got = {(r.doc_id, r.license, r.start, r.end) for r in license_scan.scan_licenses(documents).where("coverage = 1").collect()}
     want = set()
     for r in documents.collect():
-        for name, notice in license_scan.TEMPLATES.items():
-            at = r.text.find(notice)
-            while at >= 0:
-                want.add((r.doc_id, name, at, at + len(notice.rstrip("."))))
-                at = r.text.find(notice, at + 1)
+        for name, forms in license_scan.TEMPLATES.items():
+            for notice in forms:
+                at = r.text.find(notice)
+                while at >= 0:
+                    want.add((r.doc_id, name, at, at + len(notice.rstrip("."))))
+                    at = r.text.find(notice, at + 1)
     assert want and want <= got
     assert got == want, (got - want)
 
@@ -40,26 +41,59 @@ def longest_common(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("name", ["BSD-3-Clause", "CC0-1.0", "GPL-3.0"])
+@pytest.mark.parametrize("name", ["BSD-3-Clause", "CC0-1.0", "GPL-3.0", "MIT", "CC-BY-NC-4.0", "All-Rights-Reserved"])
 def test_edited_notices(spark, name):
+    """A notice that keeps its coverage is found whatever was left out, replaced or put between its words."""
     rng = random.Random(name)
-    words = license_scan.TEMPLATES[name].split()
+    words = license_scan.TEMPLATES[name][0].split()
     rows = []
-    for k in range(40):
+    for k in range(60):
         own = list(words)
         for _ in range(rng.randint(0, 3)):
             at = rng.randrange(len(own))
             own[at : at + 1] = rng.choice([[], ["zz"], [own[at], "yy"]])
+            own = own or ["zz"]
         rows.append((k, "é before. " * rng.randint(0, 5) + " ".join(own).upper() + " after", own))
     docs = spark.createDataFrame([(k, t, 1) for k, t, _ in rows], "doc_id long, text string, words int")
-    got = {r.doc_id: r for r in license_scan.scan_licenses(docs).where(f"license = '{name}'").collect()}
-    template = license_scan.cut(license_scan.TEMPLATES[name])[0]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs).where(f"license = '{name}' AND form = 0").collect()}
+    template = license_scan.cut(license_scan.TEMPLATES[name][0])[0]
+    needed = set(license_scan.cut(name)[0]) & set(template) if len(template) < license_scan.SHORT else set()
+    most = 0
     for k, text, own in rows:
-        common = longest_common(template, license_scan.cut(" ".join(own))[0])
-        if common >= license_scan.COVERAGE * len(template):
+        edited = license_scan.cut(" ".join(own))[0]
+        common = longest_common(template, edited)
+        # Words put between those of a long template may break all its runs of GRAM + WINDOW - 1 words.
+        unbroken = len(template) < license_scan.SHORT or len(edited) <= len(template)
+        if common >= license_scan.COVERAGE * len(template) and needed <= set(edited) and unbroken:
+            most += common < len(template)
             assert got[k].matched == common, (own, got.get(k))
             span = text[got[k].start : got[k].end]
             assert longest_common(template, license_scan.cut(span)[0]) == common and span == span.strip()
+        if common < license_scan.COVERAGE * len(template):
+            assert k not in got
+    assert most or len(template) < 5
+
+
+def test_whole_licenses(spark):
+    """Texts of licenses, wrapped and with some words changed, and the notices inside them count once."""
+    rng = random.Random(7)
+    rows = []
+    for name, forms in license_scan.TEMPLATES.items():
+        for text in forms:
+            words = text.split()
+            if len(words) > 40:
+                for at in rng.sample(range(len(words)), len(words) // 12):
+                    words[at] = words[at] if words[at] in ("Affero", "Lesser") else "changed"  # these alone tell licenses apart
+                rows.append((len(rows), "// " + " ".join(w + ("\n// " if k % 11 == 10 else "") for k, w in enumerate(words)), name))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {}
+    for r in license_scan.scan_licenses(docs).collect():
+        got.setdefault(r.doc_id, []).append(r.license)
+    assert len(rows) > 10
+    for k, _, name in rows:
+        assert name in got[k], (name, got.get(k))
+    few = license_scan.scan_licenses(docs, {"none": ("",), "marks": ("...",)})
+    assert few.count() == 0
 
 
 def test_license_edges(spark):
@@ -116,12 +150,9 @@ def test_domains_of_rows_that_were_not_learnt_from(spark):
         rows.append((i, " ".join(rng.permutation(text)), domain))
     df = spark.createDataFrame(rows, "doc_id long, text string, domain string")
     model = mixing.fit_domains(df.where("doc_id < 600").select(word_hashes(F.col("text")).alias("words"), "domain", (F.col("doc_id") % 4 == 0).alias("later")))
-    rest = df.where("doc_id >= 600").withColumn("truth", F.col("domain")).withColumn("domain", F.lit(None).cast("string")).withColumn("words", word_hashes(F.col("text")))
+    rest = df.where("doc_id >= 600").withColumn("truth", F.col("domain")).withColumn("words", word_hashes(F.col("text")))
     got = mixing.memberships(rest, model, keep=("doc_id", "truth")).collect()
     assert len(got) == 300 and np.mean([model.domains[int(np.argmax(r.posterior))] == r.truth for r in got]) > 0.98
-    # Fitted rows keep the label that they came with.
-    known = mixing.memberships(rest.withColumn("domain", F.lit("junk")), model).collect()
-    assert all(r.posterior[model.domains.index("junk")] == 1 for r in known)
 
 
 def test_mixing_documents(spark):
@@ -173,11 +204,11 @@ def test_pipeline(spark):
     for i, r in old.items():
         spans = secret_scan.find(r.text, secret_scan.RULES)
         assert (new[i].text == r.text) == (not spans) and new[i].n_chars == len(new[i].text)
-        assert not [x for x in secret_scan.find(new[i].text, secret_scan.RULES) if x[0] != "assign"]
+        assert not secret_scan.find(new[i].text, secret_scan.RULES)
     before, after = rows("mixing")
     clean = [i for i in before if i in labels and labels[i].quality and not labels[i].toxic]
-    assert np.mean([i in after for i in clean]) > 0.99
     toxic = [i for i in before if i in labels and labels[i].toxic]
+    assert np.mean([i in after for i in clean]) > 0.99
     assert np.mean([i in after for i in toxic]) < 0.3
     pieces = seen["packing"][1].collect()
     assert Counter(r.doc_id for r in pieces if r.piece == 0) == after
@@ -204,5 +235,5 @@ def test_labels_count_beyond_the_sample(spark, monkeypatch):
     # Half of the labels contradict what the words say.
     named = {i: "clean" if d == "junk" and i % 2 else d for i, d in rows}
     labels = spark.createDataFrame([(i, int(d != "junk"), int(d == "toxic")) for i, d in named.items()], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r for r in mixing.mix(docs, labels).collect()}
+    got = {r.doc_id: r for r in mixing.mix(docs, labels, trust_labels=True).collect()}
     assert {i: r.domain for i, r in got.items()} == named and all(max(r.posterior) == 1 for r in got.values())
