@@ -113,3 +113,149 @@ def estimate(size: Column, per_kb: float = 0.2) -> Column:
     """Minutes and seconds that a file of so many bytes may take."""
     s = F.floor(size / 1000 * per_kb).cast("long")
     return F.struct(F.floor(s / 60).alias("minutes"), (s % 60).alias("seconds"))
+
+
+def title_apart(title: Column, url: Column, n_urls: Column) -> Column:
+    """The title, with the last part of the url behind it where several urls have it."""
+    return F.when(n_urls > 1, F.concat(title, F.lit("-"), url_last_segment(url))).otherwise(title)
+
+
+#: What urls of each kind look like.
+_WEB = "^https?://[-a-zA-Z0-9@:%._~#=]{2,256}[.][a-z]{2,}"
+_VIDEO = "^(?:https?://)?(?:www\\.)?(?:youtu\\.be/|youtube\\.com/(?:embed/|v/|watch\\?v=|watch\\?.+&v=))[A-Za-z0-9_-]{11}(?:\\S+)?$"
+_WIKI = "^https?://(?:www\\.)?([a-zA-Z]{2,3})\\.wikipedia\\.org/wiki/(.*)$"
+_BUCKET = "^s3://([^/]+)/?$"
+
+
+def is_web_url(url: Column) -> Column:
+    return F.coalesce(url.rlike(_WEB), F.lit(False))
+
+
+def url_kind(url: Column) -> Column:
+    """video, wiki, bucket or web; null for what is none of them."""
+    return F.when(url.rlike(_VIDEO), "video").when(url.rlike(_WIKI), "wiki").when(url.rlike(_BUCKET), "bucket").when(url.rlike(_WEB), "web")
+
+
+def host_in(url: Column, hosts: list[str]) -> Column:
+    return F.coalesce(url_host(url).isin(*hosts), F.lit(False))
+
+
+def wiki_parts(url: Column) -> Column:
+    """language and page of an article's url; null for any other."""
+    part = lambda k: F.regexp_extract(url, _WIKI, k)
+    return F.when(url.rlike(_WIKI), F.struct(part(1).alias("language"), part(2).alias("page")))
+
+
+def unquoted_name(url: Column) -> Column:
+    """The last part of a path without its query, percent signs decoded."""
+    return F.url_decode(F.regexp_extract(F.split_part(url, F.lit("?"), F.lit(1)), "([^/]*)$", 1))
+
+
+#: Calls that an instruction must not hold.
+_CALLS = ("os\\.getenv\\(", "eval\\(", "exec\\(", "subprocess\\.", "import os", "import subprocess")
+
+
+def sanitize_instruction(text: Column) -> Column:
+    """Braces become brackets, calls are blocked in either case, white space collapses."""
+    out = F.translate(text, "{}", "[]")
+    for call in _CALLS:
+        out = F.regexp_replace(out, f"(?i){call}", "[BLOCKED]")
+    return F.trim(F.regexp_replace(out, "\\s+", " "))
+
+
+def named_property(properties: Column) -> Column:
+    """The value of the first key that ends in name, title, id or description, in either case."""
+    keys = F.filter(F.map_keys(properties), lambda k: k.rlike("(?i)(name|title|id|description)$"))
+    return F.get(F.transform(keys, lambda k: F.element_at(properties, k)), F.lit(0))
+
+
+def node_text(label: Column, name: Column, description: Column) -> Column:
+    """Label:name (description)"""
+    return F.concat(F.coalesce(label, F.lit("")), F.lit(":"), F.coalesce(name, F.lit("")), F.when(description.isNotNull(), F.concat(F.lit(" ("), description, F.lit(")"))).otherwise(""))
+
+
+def rel_text(source: Column, kind: Column, target: Column) -> Column:
+    return F.concat_ws(" ", source, kind, target)
+
+
+def community_text(nodes: Column, rels: Column) -> Column:
+    """What a summary is made of: a line for each of nodes (id, type, description) and of rels (start, type, end)."""
+    node = lambda n: F.concat(F.lit("id: "), n.id, F.lit(", type: "), n.type, F.when(F.coalesce(n.description, F.lit("")) != "", F.concat(F.lit(", description: "), n.description)).otherwise(""), F.lit("\n"))
+    rel = lambda r: F.concat(F.lit("("), r.start, F.lit(")-[:"), r.type, F.lit("]->("), r.end, F.lit(")\n"))
+    lines = lambda x, f: F.array_join(F.transform(x, f), "")
+    return F.concat(F.lit("Nodes are:\n"), lines(nodes, node), F.lit("\nRelationships are:\n"), lines(rels, rel))
+
+
+def numbered(texts: Column) -> Column:
+    """Summary 1: ... Summary 2: ..."""
+    return F.array_join(F.transform(texts, lambda x, i: F.concat(F.lit("Summary "), (i + 1).cast("string"), F.lit(": "), x)), " ")
+
+
+def title_and_summary(text: Column, untitled: str = "Untitled Community") -> Column:
+    """title and summary of a reply: of lines that begin with these words, in either case, what follows the first colon; the last such line counts."""
+    lines = F.split(text, "\n")
+    last = lambda word: F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.filter(lines, lambda x: F.lower(x).startswith(word))), -1)
+    value = lambda line: F.trim(F.regexp_replace(line, "^[^:]*:", ""))
+    return F.struct(F.coalesce(value(last("title")), F.lit(untitled)).alias("title"), F.coalesce(value(last("summary")), F.lit("")).alias("summary"))
+
+
+def utc_text(at: Column) -> Column:
+    return F.concat(F.date_format(at, "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC"))
+
+
+def iso_text(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
+def struct_time(parts: Column) -> Column:
+    """A timestamp of year, month, day, hour, minute, second."""
+    return F.make_timestamp(parts.year, parts.month, parts.day, parts.hour, parts.minute, parts.second)
+
+
+def json_list(text: Column) -> Column:
+    """A JSON list as trimmed strings; empty where it is none."""
+    return F.transform(F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>")), lambda x: F.trim(x))
+
+
+def tagged_triplets(text: Column) -> Column:
+    """Triplets of a text marked with <triplet> head <subj> tail <obj> type, tails and types possibly several a head."""
+    words = F.filter(F.split(F.regexp_replace(text, "</?s>|<pad>", ""), "\\s+"), lambda w: w != "")
+    entry = "struct<head string, type string, tail string>"
+    start = F.struct(F.lit("").alias("head"), F.lit("").alias("type"), F.lit("").alias("tail"), F.lit("").alias("at"), F.array().cast(f"array<{entry}>").alias("out"))
+    grown = lambda s, w: F.trim(F.concat_ws(" ", s, w))
+
+    def step(a: Column, w: Column) -> Column:
+        mark = w.isin("<triplet>", "<subj>", "<obj>")
+        done = w.isin("<triplet>", "<subj>") & (a.type != "")
+        own = F.array(F.struct(a.head.alias("head"), a.type.alias("type"), a.tail.alias("tail")))
+        return F.struct(
+            F.when(w == "<triplet>", "").when(~mark & (a.at == "<triplet>"), grown(a.head, w)).otherwise(a.head).alias("head"),
+            F.when((w == "<obj>") | ((w == "<triplet>") & (a.type != "")), "").when(~mark & (a.at == "<obj>"), grown(a.type, w)).otherwise(a.type).alias("type"),
+            F.when(w == "<subj>", "").when(~mark & (a.at == "<subj>"), grown(a.tail, w)).otherwise(a.tail).alias("tail"),
+            F.when(mark, w).otherwise(a.at).alias("at"), F.when(done, F.concat(a.out, own)).otherwise(a.out).alias("out"),
+        )
+
+    def finish(a: Column) -> Column:
+        whole = (a.head != "") & (a.type != "") & (a.tail != "")
+        return F.when(whole, F.concat(a.out, F.array(F.struct(a.head.alias("head"), a.type.alias("type"), a.tail.alias("tail"))))).otherwise(a.out)
+
+    return F.aggregate(words, start, step, finish)
+
+
+def token_total(reply: Column) -> Column:
+    """Tokens of a reply's metadata in JSON, whichever field its provider has; 0 where none is known."""
+    field = lambda path: F.get_json_object(reply, path).cast("long")
+    both = field("$.usage.input_tokens") + field("$.usage.output_tokens")
+    return F.coalesce(field("$.token_usage.total_tokens"), field("$.usage_metadata.prompt_token_count"), field("$.usage.total_tokens"), both, field("$.prompt_eval_count"), F.lit(0))
+
+
+def snake_words(key: Column) -> Column:
+    """snake case to camelCase."""
+    parts = F.split(F.lower(key), "_")
+    return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda x: F.initcap(x)), ""))
+
+
+def without_blank(nodes: Column) -> Column:
+    """Of nodes (id, type) those whose id and type are not blank, back-ticks taken off."""
+    bare = F.transform(nodes, lambda x: F.struct(without_ticks(x.id).alias("id"), without_ticks(x.type).alias("type")))
+    return F.filter(bare, lambda x: (F.coalesce(x.id, F.lit("")) != "") & (F.coalesce(x.type, F.lit("")) != ""))

@@ -19,18 +19,48 @@ def provenance(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     return entities.join(of, "node_id", "left").withColumn("documents", F.coalesce("documents", empty)).withColumn("chunk_connections", F.coalesce("chunk_connections", F.lit(0)))
 
 
-def duplicate_pairs(entities: DataFrame, distance: int = 5, shortest: int = 3) -> DataFrame:
-    """Pairs of entities (label, name) of one label that may be the same: one name contains the other, of more than two characters,
-    or the first name is longer than the distance and their edit distance is below it. Names are compared in lower case.
+def duplicate_pairs(entities: DataFrame, distance: int = 5, shortest: int = 3, likeness: float = 0.97) -> DataFrame:
+    """Pairs a < b of entities (label, name, and embedding if there is one) of one label that may be the same: one name contains the
+    other, of at least ``shortest`` characters, or the first name is longer than the distance and their edit distance is below it, or
+    their vectors' scaled similarity is the likeness or more. Names are compared in lower case.
 
-    The join is on the label, so only names of one label meet; a label must stay small enough for its pairs.
+    Names meet only if they share something: the first characters of a contained name stand in the other; of names within k edits, one of
+    the k + 1 even pieces of the first stands in the other, k places away at most. Equal vectors meet by their hash; others by blocks.
     """
-    a = entities.select("label", F.col("name").alias("a"))
-    b = entities.select("label", F.col("name").alias("b"))
-    x, y = F.lower("a"), F.lower("b")
-    contained = (F.length("a") >= shortest) & (F.length("b") >= shortest) & (x.contains(y) | y.contains(x))
-    near = (F.length("a") > distance) & F.levenshtein(x, y, distance - 1).between(0, distance - 1)
-    return a.join(b, "label").where((F.col("a") < F.col("b")) & (contained | near))
+    own = entities.select("label", "name", F.lower("name").alias("low"), F.length("name").alias("n"))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("n") - shortest + 1), lambda i: F.substring("low", i, F.lit(shortest))))
+    long = own.where(F.col("n") >= shortest)
+    outer = long.select("label", F.col("name").alias("x"), F.col("low").alias("x_"), F.explode(grams).alias("gram"))
+    inner = long.select("label", F.col("name").alias("y"), F.col("low").alias("y_"), F.left("low", F.lit(shortest)).alias("gram"))
+    contained = outer.join(inner, ["label", "gram"]).where(F.col("x_").contains(F.col("y_")) & (F.col("x") != F.col("y")))
+    contained = contained.select("label", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    k = distance - 1
+    start = lambda n, i: F.floor(n * i / (k + 1)).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(k)), lambda i: F.substring("low", start(F.col("n"), i) + 1, start(F.col("n"), i + 1) - start(F.col("n"), i)))
+    first = own.where(F.col("n") > distance).select("label", F.col("name").alias("a"), F.col("low").alias("a_"), "n", F.posexplode(pieces).alias("i", "piece"))
+    probe = own.select("label", F.col("name").alias("b"), F.col("low").alias("b_"), F.col("n").alias("m"), F.explode(F.sequence(F.greatest(F.col("n") - k, F.lit(distance + 1)), F.greatest(F.col("n") + k, F.lit(distance + 1)))).alias("n"))
+    probe = probe.select("*", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("i")).select("*", F.explode(F.sequence(F.lit(-k), F.lit(k))).alias("shift"))
+    at, width = start(F.col("n"), F.col("i")) + F.col("shift"), start(F.col("n"), F.col("i") + 1) - start(F.col("n"), F.col("i"))
+    probe = probe.where((at >= 0) & (at + width <= F.col("m"))).select("label", "b", "b_", "n", "i", F.substring("b_", at + 1, width).alias("piece")).distinct()
+    near = first.join(probe, ["label", "n", "i", "piece"]).where("a < b").select("label", "a", "a_", "b", "b_").distinct()
+    near = near.where(F.levenshtein("a_", "b_", k).between(0, k)).select("label", "a", "b")
+    out = contained.unionByName(near)
+    return (out.unionByName(_alike(entities, likeness)) if "embedding" in entities.columns else out).distinct()
+
+
+def _alike(entities: DataFrame, likeness: float) -> DataFrame:
+    from tessera.operators.retrieval import alike
+
+    own = entities.where("embedding IS NOT NULL").select("label", "name", "embedding", F.xxhash64("label", "name").alias("id"))
+    name = lambda i, c: own.select(F.col("id").alias(i), F.col("name").alias(c))
+    found = alike(own, likeness, "label").join(name("id", "a"), "id").join(name("neighbour", "b"), "neighbour")
+    return found.select("label", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def duplicate_page(groups: DataFrame, degrees: DataFrame, limit: int = 100) -> DataFrame:
+    """The first groups (label, head, members) by the degree of their head (node_id, degree), then the length of its name, then the name."""
+    d = degrees.select(F.col("node_id").alias("head"), "degree")
+    return groups.join(d, "head", "left").orderBy(F.desc(F.coalesce("degree", F.lit(0))), F.desc(F.length("head")), "head", "label").limit(limit)
 
 
 def duplicate_groups(pairs: DataFrame) -> DataFrame:
@@ -60,9 +90,13 @@ def merge_nodes(nodes: DataFrame, rels: DataFrame, mapping: DataFrame) -> tuple[
 
 def delete_documents(mentions: DataFrame, files: DataFrame) -> DataFrame:
     """Entities (entity) that only deleted documents (file) mention, which go with them."""
-    gone = mentions.join(files, "file", "left_semi").select("entity").distinct()
-    others = mentions.join(files, "file", "left_anti").select("entity").distinct()
-    return gone.join(others, "entity", "left_anti")
+    marked = mentions.select("entity", "file").distinct().join(files.select("file", F.lit(True).alias("gone_")).distinct(), "file", "left")
+    return marked.groupBy("entity").agg(F.bool_and(F.coalesce("gone_", F.lit(False))).alias("all_")).where("all_").select("entity")
+
+
+def entities_of(mentions: DataFrame, files: DataFrame, shared: bool = False) -> DataFrame:
+    """Entities that files mention; without those that others mention too, unless shared ones are meant as well."""
+    return mentions.join(files, "file", "left_semi").select("entity").distinct() if shared else delete_documents(mentions, files)
 
 
 def detach(nodes: DataFrame, rels: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

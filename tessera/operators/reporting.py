@@ -17,8 +17,8 @@ def stats_by(rows: DataFrame, keys: list[str], value: str, digits: int = 4) -> D
 
 def percentiles(rows: DataFrame, key: str, value: str, points=(0.25, 0.5, 0.75, 0.9, 0.99)) -> DataFrame:
     """n, interpolated percentiles and the largest value by key, each in a column of its own."""
-    own = [F.round(F.percentile(value, F.lit(p)), 4).alias(f"p{round(100 * p)}") for p in points]
-    return rows.groupBy(key).agg(F.count("*").alias("n"), *own, F.max(value).alias("largest"))
+    of = rows.groupBy(key).agg(F.count("*").alias("n"), F.percentile(value, F.array(*map(F.lit, points))).alias("p_"), F.max(value).alias("largest"))
+    return of.select(key, "n", *(F.round(F.col("p_")[k], 4).alias(f"p{round(100 * p)}") for k, p in enumerate(points)), "largest")
 
 
 def pivot_metrics(rows: DataFrame, key: str, metric: str, value: str, metrics: list[str], digits: int = 4) -> DataFrame:
@@ -54,3 +54,48 @@ def non_null(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def value_counts(rows: DataFrame, column: Column, name: str) -> DataFrame:
     return rows.groupBy(column.alias(name)).agg(F.count("*").alias("n"))
+
+
+def inverse(rows: DataFrame, mapping: str) -> DataFrame:
+    """From maps of a new name to its old ones to rows old, new, without names that stay."""
+    each = rows.select(F.explode(mapping).alias("new", "olds")).select("new", F.explode("olds").alias("old"))
+    return each.where("old != new").select("old", "new")
+
+
+def last_values(rows: DataFrame, key: str, order: str, maps: str, name: str) -> DataFrame:
+    """The value that a name has in the last map of each key that holds it, by partial aggregation."""
+    own = rows.where(F.map_contains_key(maps, name))
+    return own.groupBy(key).agg(F.max_by(F.element_at(maps, name), order).alias("value"))
+
+
+def zipped(rows: DataFrame, key: str, order: str, left: Column, right: Column) -> DataFrame:
+    """key, place, question, answer: rows of either kind by their places among their own, without collecting a key's rows."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(key, "kind_").orderBy(order)
+    placed = rows.withColumn("kind_", F.when(left, 0).when(right, 1)).where("kind_ IS NOT NULL").withColumn("place", F.row_number().over(w) - 1)
+    of = placed.groupBy(key, "place").agg(F.max(F.when(F.col("kind_") == 0, F.col(order))).alias("question"), F.max(F.when(F.col("kind_") == 1, F.col(order))).alias("answer"))
+    both = placed.groupBy(key).agg(F.count_distinct("kind_").alias("kinds_")).where("kinds_ = 2").select(key)
+    return of.join(both, key, "left_semi").select(key, "place", "question", "answer")
+
+
+def both_allowed(triples: DataFrame, names: DataFrame) -> DataFrame:
+    """triples (source, relation, target, ...) with allowed: whether both ends are among names."""
+    own = names.distinct()
+    a, b = own.select(F.col("name").alias("source"), F.lit(True).alias("a_")), own.select(F.col("name").alias("target"), F.lit(True).alias("b_"))
+    joined = triples.join(a, "source", "left").join(b, "target", "left")
+    return joined.select(*triples.columns, F.coalesce(F.col("a_") & F.col("b_"), F.lit(False)).alias("allowed"))
+
+
+def entity_recall(truth: DataFrame, found: DataFrame) -> DataFrame:
+    """id and recall: the share of the entities (id, entity) of the truth that were found; ids that both have."""
+    a, b = truth.distinct(), found.distinct()
+    hit = a.join(b.withColumn("hit_", F.lit(1)), ["id", "entity"], "left").groupBy("id").agg(F.round(F.count("hit_") / F.count("*"), 4).alias("recall"))
+    return hit.join(found.select("id").distinct(), "id", "left_semi")
+
+
+def semantic_score(pairs: DataFrame) -> DataFrame:
+    """id and cosine of the vectors a and b."""
+    from tessera.functions.vectors import cosine
+
+    return pairs.select("id", F.round(cosine(F.col("a"), F.col("b")), 4).alias("score"))

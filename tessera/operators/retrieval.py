@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import cosine, scaled
+from tessera.sinks_shared import materialize
 
 #: Rows of one side of a block in the exact nearest-neighbour join.
 BLOCK = 2000
@@ -26,6 +27,7 @@ def nearest_neighbours(rows: DataFrame, k: int, least: float = 0.0) -> DataFrame
     Rows are dealt into blocks by a hash, each pair of blocks is one matrix product, and each gives k rows a row at most, which are
     then reduced by partial top-k. Work grows with the square of the rows, memory does not.
     """
+    rows = rows.where("embedding IS NOT NULL")
     n = rows.count()
     blocks = max(1, -(-n // BLOCK))
     own = rows.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
@@ -55,44 +57,120 @@ def nearest_neighbours(rows: DataFrame, k: int, least: float = 0.0) -> DataFrame
     return found.withColumn("n_", F.row_number().over(w)).where(F.col("n_") <= k).drop("n_")
 
 
+def alike(rows: DataFrame, least: float, within: str | None = None) -> DataFrame:
+    """id, neighbour and score of all pairs id < neighbour of rows (id long, embedding) of scaled similarity least or more; within: a
+    column that both must share. Blocks are as in ``nearest_neighbours``, each pair of blocks once."""
+    blocks = max(1, -(-rows.count() // BLOCK))
+    keys = [within] if within else []
+    own = rows.where("embedding IS NOT NULL").select("id", "embedding", *keys, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block_"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = own.withColumn("other_", other).select("id", "embedding", *keys, "block_", F.least("block_", "other_").alias("i"), F.greatest("block_", "other_").alias("j"))
+
+    def found(t: pa.Table) -> pa.Table:
+        ids, side = t.column("id").to_numpy(), t.column("block_").to_numpy()
+        vectors = np.array(t.column("embedding").to_pylist(), dtype=np.float64)
+        norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        score = np.round((1 + (vectors / np.maximum(norms, 1e-300)) @ (vectors / np.maximum(norms, 1e-300)).T) / 2, 4)
+        real = norms[:, 0] > 0
+        ok = (score >= least) & (ids[:, None] < ids[None, :]) & real[:, None] & real[None, :]
+        a, b = np.nonzero(ok & ((side[:, None] != side[None, :]) if i != j else True))
+        out = {"id": ids[a], "neighbour": ids[b], "score": score[a, b]}
+        return pa.table(out | ({within: t.column(within).take(pa.array(a))} if within else {}))
+
+    schema = "id long, neighbour long, score double" + (f", {within} {dict(rows.dtypes)[within]}" if within else "")
+    return dealt.groupBy(*keys, "i", "j").applyInArrow(found, schema)
+
+
 def similar_edges(neighbours: DataFrame) -> DataFrame:
     """Undirected SIMILAR edges, each pair once with its score."""
     return neighbours.groupBy(F.least("id", "neighbour").alias("source"), F.greatest("id", "neighbour").alias("target")).agg(F.max("score").alias("score"))
 
 
-def bm25(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """id and score of each row (id, words: lower-case) with one of the terms.
+def postings(docs: DataFrame) -> DataFrame:
+    """The inverted index of rows (id, words): term, id, tf and length, sorted by term in ranges, so a look-up reads the row groups of its terms."""
+    each = docs.select("id", F.size("words").alias("length"), F.explode("words").alias("term"))
+    return each.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length")).repartitionByRange("term", "id").sortWithinPartitions("term")
 
-    One pass counts the corpus (rows, words, and rows with each term): a row of as many numbers as there are terms. The second scores
-    inside each row, so nothing is shuffled by word.
-    """
-    has = [F.sum(F.array_contains("words", t).cast("long")).alias(f"df{k}") for k, t in enumerate(terms)]
-    n, total, *df = docs.agg(F.count("*"), F.sum(F.size("words")), *has).head()
-    if not n or not total:
-        return docs.select("id", F.lit(0.0).alias("score")).limit(0)
-    length = F.size("words") / (total / n)
-    score = F.lit(0.0)
-    for t, d in zip(terms, df):
-        tf = _frequency(t)
-        idf = float(np.log(1 + (n - d + 0.5) / (d + 0.5)))
-        score = score + F.lit(idf) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length))
-    return docs.select("id", F.round(score, 6).alias("score")).where("score > 0")
 
-
-def _frequency(term: str):
-    return F.size(F.filter("words", lambda w: w == term)).cast("double")
+def bm25(index: DataFrame, lengths: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """id and score of each row with one of the terms, from the index and the lengths of all rows (id, length)."""
+    n, total = lengths.agg(F.count("*"), F.sum("length")).head()
+    own = index.where(F.col("term").isin(*terms))
+    # A row a term.
+    df = F.broadcast(own.groupBy("term").agg(F.count("*").alias("df")))
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / ((total or 1) / max(n, 1))))
+    return own.join(df, "term").groupBy("id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def fuse(*ranked: DataFrame) -> DataFrame:
-    """Hybrid score of searches (id, score): each is divided by its largest, and an id has the best of them."""
+    """Hybrid score of searches (id, score): each is divided by its largest, and an id has the best of them. Each search runs once."""
+    kept = [materialize(r.select("id", "score"), "ranked") for r in ranked]
     # The largest score is one row, so the product is a broadcast of it.
-    parts = [r.crossJoin(F.broadcast(r.agg(F.max("score").alias("m")))).select("id", (F.col("score") / F.col("m")).alias("score")) for r in ranked]
+    parts = [r.crossJoin(F.broadcast(r.agg(F.max("score").alias("m")))).select("id", (F.col("score") / F.col("m")).alias("score")) for r in kept]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.groupBy("id").agg(F.round(F.max("score"), 6).alias("score"))
 
 
+def hops(score: Column) -> Column:
+    """How far an entity is followed: not known or from 0.3 to 0.9 one edge, more alike two, else none."""
+    return F.when(score.isNull() | score.between(0.3, 0.9), 1).when(score > 0.9, 2).otherwise(0)
+
+
+def expansion(edges: DataFrame, seeds: DataFrame, most: tuple[int, int] = (20, 40)) -> DataFrame:
+    """seed, length, end, edge: paths from seeds (seed, hops) over edges (source, target) in either direction, no edge twice, the first
+    so many of each seed by length and names: most[0] for one hop, most[1] for two. The path of no edge is always there."""
+    own = edges.select("source", "target", F.concat_ws("|", "source", "target").alias("edge"))
+    step = own.select(F.col("source").alias("a"), F.col("target").alias("b"), "edge").unionByName(own.where("source != target").select(F.col("target").alias("a"), F.col("source").alias("b"), "edge"))
+    none = seeds.select("seed", "hops", F.lit(0).alias("length"), F.col("seed").alias("end"), F.lit(None).cast("string").alias("edge"), F.lit(None).cast("string").alias("first"))
+    one = seeds.where("hops > 0").join(step, F.col("seed") == F.col("a")).select("seed", "hops", F.lit(1).alias("length"), F.col("b").alias("end"), "edge", F.lit(None).cast("string").alias("first"))
+    far = one.where("hops > 1").select("seed", "hops", F.col("end").alias("via"), F.col("edge").alias("first"))
+    two = far.join(step, (F.col("via") == F.col("a")) & (F.col("edge") != F.col("first"))).select("seed", "hops", F.lit(2).alias("length"), F.col("b").alias("end"), "edge", "first")
+    w = Window.partitionBy("seed").orderBy("length", "end", "edge", "first")
+    placed = none.unionByName(one).unionByName(two).withColumn("n_", F.row_number().over(w))
+    return placed.where(F.col("n_") <= F.when(F.col("hops") > 1, most[1]).otherwise(most[0])).select("seed", "length", "end", "edge", "first")
+
+
+def local_context(seeds: DataFrame, mentions: DataFrame, edges: DataFrame, members: DataFrame, ranks: DataFrame, chunks: int = 3, communities: int = 3, outside: int = 10) -> DataFrame:
+    """part and value of what a local search gives: its entities (seeds: entity), the chunks that mention most of them, their communities
+    (of lowest rank, then largest weight; one of several entities comes several times), the edges among them, and the outside
+    neighbours with most edges to them. members: entity, community. ranks: community, community_rank, weight.
+
+    Seeds are few, so each part is a broadcast of them.
+    """
+    s = F.broadcast(seeds.select("entity").distinct())
+    line = lambda part, value: [F.lit(part).alias("part"), value.alias("value")]
+    near = mentions.select("entity", "chunk_id").join(s, "entity").groupBy("chunk_id").agg(F.count_distinct("entity").alias("n")).orderBy(F.desc("n"), "chunk_id").limit(chunks)
+    own = members.join(s, "entity").join(ranks, "community").orderBy(F.col("community_rank").asc_nulls_last(), F.col("weight").desc_nulls_first(), "community", "entity").limit(communities)
+    a, b = s.select(F.col("entity").alias("source")), s.select(F.col("entity").alias("target"))
+    inside = edges.join(a, "source", "left_semi").join(b, "target", "left_semi")
+    ends = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).where("source != target")
+    away = ends.join(a, "source", "left_semi").join(b, "target", "left_anti").groupBy("target").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "target").limit(outside)
+    parts = [
+        seeds.select(*line("entity", F.col("entity"))), near.select(*line("chunk", F.col("chunk_id"))), own.select(*line("community", F.col("community"))),
+        inside.select(*line("relationship", F.concat_ws("|", "source", "target"))), away.select(*line("outside", F.col("target"))),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def cut_off(documents: DataFrame, most: int) -> DataFrame:
+    """The so many documents of an answer's context that are most like the question."""
+    return documents.orderBy(F.desc("score"), "source").limit(most)
+
+
+def context(documents: DataFrame) -> DataFrame:
+    """One text of some documents (source, text, score; as few as ``cut_off`` leaves), the most alike first."""
+    block = F.concat(F.lit("Document start\nThis Document belongs to the source "), "source", F.lit("\nContent: "), "text", F.lit("\nDocument end\n"))
+    o = documents.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "source", block.alias("block")))).alias("o"))
+    return o.select(F.array_join(F.transform("o", lambda x: x.block), "\n\n").alias("text"), F.size("o").cast("long").alias("n"))
+
+
 def document_texts(hits: DataFrame) -> DataFrame:
     """hits (file, chunk_id, text, score) -> file, text (chunks by score, then id), score (mean), n_chunks."""
     of = hits.groupBy("file").agg(F.round(F.avg("score"), 4).alias("score"), F.count("*").alias("n_chunks"), F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "chunk_id", "text"))).alias("o"))

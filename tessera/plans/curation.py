@@ -54,6 +54,24 @@ def duplicate_groups(spark, sf_dir):
     return U.duplicate_groups(U.duplicate_pairs(_names(spark, sf_dir))).select("label", "head", F.array_join("members", "|").alias("members"))
 
 
+@query(f"""{_GROUPS} SELECT label, head, array_to_string(members, '|') AS members, coalesce(degree, 0) AS degree FROM kept LEFT JOIN (SELECT p_name AS head, count(*) AS degree FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY p_name) USING (head)
+    ORDER BY degree DESC, length(head) DESC, head, label LIMIT 100""")
+def duplicate_page(spark, sf_dir):
+    """The first hundred groups, those with the busiest heads first."""
+    part, lines = D.table(spark, sf_dir, "part").select("p_partkey", "p_name"), D.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
+    degrees = lines.join(part, "p_partkey").groupBy(F.col("p_name").alias("node_id")).agg(F.count("*").alias("degree"))
+    page = U.duplicate_page(U.duplicate_groups(U.duplicate_pairs(_names(spark, sf_dir))), degrees)
+    return page.select("label", "head", F.array_join("members", "|").alias("members"), F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+@query("""WITH e AS (SELECT label, 'v' || vec_id AS name, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 300) SELECT a.label, a.name AS a, b.name AS b FROM e a JOIN e b ON a.label = b.label AND a.name < b.name
+    WHERE round((1 + list_cosine_similarity(a.v, b.v)) / 2, 4) >= 0.75 OR (contains(a.name, b.name) OR contains(b.name, a.name)) AND length(a.name) >= 3 AND length(b.name) >= 3""")
+def duplicate_pairs_by_vectors(spark, sf_dir):
+    """Names of one label that contain each other, or whose vectors are alike."""
+    own = D.table(spark, sf_dir, "embeddings").where("vec_id < 300").select("label", F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("name"), "embedding")
+    return U.duplicate_pairs(own, likeness=0.75)
+
+
 @query("""WITH m AS (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_name) AS kept FROM part)
     SELECT 'rels' AS what, count(*) AS n FROM (SELECT DISTINCT l_suppkey, kept FROM lineitem JOIN m ON l_partkey = p_partkey) UNION ALL SELECT 'nodes', count(DISTINCT kept) FROM m""")
 def merge_duplicates(spark, sf_dir):

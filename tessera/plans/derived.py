@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.operators import ingest
+from tessera.sinks_shared import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,12 +22,60 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("file"), "doc_id", "text", "lang", "source", "n_chars")
 
 
+#: What the stand-in for the table of sources cycles through.
+STATUSES = ["New", "Processing", "Completed", "Failed", "Cancelled", "Ready to Reprocess", "Completed"]
+KINDS = [".pdf", ".txt", ".html", None]
+ORIGINS = ["local file", "web-url", "youtube", "s3 bucket"]
+MODELS = ["model-a", "model-b", "model-c"]
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as rows of the table of sources: file, size, kind, origin, state, times and counters, by rules over their ids."""
+    k = F.col("doc_id")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    at = lambda a, b: F.timestamp_seconds(F.lit(1_704_067_200) + k * a % b * 3600)
+    url = F.when(k % 5 == 0, "None").when(k % 3 != 0, F.concat(F.lit("https://host"), (k % 9).cast("string"), F.lit(".example/p/"), k.cast("string")))
+    return table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select(
+        F.concat(F.lit("doc_"), k.cast("string")).alias("file"), "doc_id", F.col("n_chars").alias("file_size"), pick(KINDS).alias("file_type"), pick(ORIGINS).alias("file_source"),
+        pick(STATUSES).alias("status"), url.alias("url"), F.col("lang").alias("language"), pick(MODELS).alias("model"), at(37, 1000).alias("created_at"), at(91, 3000).alias("updated_at"),
+        (k % 40 + 1).cast("int").alias("total_chunks"), (k % 40 * 7 % 41).cast("int").alias("processed_chunk"), (k % 7 == 4).alias("is_cancelled"), (k % 50).alias("node_count"), (k % 30).alias("relationship_count"),
+    )
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.chunk_windows(files(spark, sf_dir))
 
 
+def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is made once a session and data folder, as ingestion does, and read by all queries after that."""
+    tables = spark.__dict__.setdefault("_tessera_tables", {})
+    if (sf_dir, name) not in tables:
+        tables[sf_dir, name] = materialize(make(), name)
+    return tables[sf_dir, name]
+
+
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.entity_mentions(chunks(spark, sf_dir))
+    return stored(spark, sf_dir, "mentions", lambda: ingest.entity_mentions(chunks(spark, sf_dir)))
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source, target, weight of entities that stand side by side."""
+    return stored(spark, sf_dir, "entity-edges", lambda: ingest.mention_edges(mentions(spark, sf_dir)))
+
+
+def keyword_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Postings and lengths of the documents' words in lower case, without dots and commas."""
+    from tessera.operators import retrieval
+
+    words = lambda: files(spark, sf_dir).select(F.col("file").alias("id"), T.words(F.lower(F.translate("text", ".,", ""))).alias("words"))
+    return stored(spark, sf_dir, "postings", lambda: retrieval.postings(words())), stored(spark, sf_dir, "lengths", lambda: words().select("id", F.size("words").alias("length")))
+
+
+def entity_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """entity with one of the vectors, by a hash of its name."""
+    own = mentions(spark, sf_dir).select("entity").distinct()
+    h = F.conv(F.substring(F.md5("entity"), 1, 6), 16, 10).cast("long") % 500
+    return own.select("entity", h.alias("id")).join(vectors(spark, sf_dir).select("id", "embedding"), "id").select("entity", "embedding")
 
 
 def community_lists(mentions_of: DataFrame) -> DataFrame:
@@ -81,6 +132,8 @@ SQL = {
         mentions AS (SELECT file, position, chunk_id, place, entity, CASE WHEN length(entity) <= 5 THEN 'Short' WHEN length(entity) <= 8 THEN 'Mid' ELSE 'Long' END AS label
             FROM (SELECT file, position, chunk_id, place, regexp_replace(w[place + 1], '[^A-Za-z]', '', 'g') AS entity FROM places) WHERE regexp_full_match(entity, '[A-Z][a-z]{3,}'))""",
     "pairs": r"""pairs AS (SELECT file, position, entity, next FROM (SELECT *, lead(entity) OVER (PARTITION BY file, position ORDER BY place) AS next FROM mentions) WHERE next <> entity)""",
+    "edges": r"""edges AS (SELECT least(entity, next) AS source, greatest(entity, next) AS target, count(*) AS weight FROM pairs GROUP BY ALL)""",
+    "evectors": r"""evectors AS (SELECT entity, embedding::DOUBLE[] AS embedding FROM (SELECT DISTINCT entity FROM mentions) JOIN embeddings ON vec_id = ('0x' || substr(md5(entity), 1, 6))::BIGINT % 500)""",
     "lists": r"""lists AS (SELECT DISTINCT entity, ascii(entity) - 65 AS c0, (ascii(entity) - 65) // 5 AS c1, ((ascii(entity) - 65) // 5) // 3 AS c2 FROM mentions)""",
     "nodes": r"""nodes AS (SELECT 'Region:' || r_regionkey AS node_id, 'Region' AS label, r_name AS caption FROM region
         UNION ALL SELECT 'Nation:' || n_nationkey, 'Nation', n_name FROM nation UNION ALL SELECT 'Customer:' || c_custkey, 'Customer', c_name FROM customer
@@ -90,9 +143,15 @@ SQL = {
         UNION ALL SELECT 'IN', 'Customer:' || c_custkey, 'Nation:' || c_nationkey FROM customer UNION ALL SELECT 'IN', 'Supplier:' || s_suppkey, 'Nation:' || s_nationkey FROM supplier
         UNION ALL SELECT 'PLACED', 'Customer:' || o_custkey, 'Order:' || o_orderkey FROM orders
         UNION ALL SELECT 'CONTAINS', 'Order:' || l_orderkey, 'Part:' || l_partkey FROM lineitem UNION ALL SELECT 'SUPPLIES', 'Supplier:' || l_suppkey, 'Part:' || l_partkey FROM lineitem)""",
+    "sources": f"""sources AS (SELECT 'doc_' || doc_id AS file, doc_id, n_chars AS file_size, {KINDS!r}[doc_id % 4 + 1] AS file_type, {ORIGINS!r}[doc_id % 4 + 1] AS file_source,
+        {STATUSES!r}[doc_id % 7 + 1] AS status, CASE WHEN doc_id % 5 = 0 THEN 'None' WHEN doc_id % 3 <> 0 THEN 'https://host' || (doc_id % 9) || '.example/p/' || doc_id END AS url, lang AS language,
+        {MODELS!r}[doc_id % 3 + 1] AS model, make_timestamp((1704067200 + doc_id * 37 % 1000 * 3600) * 1000000) AS created_at, make_timestamp((1704067200 + doc_id * 91 % 3000 * 3600) * 1000000) AS updated_at,
+        (doc_id % 40 + 1)::INTEGER AS total_chunks, (doc_id % 40 * 7 % 41)::INTEGER AS processed_chunk, doc_id % 7 = 4 AS is_cancelled, doc_id % 50 AS node_count, doc_id % 30 AS relationship_count
+        FROM documents WHERE doc_id IS NOT NULL)""".replace("None]", "NULL]"),
     "vectors": r"""vectors AS (SELECT vec_id AS id, embedding::DOUBLE[] AS embedding, label, 'doc_' || (vec_id % 50) AS file, 'chunk ' || vec_id AS text FROM embeddings)""",
 }
-_NEEDS = {"chunks": ("words",), "mentions": ("words", "chunks"), "pairs": ("words", "chunks", "mentions"), "lists": ("words", "chunks", "mentions")}
+_NEEDS = {"chunks": ("words",), "mentions": ("words", "chunks"), "pairs": ("words", "chunks", "mentions"), "lists": ("words", "chunks", "mentions"),
+    "edges": ("words", "chunks", "mentions", "pairs"), "evectors": ("words", "chunks", "mentions")}
 
 
 def sql(body: str, *names: str, also: str = "") -> str:

@@ -162,10 +162,9 @@ _ALIKE = """s AS (SELECT a.id AS a, b.id AS b FROM vectors a, vectors b WHERE a.
 @query(D.sql("SELECT node, min(component) AS component FROM t GROUP BY node", "vectors", also=_ALIKE))
 def connected_components(spark, sf_dir):
     """Components of the graph of vectors that are alike, of those with a neighbour."""
-    from tessera.operators.retrieval import nearest_neighbours, similar_edges
+    from tessera.operators.retrieval import alike, similar_edges
 
-    rows = D.vectors(spark, sf_dir)
-    return C.components(similar_edges(nearest_neighbours(rows.select("id", "embedding"), rows.count(), 0.7)))
+    return C.components(similar_edges(alike(D.vectors(spark, sf_dir).select("id", "embedding"), 0.7)))
 
 
 @query()

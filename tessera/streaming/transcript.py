@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,21 +14,33 @@ def transcript_windows(pieces: DataFrame, width: float = 60.0) -> DataFrame:
 
     A window collects pieces until one starts at its border or later; that piece still belongs to it, and the border moves on by the
     width once, however late the piece was. So after a gap several windows hold one piece each. The last is given even if it is not
-    full. The fold over a video's pieces in order is one expression: the border after each piece is the number of windows closed.
+    full. With f = floor(start / width) of piece i, windows closed after it are c = min(c before + 1, f), which is i plus the least of 0
+    and all f - i so far: a running minimum, which streams over a video's sorted pieces. Only a window's own pieces are collected.
     """
-    o = pieces.groupBy("video").agg(F.array_sort(F.collect_list(F.struct("start", "text"))).alias("o"))
-    step = lambda a, x: F.struct(
-        F.when(x.start >= a.border, a.border + width).otherwise(a.border).alias("border"),
-        F.when(x.start >= a.border, a.no + 1).otherwise(a.no).alias("no"),
-        F.concat(a.out, F.array(F.struct(a.no.alias("no"), x.start.alias("start"), x.text.alias("text")))).alias("out"),
-    )
-    empty = F.array().cast("array<struct<no int, start double, text string>>")
-    folded = F.aggregate("o", F.struct(F.lit(float(width)).alias("border"), F.lit(0).alias("no"), empty.alias("out")), step, lambda a: a.out)
-    each = o.select("video", F.explode(folded).alias("x")).select("video", "x.*")
-    of = each.groupBy("video", F.col("no").alias("window_no")).agg(F.min("start").alias("start"), F.max("start").alias("end"), F.array_sort(F.collect_list(F.struct("start", "text"))).alias("o"))
+    w = Window.partitionBy("video").orderBy("start", "text")
+    placed = pieces.select("video", F.col("start").cast("double").alias("start"), "text").withColumn("i", F.row_number().over(w))
+    least = F.min(F.floor(F.col("start") / width) - F.col("i")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    closed = placed.withColumn("closed", (F.col("i") + F.least(F.lit(0), least)).cast("int"))
+    each = closed.withColumn("window_no", F.lag("closed", 1, 0).over(w))
+    of = each.groupBy("video", "window_no").agg(F.min("start").alias("start"), F.max("start").alias("end"), F.array_sort(F.collect_list(F.struct("start", "text"))).alias("o"))
     return of.select("video", "window_no", "start", "end", F.array_join(F.transform("o", lambda x: x.text), " ").alias("text"))
 
 
+def align(chunks: DataFrame, pieces: DataFrame, width: int = 40) -> DataFrame:
+    """video, chunk, start, end: for each chunk (video, chunk: its text) the start of the piece (video, start, text) most like its first
+    characters, and of that most like its last; the earliest of equal ones. Pieces of the chunk's video only are compared."""
+
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype=float)
+
+    like = F.pandas_udf(ratio, "double")
+    plain = lambda c: F.trim(F.replace(c, F.lit("\n"), F.lit(" ")))
+    both = chunks.distinct().join(pieces.select("video", "start", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text")), "video")
+    scored = both.select("video", "chunk", "start", like(plain(F.left("chunk", F.lit(width))), F.col("text")).alias("a"), like(plain(F.right("chunk", F.lit(width))), F.col("text")).alias("b"))
+    best = lambda c: F.max_by("start", F.struct(F.col(c), -F.col("start")))
+    return scored.groupBy("video", "chunk").agg(best("a").alias("start"), best("b").alias("end"))
+
+
 def end_time(start: Column, width: int = 60) -> Column:
     return start + width
 
