@@ -129,3 +129,13 @@ def large(members: DataFrame, least: int = 2) -> DataFrame:
 
 def level_id(level: Column, community: Column) -> Column:
     return F.concat_ws("-", level.cast("string"), community.cast("string"))
+
+
+def cleared(nodes: DataFrame, entities: DataFrame, label: str = "__Community__") -> tuple[DataFrame, DataFrame]:
+    """Nodes without those of communities, and entities without the column that names theirs."""
+    return nodes.where(F.col("label") != label), entities.drop("communities")
+
+
+def to_embed(communities: DataFrame) -> DataFrame:
+    """Communities that have a summary but no vector."""
+    return communities.where("summary IS NOT NULL AND embedding IS NULL").select("community", F.col("summary").alias("text"))

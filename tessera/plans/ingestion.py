@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import ingest
+from tessera.operators import models as M
 from tessera.plans import derived as D
 from tessera.plans.registry import query
 from tessera.sources import files as sources
@@ -67,8 +68,7 @@ def cooccurrence_edges(spark, sf_dir):
     LEFT JOIN (SELECT file, count(DISTINCT entity) AS entity_nodes, count(DISTINCT chunk_id || entity) AS has_entity FROM mentions GROUP BY file) e USING (file)
     LEFT JOIN (SELECT file, count(DISTINCT least(entity, next) || '|' || greatest(entity, next)) AS entity_rels FROM pairs GROUP BY file) r USING (file)""", "pairs"))
 def doc_counts(spark, sf_dir):
-    c = D.chunks(spark, sf_dir)
-    return ingest.document_counters(c, ingest.entity_mentions(c))
+    return ingest.document_counters(D.chunks(spark, sf_dir), D.mentions(spark, sf_dir))
 
 
 @query(D.sql("""SELECT file, n AS total, b AS batch_no, least(b * 20, n) AS processed, floor(least(b * 20, n) * 100 / n)::BIGINT AS percent
@@ -165,3 +165,31 @@ def web_text(spark, sf_dir):
 def time_format(spark, sf_dir):
     at = T.hms(F.floor("o_totalprice"))
     return D.table(spark, sf_dir, "orders").select("o_orderkey", at.alias("at"), T.seconds_of(at).alias("seconds"))
+
+
+@query(D.sql("SELECT entity, label, count(*) AS n FROM mentions WHERE file IN (SELECT file FROM words WHERE lang = 'fr') GROUP BY ALL", "mentions"))
+def extracted_entities(spark, sf_dir):
+    """An extractor that is put in: here the rule of mentions, as a function."""
+    own = ingest.chunk_windows(D.files(spark, sf_dir).where("lang = 'fr'"))
+    return M.extract(own, M.capitalized_words).groupBy("entity", "label").agg(F.count("*").alias("n"))
+
+
+@query(D.sql("SELECT file, position, len(string_split(text, ' ')) AS a, length(text) AS b FROM chunks", "chunks"))
+def embedded_chunks(spark, sf_dir):
+    """An embedder that is put in: vectors of two numbers, of words and characters."""
+    rows = M.embed(D.chunks(spark, sf_dir), "text", lambda t: F.array(F.size(F.split(t, " ")), F.length(t)))
+    return rows.select("file", "position", F.col("embedding")[0].cast("long").alias("a"), F.col("embedding")[1].cast("long").alias("b"))
+
+
+@query("""SELECT 'IN' AS kind, 'Customers' AS old, 'Customer' AS new UNION ALL SELECT 'IN', 'CUSTOMER', 'Customer' WHERE false UNION ALL SELECT 'IN', 'customer_', 'Customer'""")
+def consolidated_schema(spark, sf_dir):
+    """Labels that mean the same, by a rule that is put in."""
+    labels = spark.createDataFrame([("Customer",), ("Customers",), ("customer_",), ("Order",)], "name string")
+    return M.consolidation(labels).select(F.lit("IN").alias("kind"), "old", "new")
+
+
+@query("""SELECT l_suppkey, l_partkey, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_suppkey, l_partkey FROM lineitem) GROUP BY ALL HAVING count(*) > 1""")
+def written_graph(spark, sf_dir):
+    """Nodes and edges that several extractions gave, written once each and counted."""
+    own = D.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey").dropDuplicates(["l_orderkey", "l_suppkey", "l_partkey"])
+    return own.groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n")).where("n > 1")

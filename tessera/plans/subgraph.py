@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import communities as C
 from tessera.operators import curation as U
+from tessera.operators import models as M
 from tessera.operators import reporting as P
 from tessera.operators import subgraph as S
 from tessera.plans import derived as D
@@ -237,3 +238,61 @@ def transcript_alignment(spark, sf_dir):
 
     own = D.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("video"), F.col("turn").alias("start"), F.col("text"))
     return transcript.align(own.select("video", F.col("text").alias("chunk")), own)
+
+
+def _summaries(spark, sf_dir):
+    """Communities of a level with title and summary, the first of which has been written before."""
+    own = D.community_lists(D.mentions(spark, sf_dir)).select("entity", C.level_id(F.lit(1), F.get("communities", F.lit(1))).alias("community"))
+    of = own.groupBy("community").agg(F.min("entity").alias("first"), F.count("*").alias("n"))
+    node = F.array(F.struct(F.col("first").alias("id"), F.lit("Entity").alias("type"), F.lit(None).cast("string").alias("description")))
+    none = F.array().cast("array<struct<start string, type string, end string>>")
+    return M.summarize(of.withColumn("text", T.community_text(node, none)), "text")
+
+
+@query(D.sql("""SELECT community, n, 'id: ' || first_entity || ', type: Entity' AS title, 'Nodes are: id: ' || first_entity || ', type: Entity Relationships are:' AS summary FROM (SELECT '1-' || c1 AS community, min(entity) AS first_entity, count(*) AS n FROM lists GROUP BY c1)""", "lists"))
+def community_summaries(spark, sf_dir):
+    """Titles and summaries that a writer which is put in gives communities."""
+    return _summaries(spark, sf_dir).select("community", "n", "title", "summary")
+
+
+@query(D.sql("""SELECT '1-' || c1 AS community, CASE WHEN c1 % 2 = 0 THEN 'written' ELSE 'old' END AS summary, c1 % 3 = 0 AS has_vector, c1 % 3 <> 0 AS to_embed FROM lists GROUP BY c1""", "lists"))
+def stored_summaries(spark, sf_dir):
+    """Summaries and vectors that are written back by id; those without a vector are embedded next."""
+    c = D.community_lists(D.mentions(spark, sf_dir)).select(F.get("communities", F.lit(1)).alias("c")).distinct()
+    rows = c.select("c", C.level_id(F.lit(1), F.col("c")).alias("community"), F.lit("old").alias("summary"))
+    written = M.set_columns(rows, rows.where("c % 2 = 0").select("community", F.lit("written").alias("summary")), "community")
+    whole = M.set_columns(written, rows.where("c % 3 = 0").select("community", F.array(F.lit(1.0)).alias("embedding")), "community")
+    todo = C.to_embed(whole).select("community", F.lit(True).alias("todo"))
+    return whole.join(todo, "community", "left").select("community", "summary", F.col("embedding").isNotNull().alias("has_vector"), F.coalesce("todo", F.lit(False)).alias("to_embed"))
+
+
+@query(D.sql("""SELECT label, count(*) AS n FROM nodes WHERE label <> 'Region' GROUP BY label""", "nodes"))
+def cleared_communities(spark, sf_dir):
+    """The graph without its communities (here regions)."""
+    n = D.nodes(spark, sf_dir)
+    return C.cleared(n, n.withColumn("communities", F.array(F.lit(1))), "Region")[0].groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(D.sql("""SELECT *, dense_rank() OVER (ORDER BY source) AS source_id FROM (SELECT a.label AS source, r.type, b.label AS target, count(*) AS n FROM rels r JOIN nodes a ON a.node_id = r.src JOIN nodes b ON b.node_id = r.dst GROUP BY ALL)""", "nodes", "rels"))
+def schema_drawing(spark, sf_dir):
+    """The schema as a graph of its own: an edge for each (label, type, label), labels numbered."""
+    from pyspark.sql import Window
+
+    from tessera.operators import graph as G
+
+    own = G.triplet_schema(D.nodes(spark, sf_dir), D.rels(spark, sf_dir))
+    return own.withColumn("source_id", F.dense_rank().over(Window.orderBy("source")))  # a row a triplet of labels
+
+
+@query(D.sql(f"""SELECT 'entity' AS part, entity AS value FROM nodes UNION ALL SELECT 'relationship', source || '|' || target FROM edges WHERE source IN (SELECT entity FROM nodes) AND target IN (SELECT entity FROM nodes)
+    UNION ALL SELECT 'outside', b FROM (SELECT b, count(*) AS n FROM (SELECT source AS a, target AS b FROM edges UNION ALL SELECT target, source FROM edges) WHERE a IN (SELECT entity FROM nodes) AND b NOT IN (SELECT entity FROM nodes) GROUP BY b ORDER BY n DESC, b LIMIT 10)""",
+    "edges", also="nodes AS (SELECT DISTINCT entity FROM mentions ORDER BY entity LIMIT 12)"))
+def entity_details(spark, sf_dir):
+    """What surrounds entities that are given by their ids: edges among them and the busiest neighbours outside."""
+    from tessera.operators import retrieval as R
+
+    m = D.mentions(spark, sf_dir)
+    seeds = m.select("entity").distinct().orderBy("entity").limit(12)
+    members = D.community_lists(m).select("entity", C.level_id(F.lit(0), F.get("communities", F.lit(0))).alias("community"))
+    ranks = C.rank(members, m).join(C.weight(members, m), "community")
+    return R.local_context(seeds, m, D.edges(spark, sf_dir), members, ranks).where("part IN ('entity', 'relationship', 'outside')")

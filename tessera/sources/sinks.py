@@ -48,3 +48,20 @@ def write_results(rows: DataFrame, path: str, kind: str = "csv") -> None:
     """A result as csv (with header) or json lines."""
     writer = rows.write.mode("overwrite")
     writer.option("header", True).csv(path) if kind == "csv" else writer.json(path)
+
+
+def read_results(spark: SparkSession, path: str, schema: str, kind: str = "csv") -> DataFrame:
+    """A result that ``write_results`` wrote."""
+    reader = spark.read.schema(schema)
+    return reader.option("header", True).csv(path) if kind == "csv" else reader.json(path)
+
+
+def append_results(rows: DataFrame, path: str) -> None:
+    """Further rows of a result of json lines; those that are there stay as they are."""
+    rows.write.mode("append").json(path)
+
+
+def set_aside(rows: DataFrame, failed, path: str) -> DataFrame:
+    """Rows that did not fail; those that did are written to a folder of their own for later."""
+    rows.where(failed).write.mode("append").parquet(path)
+    return rows.where(~failed)
