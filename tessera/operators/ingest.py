@@ -113,3 +113,20 @@ def page(rows: DataFrame, key: str, order: str, number: int, size: int = 10) ->
     w = Window.partitionBy(key)
     counted = rows.withColumn("row_no", F.row_number().over(w.orderBy(order))).withColumn("total_pages", F.ceil(F.count("*").over(w) / size).cast("long"))
     return counted.where((F.col("row_no") > (number - 1) * size) & (F.col("row_no") <= number * size)).drop("row_no")
+
+
+def community_counters(mentions: DataFrame, lists: DataFrame) -> DataFrame:
+    """file, community_nodes and community_rels: communities of all levels that a document's entities are in, and the edges that lead
+    there, each once. lists: entity, communities (the community of each level). Levels are counted each on its own."""
+    of = mentions.select("file", "entity").distinct().join(lists, "entity")
+    at = of.select("file", "entity", F.posexplode("communities").alias("level", "c"))
+    nodes = at.groupBy("file").agg(F.count_distinct("level", "c").alias("community_nodes"), F.count_distinct(F.when(F.col("level") == 0, F.struct("entity", "c"))).alias("members"))
+    pairs = of.select("file", F.explode(F.transform(F.slice("communities", 2, 100), lambda c, i: F.struct(i.alias("level"), F.get("communities", i).alias("c"), c.alias("parent")))).alias("p"))
+    ups = pairs.groupBy("file").agg(F.count_distinct("p").alias("ups"))
+    return nodes.join(ups, "file", "left").select("file", "community_nodes", (F.col("members") + F.coalesce("ups", F.lit(0))).alias("community_rels"))
+
+
+def without_documents(rows: DataFrame, sources: DataFrame, files: list[str], origins: list[str]) -> DataFrame:
+    """rows (file, ...) without those of documents (file, file_source) whose name and origin (None stands for null) are both listed."""
+    gone = sources.where(F.col("file").isin(*files) & F.coalesce("file_source", F.lit("None")).isin(*origins)).select("file")
+    return rows.join(gone, "file", "left_anti")

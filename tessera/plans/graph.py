@@ -174,3 +174,27 @@ def leiden_like_communities(spark, sf_dir):
     customer = orders.select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") * 2).alias("source"))
     edges = lines.select("l_orderkey", (F.col("l_suppkey") * 2 + 1).alias("target")).join(customer, "l_orderkey").groupBy("source", "target").agg(F.count("*").alias("weight"))
     return C.detect(edges, 3, 3)
+
+
+_REGIONS = """m AS (SELECT n_nationkey AS node, min(n_nationkey) OVER (PARTITION BY n_regionkey) AS community FROM nation)"""
+
+
+def _detected(spark, sf_dir):
+    """Communities of nations that trade with those of their region only, as detection finds them."""
+    nation = D.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), "n_regionkey")
+    edges = nation.select(F.col("k").alias("source"), "n_regionkey").join(nation.select(F.col("k").alias("target"), "n_regionkey"), "n_regionkey").where("source < target")
+    return C.detect(edges.select("source", "target", F.lit(1).alias("weight")), 1, 8).select("node", F.get("communities", F.lit(0)).alias("community"))
+
+
+@query(f"WITH {_REGIONS} SELECT node, community FROM m")
+def detected_communities(spark, sf_dir):
+    return _detected(spark, sf_dir)
+
+
+@query(f"WITH {_REGIONS} SELECT community, count(DISTINCT c_mktsegment) AS community_rank, count(DISTINCT c_custkey) AS weight, count(DISTINCT node) AS n_members FROM m JOIN customer ON c_nationkey = node GROUP BY community")
+def detected_community_stats(spark, sf_dir):
+    """Rank, weight and members of detected communities: market segments stand for documents, customers for chunks."""
+    members = _detected(spark, sf_dir).withColumnRenamed("node", "entity")
+    mentions = D.table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("entity"), F.col("c_mktsegment").alias("file"), F.col("c_custkey").alias("chunk_id"))
+    n = members.join(mentions.select("entity").distinct(), "entity", "left_semi").groupBy("community").agg(F.count("*").alias("n_members"))
+    return C.rank(members, mentions).join(C.weight(members, mentions), "community").join(n, "community")

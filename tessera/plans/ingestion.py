@@ -193,3 +193,26 @@ def written_graph(spark, sf_dir):
     """Nodes and edges that several extractions gave, written once each and counted."""
     own = D.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey").dropDuplicates(["l_orderkey", "l_suppkey", "l_partkey"])
     return own.groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query(D.sql("""SELECT file, count(DISTINCT c0) + count(DISTINCT c1) + count(DISTINCT c2) AS community_nodes, count(DISTINCT entity) + count(DISTINCT c0) + count(DISTINCT c1) AS community_rels
+    FROM (SELECT DISTINCT file, entity FROM mentions) JOIN lists USING (entity) GROUP BY file""", "lists"))
+def doc_community_counts(spark, sf_dir):
+    """The community branch of a document's counters (here each community has one parent)."""
+    m = D.mentions(spark, sf_dir)
+    return ingest.community_counters(m, D.community_lists(m))
+
+
+@query(D.sql("SELECT file, count(*) AS n FROM chunks WHERE file NOT IN (SELECT file FROM sources WHERE file IN ('doc_1', 'doc_2', 'doc_3', 'doc_4') AND file_source IN ('local file', 'youtube')) GROUP BY file", "chunks", "sources"))
+def delete_docs_and_chunks(spark, sf_dir):
+    """What stays of chunks if some files of some origins go."""
+    kept = ingest.without_documents(D.chunks(spark, sf_dir), D.sources(spark, sf_dir), ["doc_1", "doc_2", "doc_3", "doc_4"], ["local file", "youtube"])
+    return kept.groupBy("file").agg(F.count("*").alias("n"))
+
+
+@query(D.sql("SELECT file_source, file_type, arg_min(file, doc_id) AS file FROM sources GROUP BY ALL", "sources"))
+def first_per_origin(spark, sf_dir):
+    """The first file of each origin and kind."""
+    from tessera.operators.curation import keep_first
+
+    return keep_first(D.sources(spark, sf_dir), ["file_source", "file_type"], ["doc_id"]).select("file_source", "file_type", "file")
