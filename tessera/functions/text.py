@@ -259,3 +259,13 @@ def without_blank(nodes: Column) -> Column:
     """Of nodes (id, type) those whose id and type are not blank, back-ticks taken off."""
     bare = F.transform(nodes, lambda x: F.struct(without_ticks(x.id).alias("id"), without_ticks(x.type).alias("type")))
     return F.filter(bare, lambda x: (F.coalesce(x.id, F.lit("")) != "") & (F.coalesce(x.type, F.lit("")) != ""))
+
+
+#: Entities of markup that pages use most, the mark itself last.
+_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+
+
+def unescaped(text: Column) -> Column:
+    for name, character in _ENTITIES:
+        text = F.replace(text, F.lit(name), F.lit(character))
+    return text

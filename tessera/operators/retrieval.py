@@ -171,10 +171,22 @@ def context(documents: DataFrame) -> DataFrame:
     return o.select(F.array_join(F.transform("o", lambda x: x.block), "\n\n").alias("text"), F.size("o").cast("long").alias("n"))
 
 
-def document_texts(hits: DataFrame) -> DataFrame:
-    """hits (file, chunk_id, text, score) -> file, text (chunks by score, then id), score (mean), n_chunks."""
+def document_texts(hits: DataFrame, between: str = "\n") -> DataFrame:
+    """hits (file, chunk_id, text, score) -> file, text (chunks by score, then id), score (mean), n_chunks. Hits are a search's top."""
     of = hits.groupBy("file").agg(F.round(F.avg("score"), 4).alias("score"), F.count("*").alias("n_chunks"), F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "chunk_id", "text"))).alias("o"))
-    return of.select("file", F.array_join(F.transform("o", lambda x: x.text), "\n").alias("text"), "score", "n_chunks")
+    return of.select("file", F.array_join(F.transform("o", lambda x: x.text), between).alias("text"), "score", "n_chunks")
+
+
+def sectioned(texts: DataFrame, around: DataFrame) -> DataFrame:
+    """file, text and score of texts (file, text, score) with sorted sections of the entities and relationships around them (file, kind,
+    text; as few as ``expansion`` leaves)."""
+    from tessera.operators.ingest import entity_label
+
+    line = F.when(F.col("kind") == "entity", F.concat(entity_label(F.col("text")), F.lit(":"), F.col("text"))).otherwise(F.replace("text", F.lit("|"), F.lit(" RELATED ")))
+    own = lambda kind: F.array_join(F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("line")))), "\n").alias(kind)
+    of = around.withColumn("line", line).groupBy("file").agg(own("entity"), own("relationship"))
+    parts = [F.lit("Text Content:\n"), F.col("text"), F.lit("\n----\nEntities:\n"), F.col("entity"), F.lit("\n----\nRelationships:\n"), F.col("relationship")]
+    return texts.join(of, "file").select("file", F.concat(*parts).alias("text"), "score")
 
 
 def top_per(rows: DataFrame, key: str, k: int, *order) -> DataFrame:

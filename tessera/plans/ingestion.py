@@ -155,8 +155,8 @@ def web_titles(spark, sf_dir):
     return D.table(spark, sf_dir, "pages").select("page_id", T.url_host(F.col("url")).alias("host"), T.url_last_segment(F.col("url")).alias("title"))
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
-    '[ \t\r\n]+', ' ', 'g')) AS text FROM pages""")
+@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
+    '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) AS text FROM pages""")
 def web_text(spark, sf_dir):
     return sources.web_pages(D.table(spark, sf_dir, "pages")).select("page_id", "text")
 
@@ -216,3 +216,38 @@ def first_per_origin(spark, sf_dir):
     from tessera.operators.curation import keep_first
 
     return keep_first(D.sources(spark, sf_dir), ["file_source", "file_type"], ["doc_id"]).select("file_source", "file_type", "file")
+
+
+@query("SELECT n_nationkey, 'N' || n_nationkey AS source, 'LIES_IN' AS relation, 'R' || n_regionkey AS target FROM nation")
+def imported_schema(spark, sf_dir):
+    """Triples of importers' documents, one a nation, whose types name each other by reference."""
+    n, r = (F.concat(F.lit(p), F.col(c).cast("string")) for p, c in (("N", "n_nationkey"), ("R", "n_regionkey")))
+    named = lambda k, token: F.create_map(F.lit("$id"), F.lit(k), F.lit("token"), token)
+    ref = lambda k: F.struct(F.lit("#" + k).alias("$ref"))
+    kind = lambda k, label: F.struct(F.lit(k).alias("$id"), F.array(ref(label)).alias("labels"))
+    graph = F.struct(
+        F.array(named("nl:0", n), named("nl:1", r)).alias("nodeLabels"), F.array(named("rt:0", F.lit("LIES_IN"))).alias("relationshipTypes"), F.array(kind("n:0", "nl:0"), kind("n:1", "nl:1")).alias("nodeObjectTypes"),
+        F.array(F.struct(F.lit("r:0").alias("$id"), ref("rt:0").alias("type"), ref("n:0").alias("from"), ref("n:1").alias("to"))).alias("relationshipObjectTypes"),
+    )
+    document = F.to_json(F.struct(F.struct(F.struct(graph.alias("graphSchema")).alias("graphSchemaRepresentation")).alias("dataModel")))
+    return D.table(spark, sf_dir, "nation").select("n_nationkey", F.explode(sources.imported_triples(document)).alias("t")).select("n_nationkey", "t.*")
+
+
+@query(D.sql("SELECT 'mentions' AS name, count(*) AS n FROM mentions", "mentions"))
+def mentions_table(spark, sf_dir):
+    """The table of mentions, made if it is not there."""
+    return D.mentions(spark, sf_dir).agg(F.count("*").alias("n")).select(F.lit("mentions").alias("name"), "n")
+
+
+@query(D.sql("SELECT 'edges' AS name, count(*) AS n, sum(weight)::BIGINT AS weight FROM edges", "edges"))
+def edges_table(spark, sf_dir):
+    """The table of edges between entities."""
+    return D.edges(spark, sf_dir).agg(F.count("*").alias("n"), F.sum("weight").alias("weight")).select(F.lit("edges").alias("name"), "n", "weight")
+
+
+@query(r"""SELECT count(*) AS postings, sum(tf)::BIGINT AS words FROM (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter(string_split(trim(regexp_replace(translate(lower(translate(text, '.,', '')), chr(10) || '"' || chr(39), ' '), '[ 	
+]+', ' ', 'g')), ' '),
+    lambda x: x <> '')) AS t FROM documents) GROUP BY ALL)""")
+def keyword_index(spark, sf_dir):
+    """The inverted index of all texts."""
+    return D.keyword_index(spark, sf_dir)[0].agg(F.count("*").alias("postings"), F.sum("tf").alias("words"))

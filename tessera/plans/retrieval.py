@@ -235,3 +235,17 @@ def scored_communities(spark, sf_dir):
     """Every community of a level gets points for a question (members that begin with T); none is left out but those without."""
     own = D.community_lists(D.mentions(spark, sf_dir)).select("entity", F.concat(F.lit("1-"), F.get("communities", F.lit(1)).cast("string")).alias("community"))
     return own.groupBy("community").agg(F.count_if(F.col("entity").startswith("T")).alias("points")).where("points > 0").orderBy(F.desc("points"), "community")
+
+
+_LABEL = "CASE WHEN length(text) <= 5 THEN 'Short' WHEN length(text) <= 8 THEN 'Mid' ELSE 'Long' END || ':' || text"
+
+
+@query(D.sql(f"""SELECT t.file, 'Text Content:' || chr(10) || t.text || chr(10) || '----' || chr(10) || 'Entities:' || chr(10) || c.entities || chr(10) || '----' || chr(10) || 'Relationships:' || chr(10) || coalesce(c.relationships, '') AS text, t.score
+    FROM (SELECT file, string_agg(text, chr(10) || '----' || chr(10) ORDER BY score DESC, text) AS text, round(avg(score), 4) AS score FROM (SELECT * FROM scored ORDER BY score DESC, id LIMIT 5) GROUP BY file) t
+    JOIN (SELECT file, string_agg({_LABEL}, chr(10) ORDER BY {_LABEL}) FILTER (kind = 'entity') AS entities, string_agg(replace(text, '|', ' RELATED '), chr(10) ORDER BY replace(text, '|', ' RELATED ')) FILTER (kind = 'relationship') AS relationships
+    FROM ({_CONTEXT}) WHERE text IS NOT NULL GROUP BY file) c USING (file)""", "vectors", "evectors", "edges", also=f"{_SCORED}, {_EXPANDED}"))
+def graph_vector_texts(spark, sf_dir):
+    """The text of each document that is found: its chunks, and the sorted lists of entities and relationships around them."""
+    hits = R.vector_top(D.vectors(spark, sf_dir), _question(spark, sf_dir), 5)
+    rows = _context_rows(spark, sf_dir, hits.select("file").distinct())
+    return R.sectioned(R.document_texts(hits.withColumn("chunk_id", F.col("text")), "\n----\n"), rows)

@@ -88,7 +88,7 @@ def web_pages(pages: DataFrame) -> DataFrame:
     """url, title and text of raw pages, without Python: markup goes by patterns."""
     html = F.coalesce("html", F.lit(""))
     bare = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b.*?</\1\s*>", " ")
-    text = T.collapse(F.regexp_replace(F.regexp_replace(bare, r"(?s)<!--.*?-->", " "), r"(?s)<[^>]*>", " "))
+    text = T.collapse(T.unescaped(F.regexp_replace(F.regexp_replace(bare, r"(?s)<!--.*?-->", " "), r"(?s)<[^>]*>", " ")))
     return pages.select("page_id", "url", T.url_last_segment(F.col("url")).alias("title"), text.alias("text"))
 
 
@@ -118,3 +118,22 @@ def importer_triples(document: str) -> list[tuple[str, str, str]]:
     node = {x["$id"]: token[x["labels"][0]["$ref"].lstrip("#")] for x in graph["nodeObjectTypes"]}
     end = lambda x: node[x["$ref"].lstrip("#")]
     return [(end(r["from"]), token[r["type"]["$ref"].lstrip("#")], end(r["to"])) for r in graph["relationshipObjectTypes"]]
+
+
+_REF = "struct<`$ref`: string>"
+_NAMED = "array<struct<`$id`: string, token: string>>"
+_IMPORT = (
+    f"dataModel struct<graphSchemaRepresentation: struct<graphSchema: struct<nodeLabels: {_NAMED}, relationshipTypes: {_NAMED}, nodeObjectTypes: array<struct<`$id`: string, labels: array<{_REF}>>>, "
+    f"relationshipObjectTypes: array<struct<`$id`: string, type: {_REF}, from: {_REF}, to: {_REF}>>>>>"
+)
+
+
+def imported_triples(document: Column) -> Column:
+    """As ``importer_triples``, of a column of such documents: an array of source, relation, target; null where the lists are missing."""
+    graph = F.from_json(document, _IMPORT).dataModel.graphSchemaRepresentation.graphSchema
+    entries = lambda x, value: F.map_from_entries(F.transform(x, lambda y: F.struct(y["$id"].alias("k"), value(y).alias("v"))))
+    at = lambda names, ref: F.element_at(names, F.substring(ref["$ref"], F.lit(2), F.length(ref["$ref"])))
+    token = entries(F.concat(graph.nodeLabels, graph.relationshipTypes), lambda y: y.token)
+    node = entries(graph.nodeObjectTypes, lambda y: at(token, F.get(y.labels, F.lit(0))))
+    triple = lambda r: F.struct(at(node, r["from"]).alias("source"), at(token, r["type"]).alias("relation"), at(node, r["to"]).alias("target"))
+    return F.when(graph.nodeObjectTypes.isNotNull(), F.transform(graph.relationshipObjectTypes, triple))
