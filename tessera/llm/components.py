@@ -5,28 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.operators.communities import components
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node and root, the smallest node of its component, for each end of an edge; ends are long and not null.
-
-    Each round takes the smallest label among neighbours, then the label of that label, which shortens long chains by jumps. A round
-    is two joins and an aggregation with partial sums; its labels are written to the shared folder, which cuts the lineage. The only
-    thing that reaches the driver is the number of labels that changed.
-    """
-    both = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).union(edges.select(F.col(b), F.col(a))).where("a != b").distinct()
-    both = materialize(both, "edges")
-    labels = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label"))
-    labels = materialize(labels, "labels")
-    while True:
-        of = labels.select(F.col("node").alias("b"), F.col("label").alias("near"))
-        near = both.join(of, "b").groupBy("a").agg(F.min("near").alias("near"))
-        # Written, so that Spark can split what joins it by a label that many nodes share.
-        lower = near.join(labels, near["a"] == labels["node"]).select("node", F.col("label").alias("was"), F.least("label", "near").alias("via"))
-        jump = labels.select(F.col("node").alias("via"), F.col("label").alias("next"))
-        new = materialize(lower.join(jump, "via").select("node", "was", F.least("via", "next").alias("label")), "labels")
-        changed = new.where("was != label").limit(1).count()
-        labels = new.select("node", "label")
-        if not changed:
-            return labels.withColumnRenamed("label", "root")
+    """node and root, the smallest node of its component, for each end of an edge; ends are long and not null."""
+    return components(edges.select(F.col(a).alias("source"), F.col(b).alias("target"))).withColumnRenamed("component", "root")

@@ -155,6 +155,33 @@ def test_domains_of_rows_that_were_not_learnt_from(spark):
     assert len(got) == 300 and np.mean([model.domains[int(np.argmax(r.posterior))] == r.truth for r in got]) > 0.98
 
 
+def test_evidence_against_plain_python():
+    rng = np.random.default_rng(4)
+    words = np.sort(rng.choice(mixing.BUCKETS, 50, replace=False))
+    weights = rng.random((50, 3))
+    model = mixing.DomainModel(list("abc"), words, weights, np.vstack([np.zeros(3), rng.random((6, 3))]))
+    texts = [[], [int(words[3])] * 4, *([int(x) + mixing.BUCKETS * int(rng.integers(-5, 5)) for x in rng.choice(np.concatenate([words, [7, 8, 9]]), n)] for n in (1, 5, 40))]
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = model.evidence(np.array([w for t in texts for w in t], np.int64), bounds)
+    at = {int(w): k for k, w in enumerate(words)}
+    for row, text in zip(got, texts):
+        own = {w % mixing.BUCKETS for w in text}
+        hit = [weights[at[w]] for w in own if w in at]
+        for d in range(3):
+            assert np.isclose(row[d], np.sqrt(sum(x[d] ** 2 for x in hit))) and np.isclose(row[3 + d], mixing.TYPICAL * sum(x[d] for x in hit) / max(1, len(own)))
+    p = model.posteriors(np.array([w for t in texts for w in t], np.int64), bounds)
+    z = model.calibration[0] + got @ model.calibration[1:]
+    assert np.allclose(p, np.exp(z) / np.exp(z).sum(axis=1, keepdims=True))
+
+
+def test_anchor_rows_stay(spark):
+    """Rows that are likeliest of the anchor are never thinned, whatever else they may be."""
+    p = np.array([[0.6, 0.4]] * 300 + [[0.1, 0.9]] * 100)
+    df = spark.createDataFrame([(10, [float(x) for x in row]) for row in p], "n_tokens long, posterior array<double>")
+    rates = mixing.solve(df, np.array([0.99, 0.01]), anchor=0).rates(p)
+    assert rates[:300].min() >= 1 and rates[300:].max() < 0.2
+
+
 def test_mixing_documents(spark):
     documents, labels = table(spark, DATA, "documents"), table(spark, DATA, "labels")
     got = mixing.mix(documents, labels).collect()

@@ -42,6 +42,22 @@ def test_quality_on_held_out_rows(spark, documents, labels):
     assert auc > 0.95 and accuracy > 0.95, (auc, accuracy)
 
 
+def test_normal_equations_and_scores_against_numpy(spark):
+    rng = np.random.default_rng(2)
+    stats = rng.normal(size=(300, quality_classifier.N_STATS))
+    y = (stats[:, 0] + stats[:, 3] > 0).astype(float)
+    df = spark.createDataFrame([([float(v) for v in s], float(v)) for s, v in zip(stats, y)], "stats array<double>, y double").repartition(7)
+    zero = np.zeros(0)
+    model = quality_classifier.QualityModel(stats.mean(0), stats.std(0), rng.normal(size=(quality_classifier.N_STATS, 16)), rng.uniform(0, 6, 16), zero, zero, zero)
+    x = np.hstack([np.sqrt(2 / 16) * np.cos((stats - stats.mean(0)) / stats.std(0) @ model.omega + model.phase), np.ones((300, 1))])
+    assert np.allclose(quality_classifier._normal_equations(df, model, 17), np.column_stack([x.T @ x, x.T @ y]))
+    labelled = spark.createDataFrame([(k, [float(v) for v in s]) for k, s in enumerate(stats)], "doc_id long, stats array<double>")
+    fitted = quality_classifier.fit_quality(labelled, spark.createDataFrame([(k, int(v)) for k, v in enumerate(y)], "doc_id long, quality int"))
+    # Scores rise with raw scores, and raw scores are those of the features.
+    raw, score = fitted.raw(stats), fitted.score(stats)
+    assert np.allclose(raw, fitted.features(stats) @ fitted.weights) and (np.diff(score[np.argsort(raw)]) >= 0).all() and np.mean((score >= 0.5) == y) > 0.9
+
+
 def test_quality_edges(spark, labels):
     docs = spark.createDataFrame([(1, ""), (2, None), (None, "x"), (2, "word " * 50), (4, "é" * 5)], "doc_id long, text string")
     none = labels.limit(0)
@@ -89,6 +105,27 @@ def test_language_counts_match_plain_python(spark):
             assert have == want
 
 
+def test_language_scores_against_plain_python(spark):
+    """Counts, log probabilities and posteriors by dictionaries."""
+    rng = random.Random(6)
+    rows = [("".join(rng.choices("abcdef " if lang == "x" else "defghi ", k=rng.randint(0, 60))), lang) for lang in "xyx" for _ in range(15)]
+    model = language_id.fit_languages(spark.createDataFrame(rows, "text string, lang string").repartition(5))
+
+    def buckets(text):
+        padded = " " + text.lower() + "  "
+        grams = [padded[i : i + order] for order in language_id.ORDERS for i in range(len(text) + 1)]
+        return [int(language_id._buckets(np.frombuffer(g.encode("utf-32-le"), np.uint32), len(g))[0]) for g in grams]
+
+    counts = {lang: Counter(b for t, own in rows if own == lang for b in buckets(t)) for lang in "xy"}
+    prior = Counter(lang for _, lang in rows)
+    texts = ["abc", "ghi fed", "", "d", "a cab deaf hig"]
+    got = model.predict(texts)
+    for text, lang, score in zip(texts, *got):
+        logs = [np.log(prior[x] / len(rows)) + sum(np.log((counts[x][b] + 0.5) / (sum(counts[x].values()) + 0.5 * language_id.BUCKETS)) for b in buckets(text)) for x in "xy"]
+        p = np.exp(logs - np.logaddexp(*logs))
+        assert (lang, score) == ("und", 0) if not text else (lang == "xy"[int(np.argmax(p))] and abs(score - p.max()) < 1e-4)
+
+
 def test_language_edges(spark):
     rows = [(1, None, "en"), (2, "", "en"), (3, "123 !", "fr"), (None, "le la", "fr"), (5, "the of", None), (6, "the and of", "en"), (6, "the and of", "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")

@@ -121,6 +121,16 @@ def test_findings_follow_rules_and_versions_of_texts(spark, tmp_path):
     assert got == Counter([(1, 1, ("assign",)), (2, 1, ()), (None, 1, ("assign",)), (1, 2, ())])
 
 
+def test_added_kinds():
+    token = ".".join(["eyJ" + "a" * 12, "b" * 11, "c_-" * 4])
+    for text, want in [
+        (f"x {token} y", [("web_token", 2, 2 + len(token))]), (token[:-4], []), ("ghp_" + "A1" * 18, [("code_host", 0, 40)]), ("ghx_" + "A1" * 18, []), ("ghs_" + "A" * 35, []),
+        ("Token: secret: abc.def", [("assign", 0, 13), ("assign_chain", 0, 22)]), ("token secret: abcde", []),
+    ]:
+        got = [x for x in secret_scan.find(text, secret_scan.RULES) if x[0] != "hex"]
+        assert got == want, (text, got)
+
+
 def test_chained_names(spark):
     docs = spark.createDataFrame([(1, "a secret: token: hunter2hunter2 b"), (2, "Secret: password= 'Token' = \"abcdef.g\"!")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
