@@ -67,6 +67,18 @@ def _move(edges: DataFrame, assigned: DataFrame, turn: int, total: float) -> Dat
     return chosen.select("node", F.when(better, F.col("to")).otherwise(F.col("community")).alias("community"))
 
 
+def _moved(edges: DataFrame, assigned: DataFrame, total: float, turns: range) -> DataFrame:
+    """The best of some rounds of moves, which end early if three in turn bring nothing."""
+    best, quality, idle = assigned, modularity(edges, assigned), 0
+    for turn in turns:
+        assigned = materialize(_move(edges, assigned, turn, total), "assigned")
+        q = modularity(edges, assigned)
+        best, quality, idle = (assigned, q, 0) if q > quality + 1e-12 else (best, quality, idle + 1)
+        if idle == 3:
+            break
+    return best
+
+
 def refined(edges: DataFrame, assigned: DataFrame) -> DataFrame:
     """assigned (node, community) with each community cut into parts that hang together by its own edges, named by their smallest node.
 
@@ -91,12 +103,9 @@ def detect(edges: DataFrame, levels: int = 3, rounds: int = 6) -> DataFrame:
     of, lists, last = assigned.select("node", F.col("node").alias("at")), None, -1.0
     for _ in range(levels):
         inner = materialize(now.select(F.explode(F.array("source", "target")).alias("node")).distinct().select("node", F.col("node").alias("community")), "assigned")
-        best, quality = inner, modularity(now, inner)
-        for turn in range(rounds):
-            inner = materialize(_move(now, inner, turn, total), "assigned")
-            if (q := modularity(now, inner)) > quality:
-                best, quality = inner, q
-        best = materialize(refined(now, best), "assigned")
+        best = _moved(now, inner, total, range(rounds))
+        # What a cut sets free may find a better place.
+        best = materialize(refined(now, _moved(now, materialize(refined(now, best), "assigned"), total, range(rounds, rounds + rounds // 2))), "assigned")
         quality = modularity(now, best)
         if lists is not None and quality <= last + 1e-9:
             break
