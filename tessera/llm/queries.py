@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import fingerprints, language_id, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, secret_scan, warc
+from tessera.llm import filter_audit, fingerprints, language_id, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, secret_scan, warc
 from tessera.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,38 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters on all documents, in each of their orders."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+SQL_12 = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT t.doc_id, part, coalesce(good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+             len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b, 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text) AS c,
+             regexp_matches(text, '[#$%&*|]') AS d, coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY text), false) AS e
+      FROM t LEFT JOIN l ON l.doc_id = t.doc_id),
+h AS (SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, count(*) AS n, sum(good) AS n_good, sum(toxic) AS n_toxic FROM m GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT p.f || q.f || r.f || s.f || u.f AS filter_order FROM f p, f q, f r, f s, f u
+      WHERE p.bit | q.bit | r.bit | s.bit | u.bit = 31),
+x AS (SELECT filter_order, step, f.bit, coalesce((SELECT sum(g.bit) FROM f g WHERE strpos(filter_order, g.f) < step), 0)::INT AS before
+      FROM o, range(1, 6) k(step), f WHERE f.f = filter_order[step]),
+y AS (SELECT part, filter_order, step, bit,
+             sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+             sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN mask & before > 0 AND mask & bit > 0 THEN n ELSE 0 END) AS redundant,
+             sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN n_good ELSE 0 END) AS good_lost,
+             sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN n_toxic ELSE 0 END) AS toxic_lost
+      FROM h, x GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM y
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -92,5 +124,6 @@ QUERIES: dict[str, Query] = {
     "op8_license_scan": op8_license_scan,
     "op9_warc_writer": op9_warc_writer,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_filter_interaction_audit": op12_filter_interaction_audit,
 }
-ORACLES: dict[str, str] = {"op1_quality_rules": SQL_1}
+ORACLES: dict[str, str] = {"op1_quality_rules": SQL_1, "op12_filter_interaction_audit": SQL_12}
