@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import filter_audit, fingerprints, language_id, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, secret_scan, warc
+from tessera.llm import (
+    filter_audit, fingerprints, language_id, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, retrieval_packing, secret_scan, warc,
+)
 from tessera.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,6 +115,11 @@ FROM y
 """
 
 
+def op13_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed with their neighbours."""
+    return retrieval_packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -125,5 +132,6 @@ QUERIES: dict[str, Query] = {
     "op9_warc_writer": op9_warc_writer,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op12_filter_interaction_audit": op12_filter_interaction_audit,
+    "op13_retrieval_packing": op13_retrieval_packing,
 }
 ORACLES: dict[str, str] = {"op1_quality_rules": SQL_1, "op12_filter_interaction_audit": SQL_12}
