@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import (
-    filter_audit, fingerprints, language_id, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, retrieval_packing, secret_scan, warc,
+    filter_audit, fingerprints, language_id, lexical_search, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, retrieval_packing,
+    secret_scan, warc,
 )
 from tessera.llm.common import table
 
@@ -83,6 +84,27 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    return lexical_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL_11 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+                  lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS t FROM documents),
+q AS (SELECT row_number() OVER () AS i, item_id, list_distinct(list_transform(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+                  lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS t FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+s AS (SELECT count(*)::BIGINT AS n_docs, sum(len(t))::BIGINT AS total FROM d WHERE len(t) > 0),
+a AS (SELECT i, item_id, unnest(t) AS term FROM q),
+p AS (SELECT r, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, len(t)::BIGINT AS n, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM a) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, s GROUP BY term, n_docs),
+m AS (SELECT r, doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // total)) AS impact FROM p, s),
+g AS (SELECT i, item_id, r, doc_id, sum(w * impact)::BIGINT AS score FROM a JOIN m USING (term) JOIN w USING (term) GROUP BY ALL),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score FROM g WHERE score > 0)
+SELECT * FROM k WHERE rank <= 10
+"""
+
+
 def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five filters on all documents, in each of their orders."""
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -131,7 +153,8 @@ QUERIES: dict[str, Query] = {
     "op8_license_scan": op8_license_scan,
     "op9_warc_writer": op9_warc_writer,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_lexical_search": op11_lexical_search,
     "op12_filter_interaction_audit": op12_filter_interaction_audit,
     "op13_retrieval_packing": op13_retrieval_packing,
 }
-ORACLES: dict[str, str] = {"op1_quality_rules": SQL_1, "op12_filter_interaction_audit": SQL_12}
+ORACLES: dict[str, str] = {"op1_quality_rules": SQL_1, "op11_lexical_search": SQL_11, "op12_filter_interaction_audit": SQL_12}
