@@ -20,6 +20,17 @@ BATCH_ROWS = 1000
 SEPARATORS = " \t\n\x0b\x0c\r"
 
 
+def unused(taken: list[str], *names: str) -> list[str]:
+    """names, each with as many underscores behind it as it takes to be none of those taken, in either case."""
+    own, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name.lower() in own:
+            name += "_"
+        own.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, by any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -315,7 +315,10 @@ def _exact(lists: DataFrame, candidates: DataFrame, items: Items, k: int, kind:
 
 def _answered(spark: SparkSession, index: DataFrame, rows: list, k: int, kind: str, proven_at: list[int] | None) -> Iterator[tuple[Items, DataFrame]]:
     """Answers of a block of items, round by round."""
-    vocabulary = spark.createDataFrame([(bytearray(t),) for t in sorted({t for r in rows for t in r.terms})], "term binary")
+    terms = sorted({t for r in rows for t in r.terms})
+    vocabulary = spark.createDataFrame([(bytearray(t),) for t in terms], "term binary")
+    if len(terms) <= 2 * ITEM_TERMS:  # a block has more only where one item has, and is then left to Spark
+        vocabulary = F.broadcast(vocabulary)
     lists = materialize(index.join(vocabulary, "term", "left_semi").unionByName(index.where("term IS NULL")), "item-lists")
     items = _numbers(lists, rows)
     pending = np.arange(len(rows))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from tessera.llm.common import bounded_batches, flat, labelled_sample, materialize, word_hashes
+from tessera.llm.common import bounded_batches, flat, labelled_sample, materialize, unused, word_hashes
 
 #: A word is evidence for a domain if its rows prefer the domain by more standard deviations (root of a likelihood-ratio test) than
 #: the root of this multiple of the logarithm of all rows: more rows have more words that stand out by chance.
@@ -290,9 +290,9 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 
 def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, anchor: str | None = None, trust_labels: bool = False) -> DataFrame:
     """docs with each row n_copies times, which may be never; the columns stay. Rows of one id and text have the same rate and copies."""
-    own = docs.withColumn("text_", F.xxhash64("text"))
-    mixed = mix(own, labels, targets, anchor, ("doc_id", "text_"), trust_labels)
+    mixed = mix(docs.select("doc_id", "text", F.xxhash64("text").alias("text_")), labels, targets, anchor, ("doc_id", "text_"), trust_labels)
     copies = mixed.groupBy(F.col("doc_id").alias("id_"), F.col("text_").alias("of_")).agg(F.max("n_copies").alias("copies_")).where("copies_ > 0")
-    joined = own.join(copies, own["doc_id"].eqNullSafe(copies["id_"]) & (own["text_"] == copies["of_"]))
-    many = F.explode(F.array_repeat(F.lit(True), F.col("copies_"))).alias("copy_")
-    return joined.select(*(own[c] for c in docs.columns), many).drop("copy_")
+    key, all_columns, each = unused([*docs.columns, *copies.columns], "key", "all", "copy")
+    own = docs.select(F.col("doc_id").alias(key), F.xxhash64("text").alias(f"{key}_text"), F.struct(*docs.columns).alias(all_columns))
+    joined = own.join(copies, own[key].eqNullSafe(copies["id_"]) & (own[f"{key}_text"] == copies["of_"]))
+    return joined.select(F.explode(F.array_repeat(F.lit(True), F.col("copies_"))).alias(each), all_columns).select(f"{all_columns}.*")

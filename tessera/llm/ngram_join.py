@@ -27,10 +27,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SEPARATORS, bounded_batches, flat, materialize, word_hashes
+from tessera.llm.common import SEPARATORS, bounded_batches, flat, materialize, unused, word_hashes
 from tessera.llm.components import connected_components
 
 WORDS = 5
@@ -361,8 +361,10 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, recall: float = R
     of = _classes(docs, threshold, recall, floor)
     # doc_id and text name the row that stays: (1, A) and (1, B) are two nodes, and either may be in any class.
     first = of.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("rep_key")))
-    first = materialize(first.select(F.struct("doc_id", "text_key").alias("row_")).distinct(), "stay")
-    own = docs.withColumn("row_", F.struct("doc_id", _text_key().alias("text_key")))
-    w = Window.partitionBy("row_").orderBy(F.xxhash64(*docs.columns))
-    kept = own.join(first, "row_", "left_semi").withColumn("nth_", F.row_number().over(w))
-    return kept.where((F.col("nth_") == 1) | ~F.coalesce(F.col("text").rlike(f"[^{SEPARATORS}]"), F.lit(False))).select(docs.columns)
+    row, all_columns, place, empty = unused(docs.columns, "row", "all", "place", "wordless")
+    first = materialize(first.select(F.struct("doc_id", "text_key").alias(row)).distinct(), "stay")
+    wordless = ~F.coalesce(docs["text"].rlike(f"[^{SEPARATORS}]"), F.lit(False))
+    own = docs.select(F.struct("doc_id", _text_key().alias("text_key")).alias(row), F.struct(*(docs[c] for c in docs.columns)).alias(all_columns), F.xxhash64(*docs.columns).alias(place), wordless.alias(empty))
+    # Equal rows are reduced where they are read, so those that a third of the table repeats do not meet in a task.
+    worded = own.where(~F.col(empty)).join(first, row, "left_semi").groupBy(row).agg(F.min_by(all_columns, place).alias(all_columns))
+    return worded.select(f"{all_columns}.*").unionByName(docs.where(wordless))

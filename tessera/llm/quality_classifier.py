@@ -127,9 +127,9 @@ def _calibration(labelled: DataFrame, model: QualityModel, bins: int) -> tuple[n
 def fit_quality(stats: DataFrame, labels: DataFrame, features: int = 128, gamma: float = 0.02, ridge: float = 1e-3, bins: int = 1000, seed: int = 7) -> QualityModel | None:
     """Fits a model to stats (doc_id, stats) of rows that may be learnt from, and labels (doc_id, quality).
 
-    One labelled row in five, by a hash of its id, is kept for calibration.
+    One labelled row in five, by a hash of its id, is kept for calibration. An id has one label: the smallest, if several disagree.
     """
-    y = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", F.col("quality").cast("double").alias("y"))
+    y = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
     rows = materialize(stats.join(y, "doc_id").select("stats", "y", (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("later")), "labelled")
     of = [f(F.col("stats")[k]) for k in range(N_STATS) for f in (F.mean, F.stddev_pop)]
     about = rows.agg(F.count("*"), *of).head()

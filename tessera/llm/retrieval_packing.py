@@ -41,19 +41,21 @@ K1, B = 1.2, 0.75
 #: Tokens that one task packs, on average at most, where that takes more tasks than the session's shuffles have.
 PART_TOKENS = 64_000_000
 #: Minimum hashes in a signature.
-HASHES = 8
+HASHES = 4
 
 _MULTIPLIERS = np.random.default_rng(13).integers(1, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def signature(ids: np.ndarray) -> bytes:
-    """The minimum over the ids of each of several hashes, as bytes that sort like the numbers."""
-    own = ids.astype(np.uint32)
-    low = []
-    for m in _MULTIPLIERS:
+def signatures(ids: list[bytes]) -> pa.Array:
+    """For each of some lists of ids the minimum of each of several hashes, as bytes that sort like the numbers. No list is empty."""
+    own = np.frombuffer(b"".join(ids), "<u4")
+    starts = np.cumsum([0, *(len(i) // 4 for i in ids[:-1])])
+    low = np.empty((len(ids), HASHES), ">u4")
+    for k, m in enumerate(_MULTIPLIERS):
         h = own * m
-        low.append((h ^ (h >> np.uint32(15))).min())
-    return np.array(low, dtype=">u4").tobytes()
+        h ^= h >> np.uint32(15)
+        low[:, k] = np.minimum.reduceat(h, starts)
+    return pa.Array.from_buffers(pa.binary(4 * HASHES), len(ids), [None, pa.py_buffer(low.tobytes())]).cast(pa.binary())
 
 
 def tokenize(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -66,8 +68,9 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         words = _word_tokenizer(path)
         for b in batches:
             ids = [words.encode(text) + end for text in texts(b.column("text"))]
-            marks = [signature(np.frombuffer(i, "<u4")) for i in ids]
-            columns = [b.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(marks, pa.binary())]
+            if not ids:
+                continue
+            columns = [b.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64()), signatures(ids)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "tokens", "signature"])
 
     return docs.select("doc_id", "text").mapInArrow(encoded, f"doc_id {kind}, ids binary, tokens long, signature binary")

@@ -20,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, materialize, scratch, texts
+from tessera.llm.common import bounded_batches, materialize, scratch, texts, unused
 
 
 @dataclass(frozen=True)
@@ -200,12 +200,13 @@ def redact(docs: DataFrame, ledger: str | None = None, rules: tuple[SecretRule,
     spark = docs.sparkSession
     ledger = ledger or scratch(spark, "secret-ledger")
     paths = update_ledger(docs, ledger, rules)
-    found = findings(spark, ledger, rules, paths).where("size(spans) > 0").select(F.col("blob").alias("blob_"), _merged(F.col("spans")).alias("spans_"))
+    blob, spans = unused(docs.columns, "blob", "spans")
+    found = findings(spark, ledger, rules, paths).where("size(spans) > 0").select(F.col("blob").alias(blob), _merged(F.col("spans")).alias(spans))
     some = materialize(found, "findings")
     # From the last to the first, so that the places of those before stay.
     step = lambda text, x: F.concat(F.substring(text, F.lit(1), x.start), F.lit("[SECRET]"), F.substring(text, x.end + 1, F.length(text)))
-    clean = F.aggregate(F.reverse("spans_"), F.col("text"), step)
-    joined = docs.join(some, address(docs["text"]) == some["blob_"], "left")
-    text = F.when(F.col("spans_").isNull(), F.col("text")).otherwise(clean)
-    own = {"text": text} | ({"n_chars": F.when(F.col("spans_").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))} if "n_chars" in docs.columns else {})
+    clean = F.aggregate(F.reverse(F.col(spans)), F.col("text"), step)
+    joined = docs.join(some, address(docs["text"]) == some[blob], "left")
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(clean)
+    own = {"text": text} | ({"n_chars": F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))} if "n_chars" in docs.columns else {})
     return joined.select(*(own[c].alias(c) if c in own else docs[c] for c in docs.columns))
