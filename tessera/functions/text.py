@@ -120,8 +120,9 @@ def title_apart(title: Column, url: Column, n_urls: Column) -> Column:
     return F.when(n_urls > 1, F.concat(title, F.lit("-"), url_last_segment(url))).otherwise(title)
 
 
-#: What urls of each kind look like.
-_WEB = "^https?://[-a-zA-Z0-9@:%._~#=]{2,256}[.][a-z]{2,}"
+#: A web address: a scheme, and a host of two labels or more whose last is letters, before any port, path or query.
+_WEB = "^https?://([^/?#:@\\s.]+[.])+[a-z]{2,}(:[0-9]+)?([/?#]|$)"
+#: What urls of each other kind look like.
 _VIDEO = "^(?:https?://)?(?:www\\.)?(?:youtu\\.be/|youtube\\.com/(?:embed/|v/|watch\\?v=|watch\\?.+&v=))[A-Za-z0-9_-]{11}(?:\\S+)?$"
 _WIKI = "^https?://(?:www\\.)?([a-zA-Z]{2,3})\\.wikipedia\\.org/wiki/(.*)$"
 _BUCKET = "^s3://([^/]+)/?$"
@@ -218,28 +219,23 @@ def json_list(text: Column) -> Column:
 
 
 def tagged_triplets(text: Column) -> Column:
-    """Triplets of a text marked with <triplet> head <subj> tail <obj> type, tails and types possibly several a head."""
-    words = F.filter(F.split(F.regexp_replace(text, "</?s>|<pad>", ""), "\\s+"), lambda w: w != "")
-    entry = "struct<head string, type string, tail string>"
-    start = F.struct(F.lit("").alias("head"), F.lit("").alias("type"), F.lit("").alias("tail"), F.lit("").alias("at"), F.array().cast(f"array<{entry}>").alias("out"))
-    grown = lambda s, w: F.trim(F.concat_ws(" ", s, w))
-
-    def step(a: Column, w: Column) -> Column:
-        mark = w.isin("<triplet>", "<subj>", "<obj>")
-        done = w.isin("<triplet>", "<subj>") & (a.type != "")
-        own = F.array(F.struct(a.head.alias("head"), a.type.alias("type"), a.tail.alias("tail")))
-        return F.struct(
-            F.when(w == "<triplet>", "").when(~mark & (a.at == "<triplet>"), grown(a.head, w)).otherwise(a.head).alias("head"),
-            F.when((w == "<obj>") | ((w == "<triplet>") & (a.type != "")), "").when(~mark & (a.at == "<obj>"), grown(a.type, w)).otherwise(a.type).alias("type"),
-            F.when(w == "<subj>", "").when(~mark & (a.at == "<subj>"), grown(a.tail, w)).otherwise(a.tail).alias("tail"),
-            F.when(mark, w).otherwise(a.at).alias("at"), F.when(done, F.concat(a.out, own)).otherwise(a.out).alias("out"),
-        )
-
-    def finish(a: Column) -> Column:
-        whole = (a.head != "") & (a.type != "") & (a.tail != "")
-        return F.when(whole, F.concat(a.out, F.array(F.struct(a.head.alias("head"), a.type.alias("type"), a.tail.alias("tail"))))).otherwise(a.out)
-
-    return F.aggregate(words, start, step, finish)
+    """Triplets of a text in which each <triplet> opens a head, each <subj> after it a tail and the <obj> after that its type.
+
+    A part without a head, tail or type names no triplet; what stands before the first <triplet>, and padding, counts for nothing.
+    """
+    bare = F.regexp_replace(text, "</?s>|<pad>", "")
+    cut = lambda x, mark: F.split(x, mark)
+    name = lambda x: F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", " "))
+
+    def of_head(part: Column) -> Column:
+        pieces = cut(part, "<subj>")
+        head = name(F.get(cut(F.get(pieces, F.lit(0)), "<obj>"), F.lit(0)))
+        rest = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
+        return F.transform(rest, lambda x: F.struct(head.alias("head"), name(F.get(cut(x, "<obj>"), F.lit(1))).alias("type"), name(F.get(cut(x, "<obj>"), F.lit(0))).alias("tail")))
+
+    parts = cut(bare, "<triplet>")
+    found = F.flatten(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), of_head))
+    return F.filter(found, lambda x: (x.head != "") & (x.type != "") & (x.tail != ""))
 
 
 def token_total(reply: Column) -> Column:

@@ -49,11 +49,11 @@ def duplicate_pairs(entities: DataFrame, distance: int = 5, shortest: int = 3, l
 
 
 def _alike(entities: DataFrame, likeness: float) -> DataFrame:
-    from tessera.operators.retrieval import alike
+    from tessera.operators import vector_index
 
     own = entities.where("embedding IS NOT NULL").select("label", "name", "embedding", F.xxhash64("label", "name").alias("id"))
     name = lambda i, c: own.select(F.col("id").alias(i), F.col("name").alias(c))
-    found = alike(own, likeness, "label").join(name("id", "a"), "id").join(name("neighbour", "b"), "neighbour")
+    found = vector_index.pairs(vector_index.build(own), likeness, "label").join(name("id", "a"), "id").join(name("neighbour", "b"), "neighbour")
     return found.select("label", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 

@@ -57,31 +57,6 @@ def nearest_neighbours(rows: DataFrame, k: int, least: float = 0.0) -> DataFrame
     return found.withColumn("n_", F.row_number().over(w)).where(F.col("n_") <= k).drop("n_")
 
 
-def alike(rows: DataFrame, least: float, within: str | None = None) -> DataFrame:
-    """id, neighbour and score of all pairs id < neighbour of rows (id long, embedding) of scaled similarity least or more; within: a
-    column that both must share. Blocks are as in ``nearest_neighbours``, each pair of blocks once."""
-    blocks = max(1, -(-rows.count() // BLOCK))
-    keys = [within] if within else []
-    own = rows.where("embedding IS NOT NULL").select("id", "embedding", *keys, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block_"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    dealt = own.withColumn("other_", other).select("id", "embedding", *keys, "block_", F.least("block_", "other_").alias("i"), F.greatest("block_", "other_").alias("j"))
-
-    def found(t: pa.Table) -> pa.Table:
-        ids, side = t.column("id").to_numpy(), t.column("block_").to_numpy()
-        vectors = np.array(t.column("embedding").to_pylist(), dtype=np.float64)
-        norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        score = np.round((1 + (vectors / np.maximum(norms, 1e-300)) @ (vectors / np.maximum(norms, 1e-300)).T) / 2, 4)
-        real = norms[:, 0] > 0
-        ok = (score >= least) & (ids[:, None] < ids[None, :]) & real[:, None] & real[None, :]
-        a, b = np.nonzero(ok & ((side[:, None] != side[None, :]) if i != j else True))
-        out = {"id": ids[a], "neighbour": ids[b], "score": score[a, b]}
-        return pa.table(out | ({within: t.column(within).take(pa.array(a))} if within else {}))
-
-    schema = "id long, neighbour long, score double" + (f", {within} {dict(rows.dtypes)[within]}" if within else "")
-    return dealt.groupBy(*keys, "i", "j").applyInArrow(found, schema)
-
-
 def similar_edges(neighbours: DataFrame) -> DataFrame:
     """Undirected SIMILAR edges, each pair once with its score."""
     return neighbours.groupBy(F.least("id", "neighbour").alias("source"), F.greatest("id", "neighbour").alias("target")).agg(F.max("score").alias("score"))

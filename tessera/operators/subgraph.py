@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def first_chunks(chunks: DataFrame, files: DataFrame, limit: int = 50) -> DataFrame:
     """The first chunks of each of some files (file), so many each."""
-    own = chunks.join(F.broadcast(files.select("file").distinct()), "file", "left_semi")
+    own = chunks.join(files.select("file").distinct(), "file", "left_semi")
     return own.withColumn("n_", F.row_number().over(Window.partitionBy("file").orderBy("position"))).where(F.col("n_") <= limit).drop("n_")
 
 

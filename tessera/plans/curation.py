@@ -64,11 +64,11 @@ def duplicate_page(spark, sf_dir):
     return page.select("label", "head", F.array_join("members", "|").alias("members"), F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-@query("""WITH e AS (SELECT label, 'v' || vec_id AS name, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 300) SELECT a.label, a.name AS a, b.name AS b FROM e a JOIN e b ON a.label = b.label AND a.name < b.name
+@query("""WITH e AS (SELECT label, 'v' || vec_id AS name, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.label, a.name AS a, b.name AS b FROM e a JOIN e b ON a.label = b.label AND a.name < b.name
     WHERE round((1 + list_cosine_similarity(a.v, b.v)) / 2, 4) >= 0.75 OR (contains(a.name, b.name) OR contains(b.name, a.name)) AND length(a.name) >= 3 AND length(b.name) >= 3""")
 def duplicate_pairs_by_vectors(spark, sf_dir):
     """Names of one label that contain each other, or whose vectors are alike."""
-    own = D.table(spark, sf_dir, "embeddings").where("vec_id < 300").select("label", F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("name"), "embedding")
+    own = D.table(spark, sf_dir, "embeddings").select("label", F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("name"), "embedding")
     return U.duplicate_pairs(own, likeness=0.75)
 
 

@@ -74,10 +74,21 @@ def keyword_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 def entity_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """entity with one of the vectors, by a hash of its name."""
     own = mentions(spark, sf_dir).select("entity").distinct()
-    h = F.conv(F.substring(F.md5("entity"), 1, 6), 16, 10).cast("long") % 500
+    n = vectors(spark, sf_dir).count()
+    h = F.conv(F.substring(F.md5("entity"), 1, 6), 16, 10).cast("long") % max(n, 1)
     return own.select("entity", h.alias("id")).join(vectors(spark, sf_dir).select("id", "embedding"), "id").select("entity", "embedding")
 
 
+def vector_index(spark: SparkSession, sf_dir: str):
+    """The index of all vectors, made once a session and data folder."""
+    from tessera.operators import vector_index as V
+
+    made = spark.__dict__.setdefault("_tessera_indexes", {})
+    if sf_dir not in made:
+        made[sf_dir] = V.build(vectors(spark, sf_dir))
+    return made[sf_dir]
+
+
 def community_lists(mentions_of: DataFrame) -> DataFrame:
     """entity with nested communities: by its first letter, then fives of these, then threes of those."""
     letter = F.ascii("entity") - 65
@@ -133,7 +144,7 @@ SQL = {
             FROM (SELECT file, position, chunk_id, place, regexp_replace(w[place + 1], '[^A-Za-z]', '', 'g') AS entity FROM places) WHERE regexp_full_match(entity, '[A-Z][a-z]{3,}'))""",
     "pairs": r"""pairs AS (SELECT file, position, entity, next FROM (SELECT *, lead(entity) OVER (PARTITION BY file, position ORDER BY place) AS next FROM mentions) WHERE next <> entity)""",
     "edges": r"""edges AS (SELECT least(entity, next) AS source, greatest(entity, next) AS target, count(*) AS weight FROM pairs GROUP BY ALL)""",
-    "evectors": r"""evectors AS (SELECT entity, embedding::DOUBLE[] AS embedding FROM (SELECT DISTINCT entity FROM mentions) JOIN embeddings ON vec_id = ('0x' || substr(md5(entity), 1, 6))::BIGINT % 500)""",
+    "evectors": r"""evectors AS (SELECT entity, embedding::DOUBLE[] AS embedding FROM (SELECT DISTINCT entity FROM mentions) JOIN embeddings ON vec_id = ('0x' || substr(md5(entity), 1, 6))::BIGINT % (SELECT count(*) FROM embeddings))""",
     "lists": r"""lists AS (SELECT DISTINCT entity, ascii(entity) - 65 AS c0, (ascii(entity) - 65) // 5 AS c1, ((ascii(entity) - 65) // 5) // 3 AS c2 FROM mentions)""",
     "nodes": r"""nodes AS (SELECT 'Region:' || r_regionkey AS node_id, 'Region' AS label, r_name AS caption FROM region
         UNION ALL SELECT 'Nation:' || n_nationkey, 'Nation', n_name FROM nation UNION ALL SELECT 'Customer:' || c_custkey, 'Customer', c_name FROM customer

@@ -164,7 +164,7 @@ def connected_components(spark, sf_dir):
     """Components of the graph of vectors that are alike, of those with a neighbour."""
     from tessera.operators.retrieval import alike, similar_edges
 
-    return C.components(similar_edges(alike(D.vectors(spark, sf_dir).select("id", "embedding"), 0.7)))
+    return C.components(similar_edges(pairs(D.vector_index(spark, sf_dir), 0.7)))
 
 
 @query()

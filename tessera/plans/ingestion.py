@@ -167,10 +167,10 @@ def time_format(spark, sf_dir):
     return D.table(spark, sf_dir, "orders").select("o_orderkey", at.alias("at"), T.seconds_of(at).alias("seconds"))
 
 
-@query(D.sql("SELECT entity, label, count(*) AS n FROM mentions WHERE file IN (SELECT file FROM words WHERE lang = 'fr') GROUP BY ALL", "mentions"))
+@query(D.sql("SELECT entity, label, count(*) AS n FROM mentions GROUP BY ALL", "mentions"))
 def extracted_entities(spark, sf_dir):
     """An extractor that is put in: here the rule of mentions, as a function."""
-    own = ingest.chunk_windows(D.files(spark, sf_dir).where("lang = 'fr'"))
+    own = ingest.chunk_windows(D.files(spark, sf_dir))
     return M.extract(own, M.capitalized_words).groupBy("entity", "label").agg(F.count("*").alias("n"))
 
 
@@ -245,7 +245,7 @@ def edges_table(spark, sf_dir):
     return D.edges(spark, sf_dir).agg(F.count("*").alias("n"), F.sum("weight").alias("weight")).select(F.lit("edges").alias("name"), "n", "weight")
 
 
-@query(r"""SELECT count(*) AS postings, sum(tf)::BIGINT AS words FROM (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter(string_split(trim(regexp_replace(translate(lower(translate(text, '.,', '')), chr(10) || '"' || chr(39), ' '), '[ 	
+@query(r"""SELECT count(*) AS postings, sum(tf)::BIGINT AS words FROM (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter(string_split(trim(regexp_replace(translate(lower(translate(text, '.,', '')), chr(10) || '"' || chr(39), ' '), '[ 	
 ]+', ' ', 'g')), ' '),
     lambda x: x <> '')) AS t FROM documents) GROUP BY ALL)""")
 def keyword_index(spark, sf_dir):

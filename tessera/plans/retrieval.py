@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vectors import cosine, scaled
 from tessera.operators import retrieval as R
+from tessera.operators import vector_index as V
 from tessera.plans import derived as D
 from tessera.plans.registry import query
 
@@ -15,7 +16,10 @@ TERMS = ["thand", "inear", "oner"]
 
 def _question(spark, sf_dir) -> list[float]:
     """The vector that stands for a question: that of the first row."""
-    return [float(x) for x in D.table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").head()[0]]
+    row = D.table(spark, sf_dir, "embeddings").orderBy("vec_id").select("embedding").head()
+    if row is None:
+        raise ValueError("no vector to ask for")
+    return [float(x) for x in row[0]]
 
 
 _SCORED = "scored AS (SELECT *, round((1 + list_cosine_similarity(embedding, (SELECT embedding FROM vectors WHERE id = 0))) / 2, 4) AS score FROM vectors)"
@@ -27,7 +31,8 @@ _BM25 = f"""{_LOWER}, terms AS (SELECT unnest({TERMS}) AS t), stats AS (SELECT c
 
 @query(D.sql("SELECT id, file, score FROM scored WHERE score >= 0.5 ORDER BY score DESC, id LIMIT 5", "vectors", also=_SCORED))
 def vector_topk(spark, sf_dir):
-    return R.vector_top(D.vectors(spark, sf_dir), _question(spark, sf_dir), 5, 0.5).select("id", "file", "score")
+    """Through the index, exactly: cells that cannot hold a better row are not read."""
+    return V.search(D.vector_index(spark, sf_dir), _question(spark, sf_dir), 5, 0.5, exact=True).select("id", "file", "score")
 
 
 @query(D.sql("""SELECT file, string_agg(text, chr(10) ORDER BY score DESC, text) AS text, round(avg(score), 4) AS score, count(*) AS n_chunks
@@ -53,7 +58,19 @@ def embedding_filter(spark, sf_dir):
 @query(D.sql("""SELECT a AS id, b AS neighbour, score FROM (SELECT a.id AS a, b.id AS b, round((1 + list_cosine_similarity(a.embedding, b.embedding)) / 2, 4) AS score FROM vectors a, vectors b WHERE a.id <> b.id)
     QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5""", "vectors"))
 def knn_topk(spark, sf_dir):
-    return R.nearest_neighbours(D.vectors(spark, sf_dir).select("id", "embedding"), 5)
+    return V.neighbours(D.vector_index(spark, sf_dir), 5, exact=True)
+
+
+@query("SELECT 5 AS k, count(*) AS n, true AS reached FROM embeddings")
+def knn_recall(spark, sf_dir):
+    """Whether the neighbours in the cells that the index opens by itself are nine of ten true ones or more, over all rows."""
+    index = D.vector_index(spark, sf_dir)
+    true, found = V.neighbours(index, 5, exact=True), V.neighbours(index, 5)
+    # Of neighbours with one score any may be given.
+    least = true.groupBy("id").agg(F.min("score").alias("least"), F.count("*").alias("wanted"))
+    hits = found.join(least, "id").where("score >= least").groupBy("id").agg(F.count("*").alias("hits"))
+    of = least.join(hits, "id", "left").agg(F.count("*").alias("n"), (F.sum(F.coalesce("hits", F.lit(0))) / F.sum("wanted")).alias("recall"))
+    return of.select(F.lit(5).alias("k"), "n", (F.col("recall") >= 0.9).alias("reached"))
 
 
 _KNN = """k AS (SELECT a, b, score FROM (SELECT a.id AS a, b.id AS b, round((1 + list_cosine_similarity(a.embedding, b.embedding)) / 2, 4) AS score FROM vectors a, vectors b WHERE a.id <> b.id)
@@ -62,7 +79,7 @@ _KNN = """k AS (SELECT a, b, score FROM (SELECT a.id AS a, b.id AS b, round((1 +
 
 @query(D.sql("SELECT least(a, b) AS source, greatest(a, b) AS target, max(score) AS score FROM k GROUP BY ALL", "vectors", also=_KNN))
 def knn_edges(spark, sf_dir):
-    return R.similar_edges(R.nearest_neighbours(D.vectors(spark, sf_dir).select("id", "embedding"), 5, 0.6))
+    return R.similar_edges(V.neighbours(D.vector_index(spark, sf_dir), 5, 0.6, exact=True))
 
 
 @query(f"WITH {_BM25} SELECT id, score FROM bm")

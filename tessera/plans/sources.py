@@ -140,7 +140,7 @@ def web_titles_apart(spark, sf_dir):
     return own.join(n, "title").select("file", T.title_apart(F.col("title"), F.col("url"), F.col("n")).alias("title"))
 
 
-@query(D.sql("""SELECT file, url IS NOT NULL AND url <> 'None' AND regexp_matches(url, '^https?://[-a-zA-Z0-9@:%._~#=]{2,256}[.][a-z]{2,}') AS web, coalesce(split_part(split_part(url, '//', 2), '/', 1) IN ('host1.example', 'host2.example'), false) AS allowed
+@query(D.sql("""SELECT file, url IS NOT NULL AND url <> 'None' AND len(string_split(regexp_extract(url, '^https?://([^/]*)', 1), '.')) >= 2 AS web, coalesce(split_part(split_part(url, '//', 2), '/', 1) IN ('host1.example', 'host2.example'), false) AS allowed
     FROM sources""", "sources"))
 def url_checks(spark, sf_dir):
     own = D.sources(spark, sf_dir)

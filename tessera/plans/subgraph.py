@@ -95,10 +95,10 @@ def community_scores(spark, sf_dir):
     return S.with_scores(rows, own.where("c % 2 = 0").select(C.level_id(F.lit(0), F.col("c")).alias("id"), (F.col("c") / 10).alias("score")), 1.0)
 
 
-@query(f"""SELECT DISTINCT 'entities' AS kind, p_brand AS id FROM part WHERE p_partkey < 100 UNION SELECT DISTINCT 'relationships', p_type FROM part WHERE p_partkey < 100 AND p_partkey % 2 = 0""")
+@query(f"""SELECT DISTINCT 'entities' AS kind, p_brand AS id FROM part UNION SELECT DISTINCT 'relationships', p_type FROM part WHERE p_partkey % 2 = 0""")
 def used_ids(spark, sf_dir):
     """Ids that an answer's documents name in their lists, each once."""
-    own = D.table(spark, sf_dir, "part").where("p_partkey < 100")
+    own = D.table(spark, sf_dir, "part")
     docs = own.select(F.array("p_brand").alias("entities"), F.when(F.col("p_partkey") % 2 == 0, F.array("p_type", "p_type")).otherwise(F.array().cast("array<string>")).alias("relationships"))
     return S.used_ids(docs, ["entities", "relationships"])
 
@@ -163,25 +163,25 @@ def answer_label_counts(spark, sf_dir):
     return own.groupBy("label").agg(F.count_distinct("entity").alias("n"), F.min("entity").alias("first")).orderBy(F.desc("n"), "label")
 
 
-@query(D.sql("""SELECT node_id, label, caption, contains(lower(caption), 'st') OR contains(lower(node_id), 'st') AS selected FROM nodes WHERE label IN ('Nation', 'Region', 'Supplier')""", "nodes"))
+@query(D.sql("""SELECT node_id, label, caption, contains(lower(caption), 'st') OR contains(lower(node_id), 'st') AS selected FROM nodes""", "nodes"))
 def searched_nodes(spark, sf_dir):
     """Nodes that a search in the drawn graph marks."""
     has = lambda c: F.contains(F.lower(c), F.lit("st"))
-    return D.nodes(spark, sf_dir).where("label IN ('Nation', 'Region', 'Supplier')").select("node_id", "label", "caption", (has("caption") | has("node_id")).alias("selected"))
+    return D.nodes(spark, sf_dir).select("node_id", "label", "caption", (has("caption") | has("node_id")).alias("selected"))
 
 
-@query(D.sql("""SELECT node_id, CASE WHEN label = 'Order' THEN '*' ELSE label END AS labels, coalesce(nullif(caption, ''), ' ') AS title FROM nodes WHERE label IN ('Nation', 'Region', 'Order')""", "nodes"))
+@query(D.sql("""SELECT node_id, CASE WHEN label = 'Order' THEN '*' ELSE label END AS labels, coalesce(nullif(caption, ''), ' ') AS title FROM nodes""", "nodes"))
 def projected_nodes(spark, sf_dir):
     """Nodes as they are sent: labels without the system's (* for none), a title, and no heavy property."""
     labels = F.when(F.col("label") == "Order", F.array(F.lit("__Entity__"))).otherwise(F.array(F.lit("__Entity__"), F.col("label")))
-    own = D.nodes(spark, sf_dir).where("label IN ('Nation', 'Region', 'Order')").withColumn("labels", labels)
+    own = D.nodes(spark, sf_dir).withColumn("labels", labels)
     bare = F.array_except("labels", F.array(F.lit("__Entity__")))
     return own.select("node_id", F.array_join(F.when(F.size(bare) == 0, F.array(F.lit("*"))).otherwise(bare), ",").alias("labels"), F.coalesce(F.nullif("caption", F.lit("")), F.lit(" ")).alias("title"))
 
 
-@query(D.sql("SELECT type || ':' || src || '>' || dst AS id, type, src, dst FROM rels WHERE type = 'IN'", "rels"))
+@query(D.sql("SELECT type || ':' || src || '>' || dst AS id, type, src, dst FROM rels", "rels"))
 def projected_rels(spark, sf_dir):
-    return D.rels(spark, sf_dir).where("type = 'IN'").select(F.concat("type", F.lit(":"), "src", F.lit(">"), "dst").alias("id"), "type", "src", "dst")
+    return D.rels(spark, sf_dir).select(F.concat("type", F.lit(":"), "src", F.lit(">"), "dst").alias("id"), "type", "src", "dst")
 
 
 @query(D.sql("SELECT node_id FROM nodes WHERE label IN ('Nation', 'Region')", "nodes"))

@@ -45,21 +45,6 @@ def test_duplicates_against_all_pairs(spark):
     assert got == want and len(want) > 100
 
 
-def test_alike_against_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(retrieval, "BLOCK", 20)
-    rng = np.random.default_rng(1)
-    v = rng.normal(size=(90, 4))
-    v[3] = 0
-    rows = [(i, [float(x) for x in v[i]] if i != 5 else None, "ab"[i % 2]) for i in range(90)]
-    df = spark.createDataFrame(rows, "id long, embedding array<double>, label string")
-    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-    score = np.round((1 + unit @ unit.T) / 2, 4)
-    ok = lambda i, j: i < j and 3 not in (i, j) and 5 not in (i, j) and score[i, j] >= 0.8
-    assert {(r.id, r.neighbour) for r in retrieval.alike(df, 0.8).collect()} == {(i, j) for i in range(90) for j in range(90) if ok(i, j)}
-    assert {(r.id, r.neighbour) for r in retrieval.alike(df, 0.8, "label").collect()} == {(i, j) for i in range(90) for j in range(90) if ok(i, j) and i % 2 == j % 2}
-    assert {r.id for r in retrieval.nearest_neighbours(df, 2).collect()} == {i for i in range(90) if i != 5}
-
-
 def test_alignment_against_plain_python(spark):
     rng = random.Random(3)
     words = ["alpha", "beta", "gamma", "delta", "so", "it"]
@@ -107,33 +92,24 @@ def test_states(spark):
     assert of(lifecycle.cancel(own, spark.createDataFrame([("c",)], "file string")))["c"].is_cancelled
 
 
-def test_tagged_triplets_against_the_machine(spark):
-    def machine(text):
-        out, head, tail, kind, at = [], "", "", "", ""
-        for w in text.replace("<s>", "").replace("<pad>", "").replace("</s>", "").split():
-            if w == "<triplet>":
-                if kind:
-                    out.append((head, kind, tail))
-                    kind = ""
-                head, at = "", w
-            elif w == "<subj>":
-                if kind:
-                    out.append((head, kind, tail))
-                tail, at = "", w
-            elif w == "<obj>":
-                kind, at = "", w
-            elif at == "<triplet>":
-                head = f"{head} {w}".strip()
-            elif at == "<subj>":
-                tail = f"{tail} {w}".strip()
-            elif at == "<obj>":
-                kind = f"{kind} {w}".strip()
-        return out + ([(head, kind, tail)] if head and kind and tail else [])
-
+def test_tagged_triplets_are_those_that_were_marked(spark):
     rng = random.Random(8)
-    texts = [" ".join(rng.choices(["<triplet>", "<subj>", "<obj>", "a", "b", "c"], k=rng.randint(0, 25))) for _ in range(200)]
-    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", T.tagged_triplets(F.col("t")).alias("x")).collect()
-    assert all([tuple(x) for x in r.x] == machine(texts[r.k]) for r in rows)
+    word = lambda: " ".join(rng.choices(["alpha", "beta", "gamma", "de la", "x1"], k=rng.randint(1, 3)))
+    rows = []
+    for k in range(200):
+        heads = [(word(), [(word(), word()) for _ in range(rng.randint(1, 3))]) for _ in range(rng.randrange(4))]
+        marked = "".join(f"<triplet> {h} " + "".join(f"<subj> {t} <obj> {kind} " for t, kind in own) for h, own in heads)
+        rows.append((k, f"<s>{rng.choice(['', 'before '])}{marked}</s><pad>", [(h, kind, t) for h, own in heads for t, kind in own]))
+    got = {r.k: [tuple(x) for x in r.x] for r in spark.createDataFrame([r[:2] for r in rows], "k int, t string").select("k", T.tagged_triplets(F.col("t")).alias("x")).collect()}
+    assert all(got[k] == want for k, _, want in rows)
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("", []), ("no marks at all", []), ("<triplet> a", []), ("<triplet> a <subj> b", []), ("<triplet> a <subj> b <obj>", []), ("<triplet> <subj> b <obj> c", []),
+    ("<triplet> a <subj> <obj> c <subj> d <obj> e", [("a", "e", "d")]), ("<triplet> a <subj> b <obj> c <triplet> d", [("a", "c", "b")]), ("<obj> c <subj> b <triplet> a <subj>  b   x <obj> c", [("a", "c", "b x")]),
+])
+def test_tagged_triplets_by_hand(spark, text, want):
+    assert [tuple(x) for x in spark.createDataFrame([(text,)], "t string").select(T.tagged_triplets(F.col("t"))).head()[0]] == want
 
 
 def test_models_are_arguments(spark):

@@ -115,7 +115,8 @@ def test_nearest_neighbours_in_blocks(spark, monkeypatch):
 
 def test_search_of_nothing(spark):
     empty = spark.createDataFrame([], "id string, words array<string>")
-    assert R.bm25(empty, ["a"]).count() == 0
+    lengths = empty.select("id", F.size("words").alias("length"))
+    assert R.bm25(R.postings(empty), lengths, ["a"]).count() == 0
     top = R.vector_top(spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None)], "id long, embedding array<double>"), [1.0, 0.0], 2)
     assert [r.id for r in top.collect()] == [1, 2]
     assert R.fuse(spark.createDataFrame([("a", 2.0), ("b", 1.0)], "id string, score double"), spark.createDataFrame([("b", 4.0)], "id string, score double")).where(F.col("score") == 1).count() == 2
