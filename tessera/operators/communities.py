@@ -14,36 +14,49 @@ def projection(rels: DataFrame) -> DataFrame:
     return ends.groupBy("source", "target").agg(F.count("*").alias("weight"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Edges at one node from which it counts as a hub, and hubs that may be broadcast, at most.
+HUB, HUBS = 10_000, 100_000
+
+
+def components(edges: DataFrame, hub: int = HUB) -> DataFrame:
     """node, component (the smallest node of it) of undirected edges (source, target).
 
     The smallest label among neighbours, then the label of that label, until nothing changes. Each round's labels are written to the
-    shared folder, and only whether any changed comes to the driver.
+    shared folder, and only whether any changed comes to the driver. Hubs, of which there are HUBS at most, hand their labels out by
+    broadcast, so no task gets all edges of one; and only labels that are in use and have changed are looked up, which are few by the
+    time that many nodes share one.
     """
     both = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
     both = materialize(both.union(edges.select("target", "source")).where("a != b").distinct(), "edges")
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label")), "labels")
+    first = materialize(both.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")), "first-labels")
+    labels = first.select(F.col("a").alias("node"), F.least("a", "low").alias("label"))
+    total = first.agg(F.sum("n")).head()[0] or 0
+    hubs = materialize(first.where(F.col("n") > max(hub, total // HUBS)).select(F.col("a").alias("b")), "hubs")
+    some = hubs.limit(1).count() > 0
+    usual = both.join(F.broadcast(hubs), "b", "left_anti") if some else both
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("l")), "b").groupBy("a").agg(F.min("l").alias("l"))
-        lower = near.join(labels, near["a"] == labels["node"]).select("node", F.col("label").alias("was"), F.least("label", "l").alias("via"))
-        jump = labels.select(F.col("node").alias("via"), F.col("label").alias("next"))
-        new = materialize(lower.join(jump, "via").select("node", "was", F.least("via", "next").alias("label")), "labels")
+        given = labels.select(F.col("node").alias("b"), F.col("label").alias("l"))
+        near = usual.join(given, "b").select("a", "l")
+        if some:
+            near = near.union(both.join(F.broadcast(given.join(F.broadcast(hubs), "b")), "b").select("a", "l"))
+        near = near.groupBy("a").agg(F.min("l").alias("l"))
+        lower = materialize(near.join(labels, near["a"] == labels["node"]).select("node", F.col("label").alias("was"), F.least("label", "l").alias("via")), "lower")
+        changed = labels.where("node != label").select(F.col("node").alias("via"), F.col("label").alias("next")).join(lower.select("via").distinct(), "via", "left_semi")
+        new = materialize(lower.join(changed, "via", "left").select("node", "was", F.least("via", "next").alias("label")), "labels")
         labels = new.select("node", "label")
         if new.where("was != label").limit(1).count() == 0:
             return labels.withColumnRenamed("label", "component")
 
 
 def modularity(edges: DataFrame, assigned: DataFrame, community: str = "community") -> float:
-    """Of undirected weighted edges under an assignment of nodes."""
+    """Of undirected weighted edges under an assignment of nodes: one aggregation by community."""
     c = lambda end: assigned.select(F.col("node").alias(end), F.col(community).alias(f"{end}_c"))
     own = edges.join(c("source"), "source").join(c("target"), "target")
-    total = own.agg(F.sum("weight")).head()[0] or 0
-    if not total:
-        return 0.0
-    inside = own.where("source_c = target_c").agg(F.sum("weight")).head()[0] or 0
-    ends = own.select("source_c", "weight").union(own.select("target_c", "weight")).groupBy("source_c").agg(F.sum("weight").alias("d"))
-    squares = ends.agg(F.sum(F.col("d") * F.col("d"))).head()[0]
-    return inside / total - squares / (4.0 * total * total)
+    inside = F.when(F.col("source_c") == F.col("target_c"), F.col("weight")).otherwise(0)
+    ends = own.select(F.explode(F.array(F.struct(F.col("source_c").alias("c"), inside.alias("w"), F.col("weight").alias("d")), F.struct(F.col("target_c").alias("c"), (inside * 0).alias("w"), F.col("weight").alias("d")))).alias("x"))
+    sums = ends.groupBy("x.c").agg(F.sum("x.w").alias("w"), F.sum("x.d").alias("d"))
+    within, squares, double = sums.agg(F.sum("w"), F.sum(F.col("d") * F.col("d")), F.sum("d")).head()
+    return 2.0 * within / double - float(squares) / float(double) ** 2 if double else 0.0
 
 
 def _move(edges: DataFrame, assigned: DataFrame, turn: int, total: float) -> DataFrame:
@@ -79,7 +92,7 @@ def _moved(edges: DataFrame, assigned: DataFrame, total: float, turns: range) ->
     return best
 
 
-def refined(edges: DataFrame, assigned: DataFrame) -> DataFrame:
+def connected_parts(edges: DataFrame, assigned: DataFrame) -> DataFrame:
     """assigned (node, community) with each community cut into parts that hang together by its own edges, named by their smallest node.
 
     Moving single nodes may leave a community in pieces, whose split never lowers modularity.
@@ -90,35 +103,80 @@ def refined(edges: DataFrame, assigned: DataFrame) -> DataFrame:
     return assigned.join(part, "node", "left").select("node", F.coalesce("component", "node").alias("community"))
 
 
+def subdivided(edges: DataFrame, assigned: DataFrame, total: float, turns: int = 4) -> DataFrame:
+    """node, community: a second partition inside the communities of the first, from single nodes merged along well-connected parts.
+
+    In each turn one half of the nodes that are still alone, by a hash, may join a part of the other nodes of their community: if the
+    node itself, and the part, have at least as much weight to the rest of the community as chance would give them, and modularity
+    rises. Nobody leaves a part, so parts hang together.
+    """
+    own = lambda end: assigned.select(F.col("node").alias(end), F.col("community").alias(f"{end}_"))
+    known = edges.join(own("source"), "source").join(own("target"), "target")
+    inner = known.where("source_ = target_ AND source != target").select("source", "target", "weight")
+    both = materialize(inner.select(F.col("source").alias("node"), F.col("target").alias("other"), "weight").union(inner.select("target", "source", "weight")), "inner-edges")
+    degree = edges.select(F.explode(F.array("source", "target")).alias("node"), "weight").groupBy("node").agg(F.sum("weight").alias("k"))
+    inside = both.groupBy("node").agg(F.sum("weight").alias("inside"))
+    nodes = assigned.join(degree, "node").join(inside, "node", "left").withColumn("inside", F.coalesce("inside", F.lit(0.0)))
+    volume = nodes.groupBy("community").agg(F.sum("k").alias("all"))
+    chance = lambda k, whole: k * (whole - k) / (2.0 * total)
+    nodes = materialize(nodes.join(volume, "community").withColumn("fit", F.col("inside") >= chance(F.col("k"), F.col("all"))), "refined-nodes")
+    parts = nodes.select("node", F.col("node").alias("part"))
+    for turn in range(turns):
+        held = nodes.join(parts, "node")
+        sizes = held.groupBy("part").agg(F.sum("k").alias("volume"), F.count("*").alias("n"), F.first("all").alias("all"))
+        place = lambda end, name: parts.select(F.col("node").alias(end), F.col("part").alias(name))
+        cut = both.join(place("node", "p"), "node").join(place("other", "q"), "other").where("p != q").groupBy(F.col("p").alias("part")).agg(F.sum("weight").alias("cut"))
+        mine = F.pmod(F.xxhash64("part", F.lit(turn)), F.lit(2)) == 0
+        about = materialize(sizes.join(cut, "part", "left").withColumn("moves", mine & (F.col("n") == 1)).withColumn("fits", F.coalesce("cut", F.lit(0.0)) >= chance(F.col("volume"), F.col("all"))), "parts")
+        movers = held.where("fit").join(about.where("moves").select("part"), "part", "left_semi").select("node", "k")
+        near = both.join(movers, "node").join(place("other", "to"), "other").groupBy("node", "k", "to").agg(F.sum("weight").alias("w"))
+        options = near.join(about.where("NOT moves AND fits").select(F.col("part").alias("to"), "volume"), "to")
+        gain = F.round(F.col("w") - F.col("k") * F.col("volume") / (2.0 * total), 9)
+        best = options.where(gain > 0).groupBy("node").agg(F.max_by("to", F.struct(gain, -F.col("to"))).alias("to"))
+        parts = materialize(parts.join(best, "node", "left").select("node", F.coalesce("to", "part").alias("part")), "parts")
+    least = parts.groupBy("part").agg(F.min("node").alias("community"))
+    return parts.join(least, "part").select("node", "community")
+
+
 def detect(edges: DataFrame, levels: int = 3, rounds: int = 6) -> DataFrame:
-    """node and communities: the list of its communities from the finest level to the coarsest, at most so many.
+    """node and communities: the list of its communities from the finest level to the coarsest, at most so many; levels nest.
 
-    Local moving by modularity, then communities are cut where they do not hang together, then they become nodes and it begins again.
-    Node ids are long; a community is named by the smallest node of it. Edges: source, target, weight. A level that would not raise modularity ends the list.
+    At each level nodes move between communities by modularity. Each community is then subdivided; the well-connected parts are what
+    becomes a node of the next level, where moving goes on from the communities that were not subdivided. A part that was put into a
+    community for want of a better place can so leave it as a whole. All levels but the last give the parts, the last one the
+    communities, cut where they do not hang together. Node ids are long; a community is named by its smallest node. Edges: source,
+    target, weight.
     """
     now = materialize(edges.select("source", "target", F.col("weight").cast("double").alias("weight")), "level-edges")
     total = now.agg(F.sum("weight")).head()[0] or 0.0
     nodes = now.select(F.explode(F.array("source", "target")).alias("node")).distinct()
-    assigned = materialize(nodes.select("node", F.col("node").alias("community")), "assigned")
-    of, lists, last = assigned.select("node", F.col("node").alias("at")), None, -1.0
-    for _ in range(levels):
-        inner = materialize(now.select(F.explode(F.array("source", "target")).alias("node")).distinct().select("node", F.col("node").alias("community")), "assigned")
-        best = _moved(now, inner, total, range(rounds))
+    start = materialize(nodes.select("node", F.col("node").alias("community")), "assigned")
+    of, lists = start.select("node", F.col("node").alias("at")), None
+    for level in range(levels):
+        best = materialize(connected_parts(now, _moved(now, start, total, range(rounds))), "assigned")
         # What a cut sets free may find a better place.
-        best = materialize(refined(now, _moved(now, materialize(refined(now, best), "assigned"), total, range(rounds, rounds + rounds // 2))), "assigned")
-        quality = modularity(now, best)
-        if lists is not None and quality <= last + 1e-9:
+        best = materialize(connected_parts(now, _moved(now, best, total, range(rounds, rounds + rounds // 2))), "assigned")
+        n, n_communities = best.agg(F.count("*"), F.count_distinct("community")).head()
+        if lists is not None and n == n_communities:
             break
-        last = quality
-        step = best.select(F.col("node").alias("at"), F.col("community").alias("next"))
+        last = level == levels - 1 or n_communities == 1
+        given = best
+        if not last:
+            parts = materialize(subdivided(now, best, total), "subdivided")
+            given = parts if parts.where("node != community").limit(1).count() else best
+        step = given.select(F.col("node").alias("at"), F.col("community").alias("next"))
         of = materialize(of.join(step, "at", "left").select("node", F.coalesce("next", "at").alias("at")), "level")
-        level = of.select("node", F.col("at").alias("c"))
-        lists = level.select("node", F.array("c").alias("communities")) if lists is None else lists.join(level, "node").select("node", F.array_append("communities", F.col("c")).alias("communities"))
+        here = of.select("node", F.col("at").alias("c"))
+        lists = here.select("node", F.array("c").alias("communities")) if lists is None else lists.join(here, "node").select("node", F.array_append("communities", F.col("c")).alias("communities"))
         lists = materialize(lists, "lists")
-        name = lambda end: best.select(F.col("node").alias(end), F.col("community").alias(f"{end}_"))
+        if last:
+            break
+        name = lambda end: given.select(F.col("node").alias(end), F.col("community").alias(f"{end}_"))
         merged = now.join(name("source"), "source").join(name("target"), "target")
         # Loops keep the weight inside a community, which counts in its degree.
         now = materialize(merged.groupBy(F.least("source_", "target_").alias("source"), F.greatest("source_", "target_").alias("target")).agg(F.sum("weight").alias("weight")), "level-edges")
+        start = best.join(given.withColumnRenamed("community", "part"), "node").groupBy("part").agg(F.min("community").alias("community"))
+        start = materialize(start.select(F.col("part").alias("node"), "community"), "assigned")
     return lists
 
 

@@ -162,7 +162,8 @@ _ALIKE = """s AS (SELECT a.id AS a, b.id AS b FROM vectors a, vectors b WHERE a.
 @query(D.sql("SELECT node, min(component) AS component FROM t GROUP BY node", "vectors", also=_ALIKE))
 def connected_components(spark, sf_dir):
     """Components of the graph of vectors that are alike, of those with a neighbour."""
-    from tessera.operators.retrieval import alike, similar_edges
+    from tessera.operators.retrieval import similar_edges
+    from tessera.operators.vector_index import pairs
 
     return C.components(similar_edges(pairs(D.vector_index(spark, sf_dir), 0.7)))
 
@@ -180,10 +181,17 @@ _REGIONS = """m AS (SELECT n_nationkey AS node, min(n_nationkey) OVER (PARTITION
 
 
 def _detected(spark, sf_dir):
-    """Communities of nations that trade with those of their region only, as detection finds them."""
+    """Communities of nations that trade with those of their region, and with one of the next region, as detection finds them.
+
+    The regions form a ring of bridges, so the graph is one component.
+    """
     nation = D.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), "n_regionkey")
-    edges = nation.select(F.col("k").alias("source"), "n_regionkey").join(nation.select(F.col("k").alias("target"), "n_regionkey"), "n_regionkey").where("source < target")
-    return C.detect(edges.select("source", "target", F.lit(1).alias("weight")), 1, 8).select("node", F.get("communities", F.lit(0)).alias("community"))
+    inside = nation.select(F.col("k").alias("source"), "n_regionkey").join(nation.select(F.col("k").alias("target"), "n_regionkey"), "n_regionkey").where("source < target")
+    n = D.table(spark, sf_dir, "region").count()
+    heads = nation.groupBy("n_regionkey").agg(F.min("k").alias("a"), F.max("k").alias("b"))
+    bridges = heads.select("a", F.pmod(F.col("n_regionkey") + 1, F.lit(n)).alias("n_regionkey")).join(heads.select("n_regionkey", "b"), "n_regionkey")
+    edges = inside.select("source", "target", F.lit(2).alias("weight")).union(bridges.select(F.least("a", "b"), F.greatest("a", "b"), F.lit(1)))
+    return C.detect(edges, 2, 4).select("node", F.element_at("communities", -1).alias("community"))
 
 
 @query(f"WITH {_REGIONS} SELECT node, community FROM m")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import ingest
 from tessera.operators import models as M
+from tessera.operators import token_chunks as K
 from tessera.plans import derived as D
 from tessera.plans.registry import query
 from tessera.sources import files as sources
@@ -251,3 +253,29 @@ def edges_table(spark, sf_dir):
 def keyword_index(spark, sf_dir):
     """The inverted index of all texts."""
     return D.keyword_index(spark, sf_dir)[0].agg(F.count("*").alias("postings"), F.sum("tf").alias("words"))
+
+
+@query("SELECT 'doc_' || doc_id AS file, octet_length(encode(text)) AS bytes, true AS gapless, true AS full FROM documents WHERE text <> ''")
+def token_chunks(spark, sf_dir):
+    """Chunks of 200 tokens of all documents: together they are each text, byte by byte, and all but the last are full."""
+    found = K.document_chunks(D.files(spark, sf_dir), 200, 0)
+    before = F.lag("end", 1, 0).over(Window.partitionBy("file").orderBy("position"))
+    last = F.max("position").over(Window.partitionBy("file"))
+    own = found.select("file", "start", "end", (F.col("start") == before).alias("follows"), ((F.col("tokens") == 200) | (F.col("position") == last)).alias("full"))
+    return own.groupBy("file").agg(F.max("end").alias("bytes"), F.bool_and("follows").alias("gapless"), F.bool_and("full").alias("full"))
+
+
+@query(r"""SELECT 'doc_' || doc_id AS file, page_number, octet_length(encode(page)) AS bytes FROM (SELECT doc_id, unnest(p) AS page, unnest(range(1, len(p) + 1))::INT AS page_number
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)) WHERE page <> ''""")
+def page_chunks(spark, sf_dir):
+    """Texts with a line a page, cut page by page with 20 tokens in common: no chunk crosses a page, and each page is covered."""
+    pages = D.files(spark, sf_dir).select("file", F.posexplode(F.split("text", "\n")).alias("page_number", "text")).withColumn("page_number", F.col("page_number") + 1)
+    return K.page_chunks(pages, 100, 20).groupBy("file", "page_number").agg(F.max("end").alias("bytes"))
+
+
+@query("""SELECT conv_id AS video, min(turn)::DOUBLE AS first, max(turn)::DOUBLE + 1 AS last FROM conversations WHERE text <> '' GROUP BY conv_id""")
+def transcript_chunks(spark, sf_dir):
+    """Conversations as transcripts, a second a turn: chunks of 50 tokens with the times of the turns that they begin and end in."""
+    own = D.table(spark, sf_dir, "conversations").where("text != ''")
+    pieces = own.select(F.col("conv_id").alias("video"), F.col("turn").cast("double").alias("start"), (F.col("turn") + 1).cast("double").alias("end"), "text")
+    return K.transcript_chunks(pieces, 50, 10).groupBy("video").agg(F.min("start_time").alias("first"), F.max("end_time").alias("last"))

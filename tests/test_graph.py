@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -103,6 +105,73 @@ def test_detection(spark, seed=1):
     assert C.modularity(e, last) >= C.modularity(e, planted) - 0.02
 
 
+def ring_of_groups(rng, groups=6, size=7):
+    """Dense groups in a ring of bridges, and a loose chain that hangs on two of them."""
+    edges = {}
+    for g in range(groups):
+        own = range(g * size, (g + 1) * size)
+        for a in own:
+            for b in own:
+                if a < b and rng.random() < 0.8:
+                    edges[a, b] = rng.randint(1, 3)
+        edges[tuple(sorted((g * size, (g + 1) % groups * size + 1)))] = 1
+    n = groups * size
+    return edges | {(0, n): 1, (n, n + 1): 1, (size, n + 1): 1}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_parts_hang_together_and_modularity_is_that_of_moving_or_more(spark, seed):
+    edges = ring_of_groups(random.Random(seed))
+    e = spark.createDataFrame([(a, b, float(w)) for (a, b), w in edges.items()], "source long, target long, weight double")
+    total = float(sum(edges.values()))
+    got = {r.node: r.communities for r in C.detect(e, 3, 5).collect()}
+    for level in range(max(map(len, got.values()))):
+        groups = {}
+        for k, c in got.items():
+            groups.setdefault(c[level], set()).add(k)
+        for name, own in groups.items():
+            assert name == min(own)
+            seen, todo = set(), [name]
+            while todo:
+                k = todo.pop()
+                seen.add(k)
+                todo += [x for a, b in edges if k in (a, b) for x in (a, b) if x in own and x not in seen]
+            assert seen == own
+    alone = C._moved(e, spark.createDataFrame([(k, k) for k in got], "node long, community long"), total, range(5))
+    last = spark.createDataFrame([(k, v[-1]) for k, v in got.items()], "node long, community long")
+    q = C.modularity(e, last)
+    assert q >= C.modularity(e, alone) - 1e-9
+    planted = spark.createDataFrame([(k, k // 7) for k in got], "node long, community long")
+    assert q >= C.modularity(e, planted) - 0.02
+
+
+def test_modularity_by_hand(spark):
+    """Two edges inside, one between; loops count twice in a degree."""
+    e = spark.createDataFrame([(1, 2, 2.0), (3, 4, 1.0), (2, 3, 1.0), (4, 4, 0.5)], "source long, target long, weight double")
+    own = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3)], "node long, community long")
+    assert abs(C.modularity(e, own) - (3.5 / 4.5 - (5 / 9) ** 2 - (4 / 9) ** 2)) < 1e-12
+    assert C.modularity(e.limit(0), own) == 0
+
+
+def test_subdivision_stays_inside_and_leaves_loose_nodes_alone(spark):
+    """Two dense groups that one community holds come apart; a node without weight to the rest stays single."""
+    dense = [(a, b, 2.0) for g in (0, 5) for a in range(g, g + 5) for b in range(a + 1, g + 5)]
+    e = spark.createDataFrame([*dense, (0, 5, 0.1), (10, 11, 3.0), (4, 10, 0.01)], "source long, target long, weight double")
+    one = spark.createDataFrame([(k, 0) for k in range(11)] + [(11, 11)], "node long, community long")
+    parts = {r.node: r.community for r in C.subdivided(e, one, 43.11, 8).collect()}
+    assert parts[10] == 10 and parts[11] == 11
+    assert all((k < 5) == (c < 5) for k, c in parts.items() if k < 10) and len({c for k, c in parts.items() if k < 10}) < 10
+
+
+@pytest.mark.parametrize("hub", [3, 10_000])
+def test_components_with_a_hub(spark, hub):
+    """A star of a third of all edges, a chain, and pairs."""
+    edges = [(0, k) for k in range(1, 200)] + [(k, k + 1) for k in range(300, 499)] + [(k, k + 1000) for k in range(600, 800)]
+    random.Random(1).shuffle(edges)
+    got = {r.node: r.component for r in C.components(spark.createDataFrame(edges, "source long, target long"), hub).collect()}
+    assert all(got[k] == 0 for k in range(200)) and all(got[k] == 300 for k in range(300, 500)) and all(got[k + 1000] == got[k] == k for k in range(600, 800))
+
+
 def test_hierarchy_and_members(spark):
     lists = spark.createDataFrame([("x", [1, 2, 3]), ("y", [1, 2, 3]), ("z", [4, 2, 3])], "node string, communities array<int>")
     level0, up = C.hierarchy(lists)
