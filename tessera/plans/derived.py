@@ -79,6 +79,22 @@ def entity_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("entity", h.alias("id")).join(vectors(spark, sf_dir).select("id", "embedding"), "id").select("entity", "embedding")
 
 
+def text_index(spark: SparkSession, sf_dir: str, of: str = "documents"):
+    """The full-text index of documents, chunks or entities, made once a session and data folder."""
+    from tessera.operators import fulltext
+
+    low = lambda text: T.words(F.lower(F.translate(text, ".,", "")))
+    rows = {
+        "documents": lambda: files(spark, sf_dir).select(F.col("file").alias("id"), low("text").alias("words")),
+        "chunks": lambda: chunks(spark, sf_dir).select(F.concat_ws("#", "file", "position").alias("id"), low("text").alias("words")),
+        "entities": lambda: mentions(spark, sf_dir).select("entity", "label").distinct().select(F.concat_ws(":", "label", "entity").alias("id"), F.array(F.lower("entity"), F.lower("label")).alias("words")),
+    }
+    made = spark.__dict__.setdefault("_tessera_texts", {})
+    if (sf_dir, of) not in made:
+        made[sf_dir, of] = fulltext.build(rows[of]())
+    return made[sf_dir, of]
+
+
 def vector_index(spark: SparkSession, sf_dir: str):
     """The index of all vectors, made once a session and data folder."""
     from tessera.operators import vector_index as V

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import cosine, scaled
+from tessera.operators import fulltext as X
 from tessera.operators import retrieval as R
 from tessera.operators import vector_index as V
 from tessera.plans import derived as D
@@ -87,6 +88,36 @@ def fulltext_bm25(spark, sf_dir):
     return R.bm25(*D.keyword_index(spark, sf_dir), TERMS)
 
 
+@query(f"WITH {_BM25} SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 10")
+def fulltext_top(spark, sf_dir):
+    """The ten best, by blocks whose bound reaches them."""
+    return X.top(D.text_index(spark, sf_dir), TERMS, 10)[0]
+
+
+@query(f"""WITH {_LOWER} SELECT id, array_to_string(s, ',') AS starts FROM (SELECT id, list_filter(range(0, len(w)), lambda i: w[i + 1] = 'that' AND w[i + 2] = 'the') AS s FROM lw) WHERE len(s) > 0""")
+def fulltext_phrase(spark, sf_dir):
+    """Where two words follow each other."""
+    return X.phrase(D.text_index(spark, sf_dir), ["that", "the"]).select("id", F.array_join(F.col("starts").cast("array<string>"), ",").alias("starts"))
+
+
+@query(D.sql(r"""SELECT file || '#' || position AS id, len(list_filter(range(1, len(w)), lambda i: w[i] = 'in' AND w[i + 1] = 'the')) AS n FROM (SELECT file, position, list_filter(string_split(lower(translate(text, '.,', '')), ' '), lambda x: x <> '') AS w FROM chunks) WHERE n > 0""", "chunks"))
+def chunk_phrase(spark, sf_dir):
+    """Chunks in which two words follow each other, and how often."""
+    return X.phrase(D.text_index(spark, sf_dir, "chunks"), ["in", "the"]).select("id", F.size("starts").cast("long").alias("n"))
+
+
+@query(f"""WITH {_LOWER} SELECT id FROM lw WHERE list_contains(w, 'that') AND list_has_any(w, {TERMS}) AND NOT list_contains(w, 'was')""")
+def fulltext_boolean(spark, sf_dir):
+    """Texts with one word, one of some others, and without a third."""
+    return X.boolean(D.text_index(spark, sf_dir), ["that"], TERMS, ["was"])
+
+
+@query(D.sql("SELECT label || ':' || entity AS id, (starts_with(lower(entity), 'sh')::INT + starts_with(lower(label), 'sh')::INT)::BIGINT AS n FROM (SELECT DISTINCT entity, label FROM mentions) WHERE n > 0", "mentions"))
+def entity_prefix(spark, sf_dir):
+    """Entities whose name or label has a word that begins so."""
+    return X.prefix(D.text_index(spark, sf_dir, "entities"), "sh")
+
+
 @query(D.sql("""SELECT id, round(max(score), 6) AS score FROM (SELECT id, score / (SELECT max(score) FROM bm) AS score FROM bm
     UNION ALL SELECT file, score / (SELECT max(score) FROM v) FROM v) GROUP BY id ORDER BY score DESC, id LIMIT 10""", "vectors", also=f"{_SCORED}, v AS (SELECT file, max(score) AS score FROM scored GROUP BY file), {_BM25}"))
 def hybrid_topk(spark, sf_dir):
