@@ -51,11 +51,12 @@ def build(rows: DataFrame, path: str | None = None, block_rows: int = BLOCK_ROWS
     each = words.select("id", F.size("words").alias("length"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.posexplode("words").alias("place", "term"))
     dealt = each.withColumn("bucket", _bucket(F.col("term"))).withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.lit(SPREAD))).repartition("bucket", "part")
     held = dealt.groupBy("bucket", "part", "term", "id", "block", "length").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("place")).alias("positions"))
-    held.drop("part").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
-    postings = spark.read.parquet(f"{path}/postings")
+    held = held.drop("part")
+    held.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    postings = spark.read.schema(held.schema).parquet(f"{path}/postings")
     bounds = postings.groupBy("term", "block").agg(F.count("*").alias("n"), F.max(_share(mean)).alias("share"))
     bounds.repartition("term").sortWithinPartitions("term").write.parquet(f"{path}/bounds")
-    return TextIndex(postings, spark.read.parquet(f"{path}/bounds"), n, mean, blocks)
+    return TextIndex(postings, spark.read.schema(bounds.schema).parquet(f"{path}/bounds"), n, mean, blocks)
 
 
 def _share(mean: float) -> Column:

@@ -206,3 +206,51 @@ def detected_community_stats(spark, sf_dir):
     mentions = D.table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("entity"), F.col("c_mktsegment").alias("file"), F.col("c_custkey").alias("chunk_id"))
     n = members.join(mentions.select("entity").distinct(), "entity", "left_semi").groupBy("community").agg(F.count("*").alias("n_members"))
     return C.rank(members, mentions).join(C.weight(members, mentions), "community").join(n, "community")
+
+
+def _match(spark, sf_dir, nodes, edges):
+    from tessera.operators import patterns as M
+
+    own = M.Pattern(tuple(M.Node(*n) for n in nodes), tuple(M.Edge(*e) for e in edges))
+    return M.match(D.nodes(spark, sf_dir), D.rels(spark, sf_dir), own)
+
+
+@query(D.sql("""SELECT DISTINCT a.src AS c, a.dst AS n, b.dst AS r FROM rels a JOIN rels b ON b.type = 'IN' AND b.src = a.dst JOIN nodes x ON x.node_id = b.dst AND x.caption = 'ASIA'
+    WHERE a.type = 'IN' AND a.src LIKE 'Customer:%'""", "nodes", "rels"))
+def pattern_chain(spark, sf_dir):
+    """(c:Customer)-[IN]->(n:Nation)-[IN]->(r:Region), of one region."""
+    return _match(spark, sf_dir, [("c", "Customer"), ("n", "Nation"), ("r", "Region", "caption = 'ASIA'")], [("c", "IN", "n"), ("n", "IN", "r")])
+
+
+@query(D.sql("""SELECT s, c, count(*) AS n FROM (SELECT DISTINCT a.src AS s, a.dst AS n, b.src AS c FROM rels a JOIN rels b ON b.type = 'IN' AND b.dst = a.dst AND b.src LIKE 'Customer:%' WHERE a.type = 'IN' AND a.src LIKE 'Supplier:%') GROUP BY ALL""", "rels"))
+def pattern_neighbours(spark, sf_dir):
+    """(s:Supplier)-[IN]->(n)<-[IN]-(c:Customer), counted by the two ends."""
+    from tessera.operators import patterns as M
+
+    return M.count_by(_match(spark, sf_dir, [("s", "Supplier"), ("n",), ("c", "Customer")], [("s", "IN", "n"), ("c", "IN", "n")]), "s", "c")
+
+
+@query(D.sql("""SELECT c, x FROM (SELECT DISTINCT src AS c, dst AS x FROM rels WHERE type = 'IN' AND src LIKE 'Customer:%')
+    UNION ALL SELECT DISTINCT a.src, b.dst FROM rels a JOIN rels b ON b.type = 'IN' AND b.src = a.dst WHERE a.type = 'IN' AND a.src LIKE 'Customer:%'""", "rels"))
+def pattern_steps(spark, sf_dir):
+    """(c:Customer)-[IN*1..2]->(x)."""
+    return _match(spark, sf_dir, [("c", "Customer"), ("x",)], [("c", "IN", "x", 1, 2)])
+
+
+@query(D.sql("""SELECT c, n FROM (SELECT DISTINCT p.src AS c, p.dst AS o, q.dst AS part, i.dst AS n FROM rels p JOIN rels q ON q.type = 'CONTAINS' AND q.src = p.dst JOIN nodes x ON x.node_id = q.dst AND x.caption LIKE '%red%'
+    JOIN rels i ON i.type = 'IN' AND i.src = p.src JOIN nodes y ON y.node_id = i.dst AND y.caption = 'NATION_7' WHERE p.type = 'PLACED')""", "nodes", "rels"))
+def pattern_branch(spark, sf_dir):
+    """(n:Nation)<-[IN]-(c:Customer)-[PLACED]->(o:Order)-[CONTAINS]->(p:Part), with conditions at both ends."""
+    found = _match(
+        spark, sf_dir, [("n", "Nation", "caption = 'NATION_7'"), ("c", "Customer"), ("o", "Order"), ("p", "Part", "contains(caption, 'red')")], [("c", "IN", "n"), ("c", "PLACED", "o"), ("o", "CONTAINS", "p")]
+    )
+    return found.select("c", "n")
+
+
+@query(D.sql("""SELECT DISTINCT a.src AS s, b.src AS t, a.dst AS n FROM rels a JOIN rels b ON b.type = 'IN' AND b.dst = a.dst AND b.src LIKE 'Supplier:%' AND b.src <> a.src WHERE a.type = 'IN' AND a.src LIKE 'Supplier:%' ORDER BY s, t, n LIMIT 3""", "rels"))
+def pattern_answer(spark, sf_dir):
+    """(s:Supplier)-[IN]->(n)<-[IN]-(t:Supplier): the first three rows, as a model is told them; no edge is taken twice, so s is not t."""
+    from tessera.operators import patterns as M
+
+    found = _match(spark, sf_dir, [("s", "Supplier"), ("t", "Supplier"), ("n",)], [("s", "IN", "n"), ("t", "IN", "n")])
+    return M.answer(found)

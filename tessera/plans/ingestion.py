@@ -279,3 +279,14 @@ def transcript_chunks(spark, sf_dir):
     own = D.table(spark, sf_dir, "conversations").where("text != ''")
     pieces = own.select(F.col("conv_id").alias("video"), F.col("turn").cast("double").alias("start"), (F.col("turn") + 1).cast("double").alias("end"), "text")
     return K.transcript_chunks(pieces, 50, 10).groupBy("video").agg(F.min("start_time").alias("first"), F.max("end_time").alias("last"))
+
+
+@query()
+def work_queue(spark, sf_dir):
+    """Events as the work of ten queues: what each of them changes, and what the life cycle refuses."""
+    from tessera.streaming import queue
+
+    k = F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, ("request", "batch", "batch", "cancel", "batch", "fail", "request"))), (k % 7 + 1).cast("int"))
+    own = D.table(spark, sf_dir, "events").where("event_id IS NOT NULL AND user_id IS NOT NULL")
+    return queue.work_in_batch(own.select((F.col("user_id") % 10).cast("string").alias("queue"), k.alias("seq"), kind.alias("kind"), F.concat(F.lit("f"), (k % 31).cast("string")).alias("file"), (k % 60 + 1).alias("total")))
