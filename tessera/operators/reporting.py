@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,42 @@ def rouge1(pairs: DataFrame) -> DataFrame:
     return own.select("id", F.round(share("nb"), 4).alias("precision"), F.round(share("na"), 4).alias("recall"), F.round(f1, 4).alias("f1"))
 
 
+def common_subsequence(a: list, b: list) -> int:
+    """Length of the longest common subsequence: a bit for each place of the longer side, a step for each item of the shorter one.
+
+    After a step, the zero bits of ``row`` mark the places where the best length so far grows. Only items of both sides count, and the
+    places of an item are made into bits when it is met, so memory is linear in the longer side.
+    """
+    both = set(a) & set(b)
+    long, short = sorted(([x for x in side if x in both] for side in (a, b)), key=len, reverse=True)
+    places: dict = {}
+    for i, x in enumerate(long):
+        places.setdefault(x, []).append(i)
+    everywhere = (1 << len(long)) - 1
+    row = everywhere
+    for x in short:
+        bits = bytearray(len(long) // 8 + 1)
+        for i in places[x]:
+            bits[i >> 3] |= 1 << (i & 7)
+        met = row & int.from_bytes(bits, "little")
+        row = ((row + met) | (row - met)) & everywhere
+    return len(long) - row.bit_count()
+
+
+def rouge_l(pairs: DataFrame) -> DataFrame:
+    """pairs (id, a, b: arrays of words) -> id, precision, recall and F1 of b against a, by their longest common subsequence; a null or
+    empty side gives zeros. Pairs are independent, in Arrow batches; whole texts are compared."""
+
+    def lengths(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([common_subsequence(list(x), list(y)) for x, y in zip(a, b)], dtype="int64")
+
+    side = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    own = pairs.select("id", side(F.col("a")).alias("a"), side(F.col("b")).alias("b"))
+    scored = own.select("id", F.size("a").alias("na"), F.size("b").alias("nb"), F.pandas_udf(lengths, "long")("a", "b").alias("c"))
+    share = lambda n: F.round(F.when(F.col("c") > 0, F.col("c") / n).otherwise(0.0), 4)
+    return scored.select("id", share(F.col("nb")).alias("precision"), share(F.col("na")).alias("recall"), share((F.col("na") + F.col("nb")) / 2).alias("f1"))
+
+
 def size_histogram(rows: DataFrame, vector: str) -> DataFrame:
     """How many rows have a vector of each size; null ones have size 0."""
     size = F.coalesce(F.size(vector), F.lit(0))

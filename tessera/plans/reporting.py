@@ -49,6 +49,20 @@ def rouge1(spark, sf_dir):
     return P.rouge1(a.join(b, "id").where("size(a) > 0 AND size(b) > 0"))
 
 
+#: A chain of k matches ends at word i of the passage and, at the earliest, at word j of the document; longer chains go on behind it.
+@query(f"""WITH RECURSIVE p AS (SELECT item_id AS id, {_WORDS.format('b.text')} AS a, {_WORDS.format('d.text')} AS b FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
+    a AS (SELECT id, unnest(a) AS w, generate_subscripts(a, 1) AS i FROM p), b AS (SELECT id, unnest(b) AS w, generate_subscripts(b, 1) AS j FROM p),
+    m AS (SELECT id, i, j FROM a JOIN b USING (id, w)),
+    chains AS (SELECT id, 1 AS k, i, min(j) AS j FROM m GROUP BY id, i UNION ALL SELECT m.id, k + 1, m.i, min(m.j) FROM chains JOIN m ON m.id = chains.id AND m.i > chains.i AND m.j > chains.j GROUP BY m.id, k + 1, m.i),
+    best AS (SELECT id, max(k) AS c FROM chains GROUP BY id)
+    SELECT id, round(coalesce(c, 0) / len(b), 4) AS precision, round(coalesce(c, 0) / len(a), 4) AS recall, round(2.0 * coalesce(c, 0) / (len(a) + len(b)), 4) AS f1 FROM p LEFT JOIN best USING (id) WHERE len(a) > 0 AND len(b) > 0""")
+def rouge_l(spark, sf_dir):
+    """As rouge1, by the longest common subsequence of words."""
+    a = D.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), T.words(F.col("text")).alias("a"))
+    b = D.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.words(F.col("text")).alias("b"))
+    return P.rouge_l(a.join(b, "id").where("size(a) > 0 AND size(b) > 0"))
+
+
 @query("""SELECT 'text' AS "column", count(*) AS total, count(text) AS non_null FROM documents UNION ALL SELECT 'lang', count(*), count(lang) FROM documents UNION ALL SELECT 'source', count(*), count(source) FROM documents""")
 def non_null_counts(spark, sf_dir):
     return P.non_null(D.table(spark, sf_dir, "documents"), ["text", "lang", "source"])

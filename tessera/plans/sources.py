@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import lifecycle as L
+from tessera.operators import modes
 from tessera.plans import derived as D
 from tessera.plans.registry import query
+from tessera.sources.articles import ArticleSource
 
 _TIME = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
@@ -145,3 +147,26 @@ def web_titles_apart(spark, sf_dir):
 def url_checks(spark, sf_dir):
     own = D.sources(spark, sf_dir)
     return own.select("file", T.is_web_url(F.col("url")).alias("web"), T.host_in(F.col("url"), ["host1.example", "host2.example"]).alias("allowed"))
+
+
+@query("SELECT doc_id, lang AS language, substr(text, 1, 100000) AS text FROM documents")
+def article_source(spark, sf_dir):
+    """All documents through the Python data source."""
+    spark.dataSource.register(ArticleSource)
+    return spark.read.format("articles").load(f"{sf_dir}/documents.parquet")
+
+
+_MODE_ROWS = ", ".join(f"('{m}', {k}, '{v}', {repr(w) if w else 'NULL'}, {d}, '{n}')" for m, k, v, w, d, n in modes.MODES)
+_ASKED = [*(m[0] for m in modes.MODES), modes.GRAPH, "hybrid"]
+
+
+@query(f"""WITH q AS (SELECT conv_id, turn, CASE WHEN conv_id % 9 < 8 THEN {_ASKED!r}[conv_id % 9 + 1] END AS mode, turn % 4 = 0 AS selected FROM conversations WHERE role = 'user'),
+    settings AS (SELECT * FROM (VALUES {_MODE_ROWS}) t (answered_by, top_k, vector_index, keyword_index, document_filter, label)),
+    r AS (SELECT *, CASE WHEN mode IN (SELECT answered_by FROM settings) OR mode = 'graph' THEN mode ELSE 'graph_vector_fulltext' END AS answered_by FROM q)
+    SELECT conv_id, turn, mode, answered_by, top_k, vector_index, keyword_index, label, CASE WHEN selected AND NOT document_filter THEN '{modes.REFUSAL}' END AS refusal FROM r LEFT JOIN settings USING (answered_by)""")
+def routed_questions(spark, sf_dir):
+    """Users' turns as questions, with modes (one unknown, one null) and selected documents by rules over their numbers."""
+    asked = F.get(F.array(*map(F.lit, _ASKED)), (F.col("conv_id") % 9).cast("int"))
+    files = F.when(F.col("turn") % 4 == 0, F.array(F.concat(F.lit(" doc_"), F.col("conv_id").cast("string"))))
+    own = D.table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", asked.alias("mode"), files.alias("files"))
+    return modes.resolve(own).select("conv_id", "turn", "mode", "answered_by", "top_k", "vector_index", "keyword_index", "label", "refusal")
