@@ -68,6 +68,8 @@ RULES = (
     SecretRule("code_host", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", hints=("gh",)),
 )
 BASE = ("assign", "access", "hex")
+#: Blobs to scan (32 bytes each) that are few enough to be handed to every executor, so that other texts need not move.
+FEW = 100_000
 FINDING = "array<struct<kind string, start int, end int>>"
 
 
@@ -135,22 +137,23 @@ def history(spark: SparkSession, ledger: str, rules: tuple[SecretRule, ...] = RU
 def update_ledger(docs: DataFrame, ledger: str, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
     """Scans what the ledger lacks and appends it. Gives paths: doc_id and blob of each row of docs.
 
-    Texts move once, to meet the ids of those to scan; copies are dropped by address before that. All pairs of path and blob stay in
-    the ledger's history.
+    A text is read again only if its blob is due. Copies, rows that repeat whole among them, become one text a blob in each task before
+    any text moves, so a blob is scanned once and no popular one is a hot key. All pairs of path and blob stay in the ledger's history.
     """
     spark = docs.sparkSession
     keys = F.array(*(F.lit(r.key) for r in rules))
     paths = materialize(docs.select("doc_id", address(F.col("text")).alias("blob")), "paths")
     _remember(paths, ledger)
-    blobs = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id")).withColumn("due", keys)
+    blobs = paths.select("blob").distinct().withColumn("due", keys)
     if (seen := _seen(spark, ledger)) is not None:
         # Rows of a blob: one a rule version at most. Only blobs of this scan are looked at.
         had = seen.join(blobs.select("blob"), "blob", "left_semi").groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("scanned"))).alias("had"))
         blobs = blobs.join(had, "blob", "left").withColumn("due", F.array_except("due", F.coalesce("had", F.array().cast("array<string>")))).where("size(due) > 0")
-    due = materialize(blobs.select("blob", F.col("doc_id").alias("path"), "due"), "due")
-    texts_of = docs.select(F.col("doc_id").alias("path"), "text")
-    unseen = texts_of.join(due, texts_of["path"].eqNullSafe(due["path"])).where(address(F.col("text")) == F.col("blob"))
-    # An id that repeats may bring a text more than once; the scan is the same, and the join back takes each blob once.
+    due = materialize(blobs, "due")
+    texts_of = docs.select(address(F.col("text")).alias("blob"), "text")
+    if due.count() <= FEW:
+        texts_of = texts_of.join(F.broadcast(due.select("blob")), "blob", "left_semi")
+    unseen = texts_of.groupBy("blob").agg(F.first("text").alias("text")).join(due, "blob")
     scan(unseen.select("blob", "text", "due"), rules).write.mode("append").parquet(ledger)
     return paths
 
