@@ -207,20 +207,22 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 
 
 def ranked(pieces: DataFrame, parts: int) -> DataFrame:
-    """pieces with rank (from 0) within their length: each length in parts by a hash, the parts' sizes summed before each."""
-    part = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int")
+    """pieces with rank (from 0) within their length: each length in parts by the salt of each row, the parts' sizes summed before each.
+    Ids that repeat or are null are salted like any other."""
+    part = F.pmod("salt", F.lit(parts)).cast("int")
     salted = pieces.withColumn("part", part)
     sizes = salted.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = sizes.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     place = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32"))
     own = salted.withColumn("place", place)
-    return own.join(materialize(before, "rank-offsets"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("place") - 1).drop("part", "place", "before")
+    return own.join(materialize(before, "rank-offsets"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("place") - 1).drop("part", "place", "before", "salt")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """A row for each piece with its sequence and its offset there."""
     spark = docs.sparkSession
-    pieces = materialize(tokenize(docs, capacity, tokenizer), "pieces")
+    # The salt is a hash of the row's number, written with it, so that it stays what it is when a task runs again.
+    pieces = materialize(tokenize(docs, capacity, tokenizer).withColumn("salt", F.xxhash64(F.monotonically_increasing_id())), "pieces")
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     slots = spark.createDataFrame(plan(histogram, capacity), "length long, first_rank long, n long, first_sequence long, each long, first_offset long")
     parts = max(64, -(-sum(histogram.values()) // PART))
