@@ -22,6 +22,7 @@ import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -263,6 +264,42 @@ def _within(template: list[str], words: list[str], begin: int, end: int, band: i
     return (matched, -first, last) if matched else None
 
 
+class Spans:
+    """What a set of spans covers, as disjoint spans sorted by place, so that one looks at neighbours only."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def free(self, start: int, end: int) -> bool:
+        k = bisect_right(self.ends, start)
+        return k == len(self.starts) or end <= self.starts[k]
+
+    def add(self, start: int, end: int) -> None:
+        first, last = bisect_right(self.ends, start), bisect_left(self.starts, end)
+        if first < last:
+            start, end = min(start, self.starts[first]), max(end, self.ends[last - 1])
+        self.starts[first:last], self.ends[first:last] = [start], [end]
+
+
+def apart(found: list[dict]) -> list[dict]:
+    """Matches that no better one (by coverage, then words) overlaps, sorted by place."""
+    kept: list[dict] = []
+    better = Spans()
+    for _, equal in groupby(sorted(found, key=lambda x: (-x["coverage"], -x["words"])), key=lambda x: (x["coverage"], x["words"])):
+        # Of equal matches those of one license exclude each other; those of several licenses may share a place.
+        own: dict[str, Spans] = defaultdict(Spans)
+        chosen = []
+        for m in equal:
+            if better.free(m["start"], m["end"]) and own[m["license"]].free(m["start"], m["end"]):
+                own[m["license"]].add(m["start"], m["end"])
+                chosen.append(m)
+        for m in chosen:
+            better.add(m["start"], m["end"])
+        kept += chosen
+    return sorted(kept, key=lambda x: (x["start"], x["end"], x["license"]))
+
+
 def matches(text: str, index: Index, least: float) -> list[dict]:
     words, spans = cut(text)
     out = []
@@ -272,11 +309,7 @@ def matches(text: str, index: Index, least: float) -> list[dict]:
         if found and found[0] >= least * len(template) - 1e-9 and index.named[t] <= set(words[found[1] : found[2] + 1]):
             name, form = index.names[t]
             out.append({"license": name, "form": form, "coverage": found[0] / len(template), "matched": found[0], "words": len(template), "start": spans[found[1]][0], "end": spans[found[2]][1]})
-    kept: list[dict] = []
-    for m in sorted(out, key=lambda x: (-x["coverage"], -x["words"])):
-        if all(m["end"] <= x["start"] or x["end"] <= m["start"] or (m["coverage"], m["words"]) == (x["coverage"], x["words"]) and m["license"] != x["license"] for x in kept):
-            kept.append(m)
-    return sorted(kept, key=lambda x: (x["start"], x["end"], x["license"]))
+    return apart(out)
 
 
 def _hashed(column):

@@ -1,7 +1,11 @@
 """Stages keep columns whatever their names, and stand rows that repeat."""
 
+import random
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from tessera.llm import mixing, ngram_join, quality_classifier, secret_scan
+from tessera.llm import license_scan, mixing, ngram_join, packing, quality_classifier, secret_scan
 
 #: Names that the stages use for themselves, now or before.
 NAMES = "row row_ nth_ all place wordless text_ copy copy_ copies_ key key_text id_ of_ score score_ blob blob_ spans spans_ y stats later held_out domain n_tokens rate".split()
@@ -50,3 +54,44 @@ def test_deduplicate_with_a_third_of_rows_equal(spark):
     rows = [(7, "one two three four five six seven")] * 300 + [(k, f"text number {k} has words of its own {k * 7} and {k * 11}") for k in range(300)] + [(None, "")] * 5
     got = ngram_join.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
     assert sum(r.text.startswith("one") for r in got if r.text) == 1 and sum(r.text == "" for r in got) == 5 and len(got) == 306
+
+
+def test_a_repeated_text_is_scanned_once(spark, tmp_path, monkeypatch):
+    rows = [(7, "password = abcdef1")] * 200 + [(None, "password = abcdef1")] * 100 + [(k, f"token = value{k}x") for k in range(300)] + [(None, None), (1, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sizes, got = [], []
+    scan = secret_scan.scan
+    monkeypatch.setattr(secret_scan, "scan", lambda blobs, rules: sizes.append(blobs.count()) or scan(blobs, rules))
+    for few in (0, secret_scan.FEW):
+        monkeypatch.setattr(secret_scan, "FEW", few)
+        got.append(sorted(map(str, secret_scan.scan_documents(docs, f"file://{tmp_path}/ledger{few}").collect())))
+    assert sizes == [302, 302] and got[0] == got[1] and len(got[0]) == len(rows)
+    assert sum("assign:0:18" in x for x in got[0]) == 300
+
+
+def test_ranks_of_repeated_and_null_ids_are_dealt_evenly(spark):
+    rows = [(None, "a b c")] * 3000 + [(5, "a b c")] * 3000 + [(k, "a") for k in range(1000)]
+    pieces = packing.tokenize(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
+    pieces = packing.materialize(pieces, "pieces")
+    largest = pieces.groupBy("length", F.pmod("salt", F.lit(16))).count().agg(F.max("count")).head()[0]
+    assert largest < 2 * 6000 / 16
+    got = packing.ranked(pieces, 16).groupBy("length").agg(F.count_distinct("rank").alias("n"), F.min("rank").alias("low"), F.max("rank").alias("high"), F.count("*").alias("rows")).collect()
+    assert got and all(r.low == 0 and r.high + 1 == r.n == r.rows for r in got)
+    packed = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    places = packed.groupBy("sequence_id").agg(F.sum("length").alias("sum"), F.max(F.col("offset") + F.col("length")).alias("end"), F.count_distinct("offset").alias("n"), F.count("*").alias("rows")).collect()
+    assert packed.count() == 7000 and all(r["sum"] == r.end <= 2048 and r.n == r.rows for r in places)
+
+
+def test_matches_that_overlap_better_ones_go():
+    r = random.Random(5)
+    for _ in range(300):
+        found = []
+        for _ in range(r.randrange(30)):
+            start = r.randrange(60)
+            found.append({"license": r.choice("abc"), "coverage": r.choice((0.5, 1.0)), "words": r.choice((4, 8)), "start": start, "end": start + r.randrange(1, 12)})
+        kept = []
+        for m in sorted(found, key=lambda x: (-x["coverage"], -x["words"])):
+            shares = lambda x: (m["coverage"], m["words"]) == (x["coverage"], x["words"]) and m["license"] != x["license"]
+            if all(m["end"] <= x["start"] or x["end"] <= m["start"] or shares(x) for x in kept):
+                kept.append(m)
+        assert license_scan.apart(found) == sorted(kept, key=lambda x: (x["start"], x["end"], x["license"]))
