@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sinks_shared import materialize
+
 
 def orphans(entities: DataFrame, rels: DataFrame) -> DataFrame:
     """Entities (node_id) without an edge to another entity."""
@@ -77,8 +79,26 @@ def duplicate_groups(pairs: DataFrame) -> DataFrame:
     return groups.join(inside, ["label", "head"], "left_anti")
 
 
+def closed(mapping: DataFrame) -> DataFrame:
+    """mapping (old, kept) with each chain followed to its end, so that no kept node is itself an old one.
+
+    An old node with several kept ones goes to the smallest; rows without a change, or with a null, go. Each round doubles the steps, so
+    chains of n rows end after about log2(n) rounds; a circle, which has no end, is refused.
+    """
+    own = materialize(mapping.where("old != kept").groupBy("old").agg(F.min("kept").alias("kept")), "merged")
+    rounds = own.count().bit_length() + 1
+    for _ in range(rounds):
+        further = own.select(F.col("old").alias("kept"), F.col("kept").alias("end_"))
+        if own.join(further, "kept", "left_semi").isEmpty():
+            return own
+        own = materialize(own.join(further, "kept", "left").select("old", F.coalesce("end_", "kept").alias("kept")), "merged")
+    raise ValueError("nodes are merged in a circle")
+
+
 def merge_nodes(nodes: DataFrame, rels: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """mapping: old, kept. The old nodes go; their edges move to the kept ones, without loops that this makes, equal edges once."""
+    """mapping: old, kept. The old nodes go; their edges move to the kept ones, without loops that this makes, equal edges once. A kept node
+    that is merged too is followed to the one that stays."""
+    mapping = closed(mapping)
     left = nodes.join(mapping.select(F.col("old").alias("node_id")), "node_id", "left_anti")
     a = mapping.select(F.col("old").alias("src"), F.col("kept").alias("src_"))
     b = mapping.select(F.col("old").alias("dst"), F.col("kept").alias("dst_"))

@@ -3,7 +3,6 @@
 import random
 
 import pytest
-
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -235,3 +234,16 @@ def test_rouge(spark):
     p = spark.createDataFrame([(1, ["a", "a", "b"], ["a", "b", "c", "d"]), (2, ["x"], ["y"])], "id int, a array<string>, b array<string>")
     got = {r.id: (r.precision, r.recall, r.f1) for r in P.rouge1(p).collect()}
     assert got == {1: (0.5, 0.6667, 0.5714), 2: (0.0, 0.0, 0.0)}
+
+
+def test_merges_follow_chains(spark):
+    rows = [(f"n{k:03}", f"n{k + 1:03}") for k in range(100)] + [("x", "n007"), ("x", "n050"), ("y", "y"), (None, "n001"), ("z", None)]
+    got = {r.old: r.kept for r in U.closed(spark.createDataFrame(rows, "old string, kept string")).collect()}
+    assert got == {f"n{k:03}": "n100" for k in range(100)} | {"x": "n100"}
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "node_id string")
+    rels = spark.createDataFrame([("R", "a", "c"), ("R", "d", "a")], "type string, src string, dst string")
+    n, r = U.merge_nodes(nodes, rels, spark.createDataFrame([("a", "b"), ("b", "c")], "old string, kept string"))
+    assert [x.node_id for x in n.collect()] == ["c"] and [tuple(x) for x in r.collect()] == [("R", "d", "c")]
+    assert U.closed(spark.createDataFrame([], "old string, kept string")).count() == 0
+    with pytest.raises(ValueError):
+        U.closed(spark.createDataFrame([("a", "b"), ("b", "a")], "old string, kept string"))
