@@ -40,6 +40,8 @@ TREES, DEPTH = 16, 8
 RECALL, FLOOR = 0.999, 0.99
 #: Nodes of one side of a block.
 BLOCK = 256
+#: Most texts whose rows meet their class by broadcast, not by shuffle.
+POPULAR = 4096
 #: Nodes of small families that one call verifies, on average.
 PACK = 64
 
@@ -295,8 +297,8 @@ def _buckets(tries: DataFrame, depth: int) -> DataFrame:
     return materialize(rows.join(materialize(crowded, "crowded"), "key"), "buckets")
 
 
-def _found(docs: DataFrame, nodes: DataFrame, tries: DataFrame, threshold: float, recall: float, depths: list[int]) -> DataFrame:
-    """node, links and hub, as blocks give them."""
+def _found(docs: DataFrame, nodes: DataFrame, tries: DataFrame, threshold: float, recall: float, depths: list[int], repeats: bool) -> DataFrame:
+    """node, links and hub, as blocks give them. repeats: rows may be equal in id and text."""
     buckets = _buckets(tries, depths[-1])
     # A node is tied to the smallest of its hubs (TREES at most), and the others to that one: hubs are few, whatever nodes share them.
     hubs = buckets.groupBy("node").agg(F.collect_set("hub").alias("hubs")).select("node", "hubs", F.array_min("hubs").alias("low"))
@@ -304,6 +306,8 @@ def _found(docs: DataFrame, nodes: DataFrame, tries: DataFrame, threshold: float
     # The texts of candidates only; each text once, from the row of its smallest id.
     wanted = families.select("node").join(nodes, "node")
     own = docs.select("doc_id", "text", _text_key().alias("text_key_"))
+    if repeats:  # each task keeps one of them before texts move
+        own = own.groupBy("doc_id", "text_key_").agg(F.first("text").alias("text"))
     texts = own.join(wanted, own["doc_id"].eqNullSafe(wanted["rep"]) & (own["text_key_"] == wanted["text_key"]))
     sets = materialize(_shingle_sets(texts), "shingle-sets")
     placed = _placed(buckets, families)
@@ -318,6 +322,15 @@ def _found(docs: DataFrame, nodes: DataFrame, tries: DataFrame, threshold: float
     return materialize(_verify(dealt, threshold, recall, depths), "links")
 
 
+def _each_row(rows: DataFrame, of: DataFrame, total: int) -> DataFrame:
+    """rows with what is known of their texts. A text that more than one row in POPULAR has would be a hot key; fewer than POPULAR
+    texts can be so, and these are broadcast."""
+    often = F.col("n_copies") > max(1, total // POPULAR)
+    popular = F.broadcast(of.where(often))
+    others = rows.join(popular.select("text_key"), "text_key", "left_anti")
+    return rows.join(popular, "text_key").unionByName(others.join(of.where(~often), "text_key"))
+
+
 def _classes(docs: DataFrame, threshold: float, recall: float, floor: float) -> DataFrame:
     """doc_id, text_key, class_id, rep and rep_key (smallest id and the text of it in the class), n_copies, n_links of each row."""
     bounded_batches(docs.sparkSession)
@@ -327,7 +340,8 @@ def _classes(docs: DataFrame, threshold: float, recall: float, floor: float) ->
     nodes = worded.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     tries = materialize(forest(nodes, depths[0], depths[-1]), "forest")
-    found = _found(docs, nodes, tries, threshold, recall, depths)
+    repeats = not signed.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    found = _found(docs, nodes, tries, threshold, recall, depths, repeats)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("node").alias("a"), F.col("hub").alias("b")))
     named = materialize(roots.join(nodes.select("node", "rep", "text_key"), "node"), "roots")
@@ -341,7 +355,7 @@ def _classes(docs: DataFrame, threshold: float, recall: float, floor: float) ->
         "text_key", F.when(linked, F.col("class_rep")).otherwise(F.col("rep")).alias("class_id"), F.when(linked, F.col("class_key")).otherwise(F.col("text_key")).alias("rep_key"),
         F.col("copies").alias("n_copies"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
-    joined = worded.select("doc_id", "text_key").join(materialize(of, "classes"), "text_key")
+    joined = _each_row(worded.select("doc_id", "text_key"), materialize(of, "classes"), signed.count())
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     alone = signed.where("signature IS NULL").select("text_key", "doc_id", F.col("doc_id").alias("class_id"), F.col("text_key").alias("rep_key"), one.alias("n_copies"), none.alias("n_links"))
     return joined.unionByName(alone)

@@ -95,3 +95,28 @@ def test_matches_that_overlap_better_ones_go():
             if all(m["end"] <= x["start"] or x["end"] <= m["start"] or shares(x) for x in kept):
                 kept.append(m)
         assert license_scan.apart(found) == sorted(kept, key=lambda x: (x["start"], x["end"], x["license"]))
+
+
+def test_repeated_rows_of_linked_texts_give_their_shingles_once(spark, monkeypatch):
+    words = [f"w{k}" for k in range(60)]
+    near = [" ".join([*words[:k], "other", *words[k + 1 :]]) for k in (0, 59)]
+    rows = [(7, " ".join(words))] * 150 + [(None, near[0])] * 50 + [(9, near[1]), (11, near[1])] + [(k, f"text {k} alone {k * 7} {k * 11}") for k in range(20, 220)]
+    kept, sizes = ngram_join.materialize, {}
+
+    def counted(df, name):
+        out = kept(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", counted)
+    got = ngram_join.similarity_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    linked = {(r.doc_id, r.class_id, r.n_copies, r.n_links) for r in got if r.n_links}
+    assert sizes["shingle-sets"] == 3 and len(got) == len(rows)
+    assert linked == {(7, 7, 150, 201), (None, 7, 50, 201), (9, 7, 2, 201), (11, 7, 2, 201)}
+
+
+def test_popular_texts_are_few_however_many_rows(spark, monkeypatch):
+    rows = [(k, f"text {k // 40 if k < 400 else k} and more") for k in range(1000)]
+    monkeypatch.setattr(ngram_join, "POPULAR", 50)
+    got = ngram_join.similarity_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {(r.doc_id, r.class_id, r.n_copies) for r in got} == {(k, k // 40 * 40 if k < 400 else k, 40 if k < 400 else 1) for k in range(1000)}
