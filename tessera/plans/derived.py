@@ -46,12 +46,31 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.chunk_windows(files(spark, sf_dir))
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A table that is made once a session and data folder, as ingestion does, and read by all queries after that."""
-    tables = spark.__dict__.setdefault("_tessera_tables", {})
-    if (sf_dir, name) not in tables:
-        tables[sf_dir, name] = materialize(make(), name)
-    return tables[sf_dir, name]
+def state(spark: SparkSession, sf_dir: str, *names: str) -> int:
+    """A number that changes when a file of these tables comes, goes, or changes its size or time. Files are listed, not read."""
+    each = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([f"{sf_dir}/{name}.parquet" for name in names])
+    one = F.pmod(F.xxhash64("path", "length", "modificationTime"), F.lit(1 << 31))  # sums of so many files fit
+    return each.agg(F.sum(one).alias("s")).head().s or 0
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object], of: tuple[str, ...] = ("documents",)):
+    """What make gives, made once a session, data folder and state of the tables that it is of."""
+    made, now = spark.__dict__.setdefault("_tessera_kept", {}), state(spark, sf_dir, *of)
+    if (sf_dir, name) not in made or made[sf_dir, name][0] != now:
+        made[sf_dir, name] = now, make()
+    return made[sf_dir, name][1]
+
+
+def rebuild(spark: SparkSession, sf_dir: str | None = None) -> None:
+    """Forgets what is kept of a data folder, or of all, so that the next query makes it anew."""
+    made = spark.__dict__.setdefault("_tessera_kept", {})
+    for key in [k for k in made if sf_dir in (None, k[0])]:
+        del made[key]
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame], of: tuple[str, ...] = ("documents",)) -> DataFrame:
+    """A table that is made once, as ingestion does, and read by all queries until its data change."""
+    return kept(spark, sf_dir, name, lambda: materialize(make(), name), of)
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +99,7 @@ def entity_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_index(spark: SparkSession, sf_dir: str, of: str = "documents"):
-    """The full-text index of documents, chunks or entities, made once a session and data folder."""
+    """The full-text index of documents, chunks or entities, made once while the data stay as they are."""
     from tessera.operators import fulltext
 
     low = lambda text: T.words(F.lower(F.translate(text, ".,", "")))
@@ -89,20 +108,14 @@ def text_index(spark: SparkSession, sf_dir: str, of: str = "documents"):
         "chunks": lambda: chunks(spark, sf_dir).select(F.concat_ws("#", "file", "position").alias("id"), low("text").alias("words")),
         "entities": lambda: mentions(spark, sf_dir).select("entity", "label").distinct().select(F.concat_ws(":", "label", "entity").alias("id"), F.array(F.lower("entity"), F.lower("label")).alias("words")),
     }
-    made = spark.__dict__.setdefault("_tessera_texts", {})
-    if (sf_dir, of) not in made:
-        made[sf_dir, of] = fulltext.build(rows[of]())
-    return made[sf_dir, of]
+    return kept(spark, sf_dir, f"texts of {of}", lambda: fulltext.build(rows[of]()))
 
 
 def vector_index(spark: SparkSession, sf_dir: str):
-    """The index of all vectors, made once a session and data folder."""
+    """The index of all vectors, made once while the data stay as they are."""
     from tessera.operators import vector_index as V
 
-    made = spark.__dict__.setdefault("_tessera_indexes", {})
-    if sf_dir not in made:
-        made[sf_dir] = V.build(vectors(spark, sf_dir))
-    return made[sf_dir]
+    return kept(spark, sf_dir, "vectors", lambda: V.build(vectors(spark, sf_dir)), ("embeddings",))
 
 
 def community_lists(mentions_of: DataFrame) -> DataFrame:
