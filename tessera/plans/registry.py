@@ -29,4 +29,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["vector_topk_docs"](spark, sf_dir)
 
 
-from tessera.plans import curation, graph, ingestion, relations, reporting, retrieval, scalars, sources, subgraph  # noqa: E402,F401  these register their queries
+from tessera.plans import answers, curation, graph, ingestion, relations, reporting, retrieval, scalars, sources, subgraph  # noqa: E402,F401  these register their queries
