@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.streaming.alignment import align as align
+
 
 def transcript_windows(pieces: DataFrame, width: float = 60.0) -> DataFrame:
     """video, start, text -> video, window_no, start, end, text.
@@ -26,21 +25,6 @@ def transcript_windows(pieces: DataFrame, width: float = 60.0) -> DataFrame:
     return of.select("video", "window_no", "start", "end", F.array_join(F.transform("o", lambda x: x.text), " ").alias("text"))
 
 
-def align(chunks: DataFrame, pieces: DataFrame, width: int = 40) -> DataFrame:
-    """video, chunk, start, end: for each chunk (video, chunk: its text) the start of the piece (video, start, text) most like its first
-    characters, and of that most like its last; the earliest of equal ones. Pieces of the chunk's video only are compared."""
-
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype=float)
-
-    like = F.pandas_udf(ratio, "double")
-    plain = lambda c: F.trim(F.replace(c, F.lit("\n"), F.lit(" ")))
-    both = chunks.distinct().join(pieces.select("video", "start", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text")), "video")
-    scored = both.select("video", "chunk", "start", like(plain(F.left("chunk", F.lit(width))), F.col("text")).alias("a"), like(plain(F.right("chunk", F.lit(width))), F.col("text")).alias("b"))
-    best = lambda c: F.max_by("start", F.struct(F.col(c), -F.col("start")))
-    return scored.groupBy("video", "chunk").agg(best("a").alias("start"), best("b").alias("end"))
-
-
 def end_time(start: Column, width: int = 60) -> Column:
     return start + width
 
