@@ -48,9 +48,11 @@ def best_pieces(asked: DataFrame, pieces: DataFrame, block: int = 512) -> DataFr
     """
     kind = dict(pieces.dtypes)["start"]
     placed = pieces.withColumn("bucket", F.floor(F.length("text") / STEP))
-    ranges = placed.groupBy("video", "bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    crowds = asked.groupBy("video").agg(F.ceil(F.count("*") / block).cast("int").alias("crowds"))
+    ranges = placed.groupBy("video", "bucket").agg(F.count("*").alias("n"), F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    crowds = asked.groupBy("video").agg(F.count("*").alias("m"), F.ceil(F.count("*") / block).cast("int").alias("crowds"))
     ranges = materialize(ranges.join(crowds, "video"), "ranges")
+    moved = ranges.agg(F.sum(F.col("n") * F.col("crowds") + F.col("m") * F.col("parts"))).head()[0] or 0
+    packs = F.lit(max(1, moved // (4 * block)))  # small blocks share a call
     guessed = materialize(_guesses(asked, pieces), "guesses")
     n, low = F.length("q"), F.col("bucket") * STEP
     near = F.greatest(low, F.least(n, low + STEP - 1))  # the length in the range that is most like the question's
@@ -60,12 +62,15 @@ def best_pieces(asked: DataFrame, pieces: DataFrame, block: int = 512) -> DataFr
     left = guessed.join(ranges, "video").where(bound >= F.col("least") - 1e-9).select("video", "q", "least", "bucket", part("q", "crowds").alias("crowd"), every("parts").alias("part"))
     right = placed.join(ranges, ["video", "bucket"]).select("video", "text", "start", "bucket", part("text", "parts").alias("part"), every("crowds").alias("crowd"))
 
-    def compared(key, questions: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        texts, starts, sizes, counts = own["text"].tolist(), own["start"].tolist(), own["text"].str.len().to_numpy(), _counts(own["text"].tolist())
-        rows = []
-        for q, least, shared in zip(questions["q"], questions["least"], _counts(questions["q"].tolist())):
+    def compared(questions: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        rows, blocks, of = [], dict(list(own.groupby(block_key))), questions[block_key].itertuples(index=False, name=None)
+        known = {k: (b["text"].tolist(), b["start"].tolist(), b["text"].str.len().to_numpy(), _counts(b["text"].tolist())) for k, b in blocks.items()}
+        for block_of, q, least, shared in zip(of, questions["q"], questions["least"], _counts(questions["q"].tolist())):
+            if block_of not in known:
+                continue
+            texts, starts, sizes, counts = known[block_of]
             total = sizes + len(q)
-            upper = np.where(total > 0, 2.0 * np.minimum(counts, shared).sum(axis=1) / np.maximum(total, 1), 1.0) if len(own) else np.empty(0)
+            upper = np.where(total > 0, 2.0 * np.minimum(counts, shared).sum(axis=1) / np.maximum(total, 1), 1.0)
             best, done = None, 0
             for j in np.argsort(-upper, kind="stable"):
                 if upper[j] < least:
@@ -75,12 +80,13 @@ def best_pieces(asked: DataFrame, pieces: DataFrame, block: int = 512) -> DataFr
                     best = (ratio, starts[j])
                 least = max(least, ratio)
             if best:
-                rows.append((key[0], q, *best, done))
+                rows.append((block_of[0], q, *best, done))
         return pd.DataFrame(rows, columns=["video", "q", "ratio", "start", "compared"])
 
     block_key = ["video", "bucket", "part", "crowd"]
     schema = f"video {dict(asked.dtypes)['video']}, q string, ratio double, start {kind}, compared long"
-    found = left.groupBy(*block_key).cogroup(right.groupBy(*block_key)).applyInPandas(compared, schema)
+    pack = F.pmod(F.xxhash64(*block_key), packs)
+    found = left.groupBy(pack).cogroup(right.groupBy(pack)).applyInPandas(compared, schema)
     return found.groupBy("video", "q").agg(F.max_by("start", F.struct("ratio", -F.col("start"))).alias("start"), F.sum("compared").alias("compared"))
 
 
