@@ -74,3 +74,22 @@ def test_a_triplet_that_the_graph_does_not_have(spark):
     r = spark.createDataFrame([("X", "a", "b")], "type string, src string, dst string")
     with pytest.raises(ValueError, match="no X from B to A"):
         M.match(n, r, M.Pattern((N("p", "B"), N("q", "A")), (E("p", "X", "q"),)))
+
+
+@pytest.mark.parametrize("pattern", [
+    M.Pattern((N("a", "A"), N("n"), N("b", "B")), (E("a", "X", "n"), E("b", "X", "n"))),
+    M.Pattern((N("a"), N("n", "C"), N("b")), (E("a", "X", "n"), E("b", "X", "n"))),
+    M.Pattern((N("a", "A"), N("n"), N("b")), (E("n", "X", "a"), E("n", "Y", "b"))),
+])
+def test_ends_that_meet_are_counted_by_classes(graph, pattern):
+    _, _, n, r = graph
+    want = sorted(tuple(x) for x in M.count_by(M.match(n, r, pattern), "a", "b").collect())
+    assert want and sorted(tuple(x) for x in M.meeting_counts(n, r, pattern).collect()) == want
+
+
+@pytest.mark.parametrize("most", [3, 40, 10_000])
+def test_first_answers(graph, most):
+    _, _, n, r = graph
+    pattern = M.Pattern((N("a"), N("b"), N("c", "C")), (E("a", "X", "b"), E("b", "Y", "c")))
+    got = M.first_answers(n, r, pattern, most, batch=1).collect()
+    assert got == M.answer(M.match(n, r, pattern), most).collect()
