@@ -13,6 +13,8 @@ from tessera.sinks_shared import materialize
 
 #: Characters of a gram, grams that a first guess is made from, and lengths of pieces that share a block.
 GRAM, GUESSES, STEP = 4, 3, 8
+#: Pieces of a video up to which a question is compared without a first guess.
+FEW = 64
 
 
 def _counts(texts: list[str]) -> np.ndarray:
@@ -28,11 +30,16 @@ def _ratio(a: str, b: str) -> float:
 
 
 def _guesses(asked: DataFrame, pieces: DataFrame) -> DataFrame:
-    """asked with least: the best ratio to one piece each of its rarest grams, which the best of all pieces does not fall below."""
+    """asked with least: the best ratio to one piece each of its rarest grams, which the best of all pieces does not fall below; 0 in
+    videos of few pieces, where comparing all takes no more than guessing."""
     grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - GRAM + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(GRAM)))))
-    rare = pieces.select("video", "text", grams("text").alias("gram")).groupBy("video", "gram").agg(F.count("*").alias("n"), F.min("text").alias("text"))
-    met = asked.select("video", "q", grams("q").alias("gram")).join(rare, ["video", "gram"])
-    first = met.withColumn("k", F.row_number().over(Window.partitionBy("video", "q").orderBy("n", "gram"))).where(F.col("k") <= GUESSES).select("video", "q", "text").distinct()
+    # Only hashes move with the grams, of which a text has as many as characters; the few texts that are guessed are looked up.
+    many = pieces.groupBy("video").agg(F.count("*").alias("n")).where(F.col("n") > FEW).select("video")
+    pieces, own = pieces.join(many, "video", "left_semi").withColumn("h", F.xxhash64("text")), asked.join(many, "video", "left_semi")
+    rare = pieces.select("video", "h", grams("text").alias("gram")).groupBy("video", "gram").agg(F.count("*").alias("n"), F.min("h").alias("h"))
+    met = own.select("video", "q", grams("q").alias("gram")).join(rare, ["video", "gram"])
+    first = met.withColumn("k", F.row_number().over(Window.partitionBy("video", "q").orderBy("n", "gram"))).where(F.col("k") <= GUESSES).select("video", "q", "h").distinct()
+    first = first.join(pieces.select("video", "h", "text"), ["video", "h"])
     like = F.pandas_udf(lambda a, b: pd.Series([_ratio(x, y) for x, y in zip(a, b)], dtype=float), "double")
     known = first.select("video", "q", like("q", "text").alias("r")).groupBy("video", "q").agg(F.max("r").alias("least"))
     return asked.join(known, ["video", "q"], "left").fillna(0.0, ["least"])
@@ -42,7 +49,7 @@ def best_pieces(asked: DataFrame, pieces: DataFrame, block: int = 512) -> DataFr
     """video, q, start and compared: for each q (video, q; distinct) the start of the piece (video, text, start; one a text) of its video
     that difflib takes for most like it, the earliest of equal ones, and how many pieces it was compared with in full.
 
-    A first guess by rare grams gives a ratio to reach. Pieces whose length rules that out are not met; the others come in blocks, of a
+    In videos of many pieces a first guess by rare grams gives a ratio to reach. Pieces whose length rules that out are not met; the others come in blocks, of a
     video, a range of lengths and at most about so many pieces and questions, and those whose counts of characters rule it out are not
     compared. Bounds are never below the ratio, so the answer is that of comparing all.
     """

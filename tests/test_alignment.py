@@ -53,3 +53,15 @@ def test_few_pairs_are_compared(spark):
 
 def test_nothing(spark):
     assert A.align(spark.createDataFrame([], "video string, chunk string"), spark.createDataFrame([], "video string, start double, text string")).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 64])
+def test_guesses_move_no_texts_with_their_grams(spark, few, monkeypatch):
+    monkeypatch.setattr(A, "FEW", few)
+    asked = spark.createDataFrame([("v", "the end of it"), ("w", "other")], "video string, q string")
+    pieces = spark.createDataFrame([("v", "x" * 900 + " the end of it", 1.0), ("v", "other", 2.0)], "video string, text string, start double")
+    guessed = A._guesses(asked, pieces)
+    assert {r.video: r.least > 0 for r in guessed.collect()} == {"v": few == 0, "w": False}
+    plan = guessed._jdf.queryExecution().optimizedPlan().toString()
+    counted = next(line for line in plan.splitlines() if "Aggregate [video" in line and "gram" in line)
+    assert "min(h" in counted and "text" not in counted
