@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tessera.sinks_shared import materialize
 
 
+#: Characters of a name that it meets longer ones by.
+HEAD = 6
+
+
 def orphans(entities: DataFrame, rels: DataFrame) -> DataFrame:
     """Entities (node_id) without an edge to another entity."""
     ends = rels.where("src != dst").select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
@@ -21,21 +25,28 @@ def provenance(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     return entities.join(of, "node_id", "left").withColumn("documents", F.coalesce("documents", empty)).withColumn("chunk_connections", F.coalesce("chunk_connections", F.lit(0)))
 
 
-def duplicate_pairs(entities: DataFrame, distance: int = 5, shortest: int = 3, likeness: float = 0.97) -> DataFrame:
+def duplicate_pairs(entities: DataFrame, distance: int | None = 5, shortest: int = 3, likeness: float = 0.97) -> DataFrame:
     """Pairs a < b of entities (label, name, and embedding if there is one) of one label that may be the same: one name contains the
-    other, of at least ``shortest`` characters, or the first name is longer than the distance and their edit distance is below it, or
-    their vectors' scaled similarity is the likeness or more. Names are compared in lower case.
+    other, of at least ``shortest`` characters, or the first name is longer than the distance and their edit distance is below it (a
+    distance of None: not asked), or their vectors' scaled similarity is the likeness or more. Names are compared in lower case.
 
-    Names meet only if they share something: the first characters of a contained name stand in the other; of names within k edits, one of
+    Names meet only if they share something: the first HEAD characters of a contained name, or all of a shorter one, stand in the other; of names within k edits, one of
     the k + 1 even pieces of the first stands in the other, k places away at most. Equal vectors meet by their hash; others by blocks.
     """
     own = entities.select("label", "name", F.lower("name").alias("low"), F.length("name").alias("n"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("n") - shortest + 1), lambda i: F.substring("low", i, F.lit(shortest))))
+    heads = lambda size: F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - size + 1, F.lit(1))), lambda i: F.substring("low", i, F.lit(size)))
+    grams = F.array_distinct(F.flatten(F.array(*(heads(size) for size in range(shortest, max(shortest, HEAD) + 1)))))
     long = own.where(F.col("n") >= shortest)
     outer = long.select("label", F.col("name").alias("x"), F.col("low").alias("x_"), F.explode(grams).alias("gram"))
-    inner = long.select("label", F.col("name").alias("y"), F.col("low").alias("y_"), F.left("low", F.lit(shortest)).alias("gram"))
+    inner = long.select("label", F.col("name").alias("y"), F.col("low").alias("y_"), F.left("low", F.lit(max(shortest, HEAD))).alias("gram"))
     contained = outer.join(inner, ["label", "gram"]).where(F.col("x_").contains(F.col("y_")) & (F.col("x") != F.col("y")))
     contained = contained.select("label", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    out = contained if distance is None else contained.unionByName(_near(own, distance))
+    return (out.unionByName(_alike(entities, likeness)) if "embedding" in entities.columns else out).distinct()
+
+
+def _near(own: DataFrame, distance: int) -> DataFrame:
+    """Pairs within fewer edits than the distance, of own (label, name, low, n)."""
     k = distance - 1
     start = lambda n, i: F.floor(n * i / (k + 1)).cast("int")
     pieces = F.transform(F.sequence(F.lit(0), F.lit(k)), lambda i: F.substring("low", start(F.col("n"), i) + 1, start(F.col("n"), i + 1) - start(F.col("n"), i)))
@@ -45,15 +56,13 @@ def duplicate_pairs(entities: DataFrame, distance: int = 5, shortest: int = 3, l
     at, width = start(F.col("n"), F.col("i")) + F.col("shift"), start(F.col("n"), F.col("i") + 1) - start(F.col("n"), F.col("i"))
     probe = probe.where((at >= 0) & (at + width <= F.col("m"))).select("label", "b", "b_", "n", "i", F.substring("b_", at + 1, width).alias("piece")).distinct()
     near = first.join(probe, ["label", "n", "i", "piece"]).where("a < b").select("label", "a", "a_", "b", "b_").distinct()
-    near = near.where(F.levenshtein("a_", "b_", k).between(0, k)).select("label", "a", "b")
-    out = contained.unionByName(near)
-    return (out.unionByName(_alike(entities, likeness)) if "embedding" in entities.columns else out).distinct()
+    return near.where(F.levenshtein("a_", "b_", k).between(0, k)).select("label", "a", "b")
 
 
 def _alike(entities: DataFrame, likeness: float) -> DataFrame:
     from tessera.operators import vector_index
 
-    own = entities.where("embedding IS NOT NULL").select("label", "name", "embedding", F.xxhash64("label", "name").alias("id"))
+    own = entities.where("embedding IS NOT NULL AND label IS NOT NULL AND name IS NOT NULL").select("label", "name", "embedding", F.xxhash64("label", "name").alias("id"))
     name = lambda i, c: own.select(F.col("id").alias(i), F.col("name").alias(c))
     found = vector_index.pairs(vector_index.build(own), likeness, "label").join(name("id", "a"), "id").join(name("neighbour", "b"), "neighbour")
     return found.select("label", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

@@ -69,7 +69,7 @@ def duplicate_page(spark, sf_dir):
 def duplicate_pairs_by_vectors(spark, sf_dir):
     """Names of one label that contain each other, or whose vectors are alike."""
     own = D.table(spark, sf_dir, "embeddings").select("label", F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("name"), "embedding")
-    return U.duplicate_pairs(own, likeness=0.75)
+    return U.duplicate_pairs(own, distance=None, likeness=0.75)
 
 
 @query("""WITH m AS (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_name) AS kept FROM part)

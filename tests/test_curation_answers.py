@@ -131,3 +131,10 @@ def test_results_are_read_again_and_failures_set_aside(spark, tmp_path):
     assert sinks.read_results(spark, f"{tmp_path}/json", "id int, text string", "json").count() == 4
     good = sinks.set_aside(rows, F.col("text").isNull(), f"{tmp_path}/failed")
     assert [r.id for r in good.collect()] == [1] and [r.id for r in spark.read.parquet(f"{tmp_path}/failed").collect()] == [2]
+
+
+def test_pairs_by_vectors_hold_no_names_that_are_merely_near(spark):
+    rows = [("x", "v10000", [1.0, 0.0]), ("x", "v10001", [0.0, 1.0]), ("x", "v1000", [0.0, -1.0]), ("x", "v7", [1.0, 0.1]), (None, "v8", [1.0, 0.0]), (None, "v9", [1.0, 0.0]), ("x", None, [1.0, 0.0])]
+    own = spark.createDataFrame(rows, "label string, name string, embedding array<float>")
+    got = {tuple(r) for r in curation.duplicate_pairs(own, distance=None, likeness=0.9).collect()}
+    assert got == {("x", "v1000", "v10000"), ("x", "v1000", "v10001"), ("x", "v10000", "v7")}
