@@ -23,21 +23,26 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.retrieval import vector_top
-from tessera.sinks_shared import shared_path
+from tessera.sinks_shared import materialize, shared_path
 
 #: Rows that centroids are fitted on, and cells, at most.
 SAMPLE, CELLS = 20_000, 4096
 #: Sampled rows whose true neighbours are looked up to choose how many cells a search opens.
 ASKED = 200
-#: Rows of one side of a block.
-BLOCK = 2000
+#: Rows of a part of a cell, and of one side of a block, at most: cells share a block, so that vectors are copied once a block.
+BLOCK, SIDE = 2000, 32_768
+#: Scores that a task holds at once, and nearest cells that give a vector its first bound.
+HELD, FIRST = 1 << 22, 4
+#: Candidates of a row from which they are scored row by row.
+MANY = 256
 #: Scores are rounded to four places, so a bound may be short by this.
 SLACK = 1e-4
 
 
 def _units(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Rows of a list column as vectors of length 1."""
-    values = np.array(column.to_pylist(), dtype=np.float64)
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    values = np.asarray(flat.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1) if len(column) else np.zeros(0)
     return values / np.maximum(np.linalg.norm(values, axis=1, keepdims=True), 1e-300) if len(values) else values
 
 
@@ -69,10 +74,11 @@ class VectorIndex:
     radius: np.ndarray
     parts: np.ndarray
     probes: int
+    sizes: np.ndarray
 
     def __reduce__(self):
         """Tasks get the cells; the table stays with the driver."""
-        return VectorIndex, (None, self.centroids, self.radius, self.parts, self.probes)
+        return VectorIndex, (None, self.centroids, self.radius, self.parts, self.probes, self.sizes)
 
     @property
     def dimensions(self) -> int:
@@ -113,12 +119,12 @@ def build(rows: DataFrame, path: str | None = None, cells: int | None = None, re
     placed = real.mapInArrow(assigned, schema)
     placed.write.parquet(f"{path}/assigned")
     placed = spark.read.schema(placed.schema).parquet(f"{path}/assigned")
-    radius, parts = np.zeros(len(centroids)), np.ones(len(centroids), np.int64)
+    radius, parts, sizes = np.zeros(len(centroids)), np.ones(len(centroids), np.int64), np.zeros(len(centroids), np.int64)
     for r in placed.groupBy("cell").agg(F.max("angle").alias("r"), F.count("*").alias("n")).collect():  # a row a cell
-        radius[r.cell], parts[r.cell] = r.r + 1e-9, -(-r.n // BLOCK)
+        radius[r.cell], parts[r.cell], sizes[r.cell] = r.r + 1e-9, -(-r.n // BLOCK), r.n
     part = F.pmod(F.xxhash64("id"), F.get(F.array(*map(F.lit, parts.tolist())), F.col("cell"))).cast("int")
     placed.drop("angle").withColumn("part", part).repartition("cell", "part").write.partitionBy("cell").parquet(f"{path}/cells")
-    about = {"centroids": centroids.tolist(), "radius": radius.tolist(), "parts": parts.tolist(), "probes": len(centroids)}
+    about = {"centroids": centroids.tolist(), "radius": radius.tolist(), "parts": parts.tolist(), "sizes": sizes.tolist(), "probes": len(centroids)}
     index = _opened(spark, path, about)
     about["probes"] = _probes(index, sampled.slice(0, ASKED), recall, k)
     spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.parquet(f"{path}/about")
@@ -127,7 +133,7 @@ def build(rows: DataFrame, path: str | None = None, cells: int | None = None, re
 
 def _opened(spark: SparkSession, path: str, about: dict) -> VectorIndex:
     own = spark.read.parquet(f"{path}/cells")
-    return VectorIndex(own, np.array(about["centroids"]), np.array(about["radius"]), np.array(about["parts"]), about["probes"])
+    return VectorIndex(own, np.array(about["centroids"]), np.array(about["radius"]), np.array(about["parts"]), about["probes"], np.array(about["sizes"]))
 
 
 def load(spark: SparkSession, path: str) -> VectorIndex:
@@ -188,87 +194,206 @@ def search(index: VectorIndex, query: list[float], k: int, least: float = 0.0, e
     return vector_top(index.rows.where(F.col("cell").isin(opened)), query, k, least).drop("cell", "part")
 
 
-def _meet(index: VectorIndex, asks: DataFrame, give, schema: str, more: tuple[str, ...] = ()) -> DataFrame:
-    """Rows asked for (id, embedding, cell) and the members of those cells, block by block; give gets both as tables."""
-    n = asks.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ask_parts"))  # a row a cell
-    sizes = F.broadcast(n)
-    members = F.get(F.array(*map(F.lit, index.parts.tolist())), F.col("cell")).cast("int")
-    left = asks.join(sizes, "cell").select(
-        "cell", "id", "embedding", *more, F.pmod(F.xxhash64("id"), F.col("ask_parts")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), members - 1)).alias("j"), F.lit(0).alias("side")
-    )
-    right = index.rows.join(sizes, "cell").select("cell", "id", "embedding", *more, F.explode(F.sequence(F.lit(0), F.col("ask_parts") - 1)).alias("i"), F.col("part").alias("j"), F.lit(1).alias("side"))
+def _order(centroids: np.ndarray) -> list[int]:
+    """Cells in an order in which neighbours are near: halves by the direction of most spread, and so on."""
+    todo, out = [np.arange(len(centroids))], []
+    while todo:
+        own = todo.pop()
+        if len(own) < 3:
+            out += own.tolist()
+            continue
+        spread = centroids[own] - centroids[own].mean(0)
+        along = spread @ np.linalg.eigh(spread.T @ spread)[1][:, -1]
+        own = own[np.argsort(along, kind="stable")]
+        todo += [own[len(own) // 2 :], own[: len(own) // 2]]
+    return out
+
+
+def _blocks(index: VectorIndex) -> tuple[int, list[list[int]]]:
+    """How many blocks there are, and the block of each part of each cell. A block has at most about SIDE rows, and a sixteenth of all, so that all tasks have some."""
+    side, block, held, of = min(SIDE, max(BLOCK, int(index.sizes.sum()) // 16)), 0, 0, [[] for _ in index.parts]
+    for cell in _order(index.centroids):
+        each = int(index.sizes[cell]) // int(index.parts[cell])
+        for _ in range(int(index.parts[cell])):
+            if held and held + each > side:
+                block, held = block + 1, 0
+            of[cell].append(block)
+            held += each
+    return block + 1, of
+
+
+def _steps(rows: int, columns: int):
+    """Slices of rows of which a task holds all scores at once."""
+    step = max(1, HELD // max(1, columns))
+    return [slice(at, min(at + step, rows)) for at in range(0, rows, step)]
+
+
+def _meet(index: VectorIndex, asks: DataFrame, able, give, schema: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """asks (id, embedding, bar) and the members of blocks of cells, at most SIDE of each side a call of give, which gets both as tables.
+
+    able(vectors, bar) says which cells a vector asks for; it goes once to each block that has one of them.
+    """
+    n, of = _blocks(index)
+    member = np.zeros((len(of), n), np.float32)
+    for cell, blocks in enumerate(of):
+        member[cell, blocks] = 1
+    kinds, names = dict(asks.dtypes), ["id", "embedding", "bar", *more]
+
+    def sent(batches):
+        for b in batches:
+            for own in (b.slice(at, 512) for at in range(0, b.num_rows, 512)):
+                row, block = np.nonzero(able(_units(own.column("embedding")), own.column("bar").to_numpy()).astype(np.float32) @ member > 0)
+                yield pa.RecordBatch.from_arrays([*(own.column(c).take(pa.array(row)) for c in names), pa.array(block, pa.int32())], [*names, "block"])
+
+    left = asks.select(*names).mapInArrow(sent, ", ".join(f"{c} {kinds[c]}" for c in names) + ", block int")
+    parts = max(1, -(-int(index.sizes.sum()) // SIDE), n if n > 1 else 1)  # of the side that asks: no more than its rows
+    left = left.withColumn("i", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("side", F.lit(0)).withColumn("cell", F.lit(-1))
+    place = F.get(F.get(F.array(*(F.array(*map(F.lit, b)) for b in of)), F.col("cell")), F.col("part"))
+    right = index.rows.select("id", "embedding", F.lit(0.0).alias("bar"), *more, place.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("i"), F.lit(1).alias("side"), "cell")
 
     def both(t: pa.Table) -> pa.Table:
         side = t.column("side").to_numpy()
         return give(t.filter(pa.array(side == 0)), t.filter(pa.array(side == 1)))
 
-    return left.unionByName(right).groupBy("cell", "i", "j").applyInArrow(both, schema)
+    return left.unionByName(right).groupBy("block", "i").applyInArrow(both, schema)
 
 
-def _asks(index: VectorIndex, rows: DataFrame, cells, more: tuple[str, ...] = ()) -> DataFrame:
-    """rows (id, embedding) once for each of its cells, a function of vectors and their table."""
-    kinds = dict(rows.dtypes)
-    names = ["id", "embedding", *more]
+def _rounded(likeness: np.ndarray) -> np.ndarray:
+    return np.round((1 + likeness) / 2, 4)
 
-    def each(batches):
-        for b in batches:
-            if b.num_rows:
-                own = cells(_units(b.column("embedding")), b)
-                at = np.repeat(np.arange(len(own)), [len(c) for c in own])
-                cell = np.concatenate(own).astype(np.int32) if len(own) else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(at)) for c in names), pa.array(cell, pa.int32())], [*names, "cell"])
 
-    return rows.mapInArrow(each, ", ".join(f"{c} {kinds[c]}" for c in names) + ", cell int")
+def _near(a: pa.Table, b: pa.Table, least: np.ndarray):
+    """Pieces of the pairs of two tables: rows of each side whose score may be what a row of the first asks for, by single precision, and their
+    exact scores. A piece has HELD pairs at most."""
+    mine, others = _units(a.column("embedding")), _units(b.column("embedding"))
+    rough, all_ = mine.astype(np.float32), others.astype(np.float32).T
+    floor = (2 * least - 1 - 2 * SLACK - 1e-5).astype(np.float32)[:, None]
+    for s in _steps(len(mine), len(others)):
+        x, y = np.nonzero(rough[s] @ all_ >= floor[s])
+        for at in range(0, len(x), HELD // 32):
+            i, j = x[at : at + HELD // 32] + s.start, y[at : at + HELD // 32]
+            yield i, j, _rounded(np.einsum("ij,ij->i", mine[i], others[j]))
 
 
-def neighbours(index: VectorIndex, k: int, least: float = 0.0, exact: bool = False, probes: int | None = None) -> DataFrame:
-    """id, neighbour, score: for each row of the index its k most similar others, of scaled similarity least or more; ties by id."""
+def _best(k: int, least: float, allowed=None):
+    """give of _meet: the k best of each asking row in a block. allowed(vectors, bar, cells): which members may be given."""
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
-        out = {"id": [], "neighbour": [], "score": []}
+        out = {"id": [np.zeros(0, np.int64)], "neighbour": [np.zeros(0, np.int64)], "score": [np.zeros(0)]}
         if a.num_rows and b.num_rows:
-            ids, others = a.column("id").to_numpy(), b.column("id").to_numpy()
-            score = np.round((1 + _units(a.column("embedding")) @ _units(b.column("embedding")).T) / 2, 4)
-            score[ids[:, None] == others[None, :]] = -1
-            order = np.lexsort((np.broadcast_to(others, score.shape), -score), axis=1)[:, :k]
-            for row, at in enumerate(order):
-                at = at[score[row, at] >= max(least, 0)]
-                out["id"] += [int(ids[row])] * len(at)
-                out["neighbour"] += others[at].tolist()
-                out["score"] += score[row, at].tolist()
-        return pa.table({"id": pa.array(out["id"], pa.int64()), "neighbour": pa.array(out["neighbour"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
+            b = b.take(pa.array(np.argsort(b.column("id").to_numpy(), kind="stable")))  # of equal scores the first is the smallest id
+            ids, others, cells = a.column("id").to_numpy(), b.column("id").to_numpy(), b.column("cell").to_numpy()
+            mine, theirs, bar = _units(a.column("embedding")), _units(b.column("embedding")), a.column("bar").to_numpy()
+            rough, all_ = mine.astype(np.float32), theirs.astype(np.float32).T
+            for s in _steps(len(mine), len(theirs)):
+                floor = np.maximum(bar[s], least)
+                may = rough[s] @ all_ >= (2 * floor - 1 - 2 * SLACK - 1e-5).astype(np.float32)[:, None]
+                if allowed is not None:
+                    may &= allowed(mine[s], bar[s])[:, cells]
+                many = may.sum(1) > MANY
+                for row in np.flatnonzero(many):  # a bound that rules little out, as at first and among copies
+                    own = np.flatnonzero(may[row])
+                    score = _rounded(theirs[own] @ mine[s.start + row])
+                    score[others[own] == ids[s.start + row]] = -1
+                    low = np.partition(score, -min(k, len(score)))[-min(k, len(score))]
+                    at = np.flatnonzero(score >= max(least, low, 0))
+                    at = at[np.argsort(-score[at], kind="stable")[:k]]
+                    for c, v in (("id", np.full(len(at), ids[s.start + row])), ("neighbour", others[own[at]]), ("score", score[at])):
+                        out[c].append(v)
+                x, y = np.nonzero(may & ~many[:, None])
+                score = _rounded(np.einsum("ij,ij->i", mine[s][x], theirs[y]))
+                ok = (score >= max(least, 0)) & (ids[s][x] != others[y])
+                for c, v in (("id", ids[s][x[ok]]), ("neighbour", others[y[ok]]), ("score", score[ok])):
+                    out[c].append(v)
+        return pa.table({c: pa.array(np.concatenate(v), pa.float64() if c == "score" else pa.int64()) for c, v in out.items()})
+
+    return best
+
 
+def neighbours(index: VectorIndex, k: int, least: float = 0.0, exact: bool = False, probes: int | None = None) -> DataFrame:
+    """id, neighbour, score: for each row of the index its k most similar others, of scaled similarity least or more; ties by id.
+
+    A few of the nearest cells give each row a k-th score to reach. All cells that are opened, or all that can hold better, are then met in
+    blocks, where single precision rules out what is below that score; what is left is scored exactly.
+    """
     schema, own = "id long, neighbour long, score double", index.rows.select("id", "embedding")
-    found = _meet(index, _asks(index, own, lambda v, _: index.nearest(v, probes)), best, schema)
     w = Window.partitionBy("id").orderBy(F.desc("score"), "neighbour")
     top = lambda df: df.withColumn("n_", F.row_number().over(w)).where(F.col("n_") <= k).drop("n_")
-    if not exact:
-        return top(found)
-    kth = top(found).groupBy("id").agg(F.when(F.count("*") == k, F.min("score")).otherwise(least).alias("needed"))
-    needed = own.join(kth, "id", "left").withColumn("needed", F.coalesce("needed", F.lit(least)))
+    opened = min(probes or index.probes, len(index.centroids))
+
+    def cells(count: int):
+        def able(vectors: np.ndarray, _: np.ndarray) -> np.ndarray:
+            likeness = vectors @ index.centroids.T
+            return likeness >= -np.partition(-likeness, count - 1, axis=1)[:, count - 1 : count] - 1e-9
+
+        return able
+
+    first = min(opened, FIRST)
+    found = top(_meet(index, own.withColumn("bar", F.lit(0.0)), cells(first), _best(k, least, cells(first)), schema))
+    if first == opened and not exact:
+        return found
+    kth = found.groupBy("id").agg(F.when(F.count("*") == k, F.min("score")).otherwise(least).alias("bar"))
+    needed = materialize(own.join(kth, "id", "left").withColumn("bar", F.coalesce("bar", F.lit(float(least)))), "bounds")
+    reach = lambda vectors, bar: index.reach(vectors) >= bar[:, None] - SLACK
+    if exact:
+        return top(_meet(index, needed, reach, _best(k, least), schema))
+    both = lambda vectors, bar: reach(vectors, bar) & cells(opened)(vectors, bar)
+    return top(_meet(index, needed, both, _best(k, least, cells(opened)), schema))
 
-    def missing(vectors: np.ndarray, b: pa.RecordBatch) -> list[np.ndarray]:
-        able = index.reach(vectors) >= b.column("needed").to_numpy()[:, None] - SLACK
-        np.put_along_axis(able, index.nearest(vectors, probes), False, axis=1)
-        return [np.flatnonzero(row) for row in able]
 
-    return top(found.unionByName(_meet(index, _asks(index, needed, missing), best, schema)))
+def _pairs(index: VectorIndex, least: float, within: str | None, found, schema: str) -> DataFrame:
+    more = (within,) if within else ()
+    able = lambda v, _: index.reach(v) >= least - SLACK
+    return _meet(index, index.rows.select("id", "embedding", F.lit(0.0).alias("bar"), *more), able, found, schema, more)
+
+
+def _alike(a: pa.Table, b: pa.Table, least: float, within: str | None):
+    """Pieces of the pairs id < neighbour of two tables that are alike: their rows and scores."""
+    if not a.num_rows or not b.num_rows:
+        return
+    ids, others = a.column("id").to_numpy(), b.column("id").to_numpy()
+    if within:
+        code = {v: n for n, v in enumerate({*a.column(within).to_pylist(), *b.column(within).to_pylist()} - {None})}
+        mine, theirs = (np.array([code.get(v, -1) for v in t.column(within).to_pylist()]) for t in (a, b))
+    for x, y, score in _near(a, b, np.full(len(ids), least)):
+        ok = (score >= least) & (ids[x] < others[y])
+        if within:
+            ok &= (mine[x] == theirs[y]) & (mine[x] >= 0)
+        yield x[ok], y[ok], score[ok]
 
 
 def pairs(index: VectorIndex, least: float, within: str | None = None) -> DataFrame:
     """id, neighbour and score of all pairs id < neighbour of scaled similarity least or more, exactly; within: a column that both
-    share. Only cells that can hold such a partner are opened."""
-    more = (within,) if within else ()
+    share, which null is not. Only blocks that can hold such a partner are met."""
 
     def found(a: pa.Table, b: pa.Table) -> pa.Table:
-        ids, others = a.column("id").to_numpy(), b.column("id").to_numpy()
-        score = np.round((1 + _units(a.column("embedding")) @ _units(b.column("embedding")).T) / 2, 4) if len(ids) and len(others) else np.zeros((len(ids), len(others)))
-        ok = (score >= least) & (ids[:, None] < others[None, :])
-        if within:
-            ok &= np.array(a.column(within).to_pylist(), object)[:, None] == np.array(b.column(within).to_pylist(), object)[None, :]
-        x, y = np.nonzero(ok)
-        return pa.table({"id": ids[x], "neighbour": others[y], "score": score[x, y]} | ({within: a.column(within).take(pa.array(x))} if within else {}))
+        own = [*_alike(a, b, least, within)] or [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        x, y, score = (np.concatenate(v) for v in zip(*own))
+        out = {"id": a.column("id").take(pa.array(x)), "neighbour": b.column("id").take(pa.array(y)), "score": score}
+        return pa.table(out | ({within: a.column(within).take(pa.array(x))} if within else {}))
 
-    able = lambda v, _: [np.flatnonzero(row) for row in index.reach(v) >= least - SLACK]
     schema = "id long, neighbour long, score double" + (f", {within} {dict(index.rows.dtypes)[within]}" if within else "")
-    return _meet(index, _asks(index, index.rows.select("id", "embedding", *more), able, more), found, schema, more)
+    return _pairs(index, least, within, found, schema)
+
+
+def links(index: VectorIndex, least: float) -> DataFrame:
+    """id and neighbour of as many pairs of scaled similarity least or more as connect what all such pairs do: of each block a forest, so
+    that there are no more than rows in it however many are alike."""
+
+    def forest(a: pa.Table, b: pa.Table) -> pa.Table:
+        ids = np.unique(np.concatenate([a.column("id").to_numpy(), b.column("id").to_numpy()]))
+        root = np.arange(len(ids))
+        at = [np.searchsorted(ids, t.column("id").to_numpy()) for t in (a, b)]
+        for x, y, _ in _alike(a, b, least, None):
+            x, y = at[0][x], at[1][y]
+            while len(x):
+                x, y = root[x], root[y]
+                apart = x != y
+                x, y = x[apart], y[apart]
+                np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+                while (root[root] != root).any():
+                    root = root[root]
+        tied = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.table({"id": ids[root[tied]], "neighbour": ids[tied]})
+
+    return _pairs(index, least, None, forest, "id long, neighbour long")

@@ -87,3 +87,24 @@ def test_least_and_nothing(spark):
     with pytest.raises(ValueError):
         V.build(one.limit(0))
     assert retrieval.nearest_neighbours(one, 3).count() == 0
+
+
+def test_vectors_are_copied_once_a_block_and_not_a_cell(spark):
+    rows, score = table(spark, n=900, copies=300)
+    index = V.build(rows, cells=200)
+    assert V._blocks(index)[0] < 20 and {tuple(r) for r in V.neighbours(index, 5, exact=True).collect()} == true_neighbours(score, 5)
+
+
+def test_links_are_a_forest_of_each_block(spark):
+    rows, score = table(spark, n=500, copies=300)
+    index = V.build(rows)
+    got = [(r.id, r.neighbour) for r in V.links(index, 0.9).collect()]
+    groups = {i: {i} for i in range(500)}
+    for i, j in got:
+        if groups[i] is not groups[j]:
+            groups[i] |= groups[j]
+            for x in groups[j]:
+                groups[x] = groups[i]
+    assert all(score[i, j] < 0.9 or groups[i] is groups[j] for i in range(500) for j in range(i))
+    assert all(any(score[i, j] >= 0.9 for j in groups[i] if j != i) for i in range(500) if len(groups[i]) > 1)
+    assert len(got) < 500 * V._blocks(index)[0] < (score >= 0.9).sum() / 2
