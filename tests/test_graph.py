@@ -247,3 +247,11 @@ def test_merges_follow_chains(spark):
     assert U.closed(spark.createDataFrame([], "old string, kept string")).count() == 0
     with pytest.raises(ValueError):
         U.closed(spark.createDataFrame([("a", "b"), ("b", "a")], "old string, kept string"))
+
+
+def test_edges_are_not_dealt_by_type(spark):
+    rels = spark.createDataFrame([("X", "a", "b"), ("Y", "a", "b"), ("Z", "a", "b")], "type string, src string, dst string")
+    own = G.rename_types(rels, spark.createDataFrame([("X", "Y")], "old string, new string"))
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert sorted(own.collect()) == [("Y", "a", "b"), ("Z", "a", "b")]
