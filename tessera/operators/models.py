@@ -21,8 +21,8 @@ Writer = Callable[[Column], Column]
 
 def capitalized_words(text: Column) -> Column:
     """Capitalized ASCII words of four letters or more, with their places."""
-    words = F.transform(F.split(text, " "), lambda w, i: F.struct(i.alias("place"), F.regexp_replace(w, "[^A-Za-z]", "").alias("entity")))
-    return F.filter(words, lambda x: x.entity.rlike("^[A-Z][a-z]{3,}$"))
+    words = F.filter(F.transform(F.split(text, " "), lambda w, i: F.struct(i.alias("place"), w.alias("entity"))), lambda x: T.entity_like(x.entity))
+    return F.filter(F.transform(words, lambda x: F.struct(x.place.alias("place"), T.letters(x.entity).alias("entity"))), lambda x: F.length(x.entity) > 3)
 
 
 def word_counts(text: Column) -> Column:

@@ -51,7 +51,9 @@ def triples(chunks: DataFrame, window: int = 8, labels: list[str] = (), allowed:
     each entity with at most window others, and one aggregation counts pairs, entities and files; texts are not moved. Null and empty
     texts have no entities, a null file is a file, and repeated chunks count again in n but not in docs.
     """
-    words = F.split("text", " ")
+    # The words are a column, so that they are cut once a chunk and not once an entity.
+    texts = chunks.select("file", "text", F.split("text", " ").alias("words"))
+    words = F.col("words")
     found = F.transform(extractor(F.col("text")), lambda x: F.struct(x.place.alias("place"), x.entity.alias("entity"), entity_label(x.entity).alias("label"), namer(words, x.place).alias("via")))
     if labels:
         found = F.filter(found, lambda x: F.lower(x.label).isin(*(v.lower() for v in labels)))
@@ -70,11 +72,12 @@ def triples(chunks: DataFrame, window: int = 8, labels: list[str] = (), allowed:
             each = F.filter(each, lambda t: _low(t.source_label, t.type, t.target_label).isin(*("\n".join(t).lower() for t in allowed)))
         return each
 
-    sorted_ = chunks.select("file", F.array_sort(found).alias("m")).where(F.size("m") > 0)
+    sorted_ = texts.select("file", F.array_sort(found).alias("m"))
     # Of one kind each: triples, entities (no type), and one row a chunk without either, which counts the files.
     entities = F.transform("m", lambda x: row(x.entity, x.label, none, none, none))
     marks = F.array(row(none, none, none, none, none))
-    each = sorted_.select("file", F.explode(F.concat(pairs(F.col("m")), entities, marks)).alias("t")).select("file", "t.*")
+    # A condition on the number of entities would be put before the entities and find them twice.
+    each = sorted_.select("file", F.explode(F.when(F.size("m") > 0, F.concat(pairs(F.col("m")), entities, marks))).alias("t")).select("file", "t.*")
     keys = ["source", "source_label", "type", "target", "target_label"]
     counted = each.groupBy("file", *keys).agg(F.count("*").alias("n")).groupBy(*keys).agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
     counted = materialize(counted, "triples")

@@ -10,7 +10,7 @@ from tessera.functions.vectors import cosine, hashed_embedding, scaled
 from tessera.operators import communities as C
 from tessera.operators import curation as U
 from tessera.operators import graph as G
-from tessera.operators import ingest
+from tessera.operators import ingest, models
 from tessera.operators import reporting as P
 
 
@@ -255,3 +255,17 @@ def test_edges_are_not_dealt_by_type(spark):
     plan = own._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
     assert sorted(own.collect()) == [("Y", "a", "b"), ("Z", "a", "b")]
+
+
+def test_words_and_entities_by_one_pass_are_as_before(spark):
+    texts = ["", " ", "\t\r\n", None, "a  b\tc\r\nd", "\"it's\" 'a\n\n b'", "x\"\n'y z ", " a b\x0bc", "Alice, (Bob1by) a-L-i-c-e A1l2i3c4e É'Éclair Paris\n", "ABcd aBcde Abc Abcd 1A2b3c4d Xéyzw", "A" + "b" * 20_000]
+    own = spark.createDataFrame([(f"f{k}", t) for k, t in enumerate(texts)], "file string, text string")
+    before = F.array_remove(F.split(T.collapse(T.clean(F.col("text"))), " "), "")
+    assert own.where(~T.words(F.col("text")).eqNullSafe(before)).count() == 0
+    chunks = ingest.chunk_windows(own)
+    at = chunks.select("file", F.posexplode(F.split("text", " ")).alias("place", "word")).withColumn("entity", F.regexp_replace("word", "[^A-Za-z]", ""))
+    want = {(r.file, r.place, r.entity) for r in at.where(F.col("entity").rlike("^[A-Z][a-z]{3,}$")).collect()}
+    assert len(want) > 6 and {(r.file, r.place, r.entity) for r in ingest.entity_mentions(chunks).collect()} == want
+    assert {(r.file, r.place, r.entity) for r in models.extract(chunks).collect()} == want
+    # The words of a text are cut once: nothing that is asked of them is put before them.
+    assert chunks._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(text") == 1

@@ -3,6 +3,7 @@
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import relations as R
 
@@ -74,3 +75,16 @@ def test_schemas(spark):
     found = spark.createDataFrame([("P", "KNOW", "P"), ("P", "KNOWS", "P"), ("P", "KNOW", "C")], "source_label string, type string, target_label string")
     assert {tuple(r) for r in R.infer_schema(found, 1).collect()} == {("P-KNOW->P", 1), ("P-KNOWS->P", 1), ("P-KNOW->C", 1)}
     assert {tuple(r) for r in R.schema_among(found, ["P"], ["KNOW"]).collect()} == {("P-KNOW->P", 1)}
+
+
+def test_entities_of_a_chunk_are_found_once(spark):
+    """Finding them may be a model's work, so a condition on their number must not find them again."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def find(text):
+        calls.add(1)
+        return [(k, w) for k, w in enumerate(text.split(" ")) if w.istitle()]
+
+    rows = [(f"f{k % 7}", f"Alice met Carol{'abc'[k % 3]}") for k in range(30)]
+    found = R.triples(spark.createDataFrame(rows, "file string, text string"), extractor=F.udf(find, "array<struct<place int, entity string>>"))
+    assert found.count() == 3 and calls.value == len(rows)
