@@ -117,11 +117,12 @@ def infer_schema(found: DataFrame, least_docs: int = 2, general: bool = False) -
 
 
 def described_schema(texts: DataFrame, text: str = "text") -> DataFrame:
-    """triplet and n: the relations that descriptions state, in either notation, whatever markup is around them."""
+    """triplet and n: the relations that descriptions state, in either notation, whatever markup is around them. Equal texts are read once."""
     part = lambda g: F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_DESCRIBED), F.lit(g))
     zipped = F.arrays_zip(part(1).alias("source_label"), part(2).alias("type"), part(3).alias("target_label"))
-    rows = texts.select(F.explode(zipped).alias("t")).select(*(F.col("t").getField(k).alias(k) for k in ("source_label", "type", "target_label")))
-    return rows.groupBy(_triplet().alias("triplet")).agg(F.count("*").alias("n"))
+    each = texts.groupBy(text).agg(F.count("*").alias("copies"))
+    rows = each.select("copies", F.explode(zipped).alias("t")).select("copies", *(F.col("t").getField(k).alias(k) for k in ("source_label", "type", "target_label")))
+    return rows.groupBy(_triplet().alias("triplet")).agg(F.sum("copies").alias("n"))
 
 
 def schema_among(found: DataFrame, labels: list[str], types: list[str]) -> DataFrame:

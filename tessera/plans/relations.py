@@ -69,7 +69,8 @@ def schema_of_lists(spark, sf_dir):
 @query(D.sql("SELECT string_split(src, ':')[1] || '-' || type || '->' || string_split(dst, ':')[1] AS triplet, count(*) AS n FROM rels GROUP BY ALL", "rels"))
 def described_schema(spark, sf_dir):
     """The schema read from descriptions of all relations of the business graph, written in two notations by turns."""
-    label = lambda c: F.split(c, ":")[0]
+    label = lambda c: F.substring_index(c, ":", 1)
     rows = D.rels(spark, sf_dir).select(label(F.col("src")).alias("a"), "type", label(F.col("dst")).alias("b"), (F.crc32(F.col("dst").cast("binary")) % 2 == 0).alias("turn"))
-    drawn = F.format_string("MATCH (x:%s)-[r:%s]->(y:%s) RETURN x; // drawn", "a", "type", "b")
-    return R.described_schema(rows.select(F.when(F.col("turn"), drawn).otherwise(F.format_string('* "%s" -%s-> "%s", as stated', "a", "type", "b")).alias("text")))
+    told = lambda *parts: F.concat(*(F.col(x) if k % 2 else F.lit(x) for k, x in enumerate(parts)))
+    drawn, stated = told("MATCH (x:", "a", ")-[r:", "type", "]->(y:", "b", ") RETURN x; // drawn"), told('* "', "a", '" -', "type", '-> "', "b", '", as stated')
+    return R.described_schema(rows.select(F.when(F.col("turn"), drawn).otherwise(stated).alias("text")))

@@ -88,3 +88,12 @@ def test_entities_of_a_chunk_are_found_once(spark):
     rows = [(f"f{k % 7}", f"Alice met Carol{'abc'[k % 3]}") for k in range(30)]
     found = R.triples(spark.createDataFrame(rows, "file string, text string"), extractor=F.udf(find, "array<struct<place int, entity string>>"))
     assert found.count() == 3 and calls.value == len(rows)
+
+
+def test_equal_descriptions_are_read_once(spark):
+    """The notation is looked for behind the count of equal texts, so its work does not grow with their copies."""
+    texts = ["A-R->B and A-S->B", None, "(:A)-[:R]->(:B)", "nothing"]
+    found = R.described_schema(spark.createDataFrame([(t,) for t in texts * 20], "text string"))
+    assert {tuple(r) for r in found.collect()} == {("A-R->B", 40), ("A-S->B", 20)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert max(k for k, line in enumerate(plan) if "regexp_extract_all" in line) < max(k for k, line in enumerate(plan) if "Aggregate" in line)
