@@ -269,3 +269,15 @@ def test_words_and_entities_by_one_pass_are_as_before(spark):
     assert {(r.file, r.place, r.entity) for r in models.extract(chunks).collect()} == want
     # The words of a text are cut once: nothing that is asked of them is put before them.
     assert chunks._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(text") == 1
+
+
+@pytest.mark.parametrize("few", [0, 2, 3, 100])
+def test_induced_edges_by_the_ends_that_are_no_nodes(spark, few):
+    nodes = spark.createDataFrame([(x,) for x in "abcdeea"], "node_id string")
+    rows = [("R", "a", "b"), ("R", "a", "b"), ("S", "a", "x"), ("S", "y", "b"), ("R", "x", "y"), ("R", "c", "c"), ("R", None, "a"), ("R", "a", None), ("S", "d", "e"), ("R", "z", "z")]
+    rels = spark.createDataFrame(rows, "type string, src string, dst string")
+    want = sorted(r for r in rows if r[1] and r[2] and {r[1], r[2]} <= set("abcde"))
+    assert sorted(map(tuple, G.induced(rels, nodes, few=few).collect())) == want
+    assert sorted(map(tuple, G.induced(rels, nodes, F.col("type") == "R", few=few).collect())) == [r for r in want if r[0] == "R"]
+    if few == 3:  # x, y and z are no nodes: edges are not moved
+        assert "Exchange hashpartitioning(src" not in G.induced(rels, nodes, few=few)._jdf.queryExecution().executedPlan().toString()
