@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import communities as C
 from tessera.operators import curation as U
+from tessera.operators import ingest
 from tessera.operators import models as M
 from tessera.operators import reporting as P
 from tessera.operators import subgraph as S
@@ -24,9 +25,14 @@ def _files(spark):
     return spark.createDataFrame([(x,) for x in FILES], "file string")
 
 
+def _texts(spark, sf_dir):
+    """The chosen files with their texts, of which alone chunks are cut."""
+    return D.files(spark, sf_dir).join(F.broadcast(_files(spark)), "file", "left_semi")
+
+
 def _subgraph(spark, sf_dir):
-    m = D.mentions(spark, sf_dir)
-    return S.document_subgraph(D.files(spark, sf_dir).join(_files(spark), "file", "left_semi").select("file"), D.chunks(spark, sf_dir), m, D.edges(spark, sf_dir), D.community_lists(m))
+    m, own = D.mentions(spark, sf_dir), _texts(spark, sf_dir)
+    return S.document_subgraph(own.select("file"), ingest.chunk_windows(own), m, D.edges(spark, sf_dir), D.community_lists(m))
 
 
 @query(D.sql(f"""SELECT 'Document' AS type, file AS a FROM words WHERE file IN {tuple(FILES)} UNION SELECT 'Chunk', chunk_id FROM sel UNION SELECT 'Entity', entity FROM ent UNION SELECT 'Community', community FROM lv""", "edges", "lists", also=_SELECTED))
@@ -51,7 +57,7 @@ _ANSWER = f"""used AS (SELECT DISTINCT chunk_id FROM chunks WHERE file IN {tuple
 
 
 def _used(spark, sf_dir):
-    return D.chunks(spark, sf_dir).join(_files(spark), "file", "left_semi").where("position <= 2").select("chunk_id").distinct()
+    return ingest.chunk_windows(_texts(spark, sf_dir)).where("position <= 2").select("chunk_id").distinct()
 
 
 @query(D.sql("""SELECT 'Chunk' AS type, chunk_id AS a, '' AS b FROM used UNION SELECT 'Entity', entity, '' FROM has UNION SELECT 'HAS_ENTITY', chunk_id, entity FROM has

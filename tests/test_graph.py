@@ -281,3 +281,13 @@ def test_induced_edges_by_the_ends_that_are_no_nodes(spark, few):
     assert sorted(map(tuple, G.induced(rels, nodes, F.col("type") == "R", few=few).collect())) == [r for r in want if r[0] == "R"]
     if few == 3:  # x, y and z are no nodes: edges are not moved
         assert "Exchange hashpartitioning(src" not in G.induced(rels, nodes, few=few)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_chosen_documents_are_cut(spark):
+    """Files are chosen before their words are cut, so the work does not grow with the other texts."""
+    from tessera.plans import subgraph
+
+    for chunks in (subgraph._used(spark, "/root/testdata/sf0.001"), subgraph._subgraph(spark, "/root/testdata/sf0.001")[1]):
+        plan = chunks._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        cut = [k for k, line in enumerate(plan) if "regexp_replace(text" in line]
+        assert cut and all("Join LeftSemi" in plan[k + 1] or "Join LeftSemi" in plan[k + 2] for k in cut)
