@@ -291,3 +291,11 @@ def test_only_chosen_documents_are_cut(spark):
         plan = chunks._jdf.queryExecution().optimizedPlan().toString().splitlines()
         cut = [k for k, line in enumerate(plan) if "regexp_replace(text" in line]
         assert cut and all("Join LeftSemi" in plan[k + 1] or "Join LeftSemi" in plan[k + 2] for k in cut)
+
+
+def test_tables_of_nodes_do_not_pass_the_driver(spark):
+    """Detection joins tables of nodes by their keys: a broadcast would gather them on the driver in each round."""
+    edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (4, 5, 2.0)], "source long, target long, weight double")
+    own = spark.createDataFrame([(k, k) for k in range(1, 6)], "node long, community long")
+    assert "BroadcastExchange" not in C._move(edges, own, 0, 4.0)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in C.connected_parts(edges, own)._jdf.queryExecution().executedPlan().toString()
