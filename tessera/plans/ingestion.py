@@ -61,7 +61,7 @@ def entity_mentions(spark, sf_dir):
 
 @query(D.sql("SELECT least(entity, next) AS source, greatest(entity, next) AS target, count(*) AS weight FROM pairs GROUP BY ALL", "pairs"))
 def cooccurrence_edges(spark, sf_dir):
-    return ingest.mention_edges(D.mentions(spark, sf_dir))
+    return D.edges(spark, sf_dir)
 
 
 @query(D.sql("""SELECT c.file, c.chunk_nodes, coalesce(e.entity_nodes, 0) AS entity_nodes, coalesce(r.entity_rels, 0) AS entity_rels, c.part_of + c.last + coalesce(e.has_entity, 0) AS chunk_rels,

@@ -299,3 +299,23 @@ def test_tables_of_nodes_do_not_pass_the_driver(spark):
     own = spark.createDataFrame([(k, k) for k in range(1, 6)], "node long, community long")
     assert "BroadcastExchange" not in C._move(edges, own, 0, 4.0)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in C.connected_parts(edges, own)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edges_of_texts_are_those_of_their_chunks(spark):
+    """Without mentions: only pairs are moved, once counted, unless a file is in several rows."""
+    draw = random.Random(7)
+    names = ["Alice", "Bobby", "O'Carol", "(Dora)", "\"Emma\"", "Zed-Al", "{Gina", "Hu\x0bgo", "É1Fgh", "ABcde", "Xyz"]
+
+    def text(n, share):
+        return "".join((draw.choice(names) if draw.random() < share else "w") + draw.choice([" ", "  ", "\n", "\t\r\n"]) for _ in range(n))
+
+    rows = [(f"f{n}-{share}", text(n, share)) for n in (0, 1, 19, 20, 21, 99, 100, 101, 119, 120, 121, 180, 181, 500) for share in (0.03, 0.3, 0.9)] + [("null", None), ("blank", " \"\n")]
+    again = [("x", "Alice a Carol"), ("x", "w Bobby w w Dora"), (None, "Alice w Bobby"), (None, "w Carol w Dora w"), (None, "")]
+    for own in (rows, rows + again):
+        docs = spark.createDataFrame(own, "file string, text string")
+        for size, overlap in ((100, 20), (5, 4)):
+            want = ingest.mention_edges(ingest.entity_mentions(ingest.chunk_windows(docs, size, overlap)))
+            got = ingest.text_edges(docs, size, overlap)
+            assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+    plan = ingest.text_edges(spark.createDataFrame(rows, "file string, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 1 and plan.count("split(") == 1 and plan.count("RLIKE") == 1

@@ -26,3 +26,15 @@ def test_state_of_no_files_changes_with_the_first(spark, tmp_path):
     before = D.state(spark, f"file://{tmp_path}", "documents")
     write(spark, tmp_path, ["Alice"])
     assert before == 0 != D.state(spark, f"file://{tmp_path}", "documents")
+
+
+def test_edges_need_no_mentions_and_use_those_that_are_kept(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    write(spark, folder, ["Alice met Maria", "", "Maria saw Alice and Robert"])
+    got = sorted(map(tuple, D.edges(spark, folder).collect()))
+    assert got == [("Alice", "Maria", 2), ("Alice", "Robert", 1)] and not D.is_kept(spark, folder, "mentions")
+    D.rebuild(spark, folder)
+    D.mentions(spark, folder)
+    assert D.is_kept(spark, folder, "mentions") and sorted(map(tuple, D.edges(spark, folder).collect())) == got
+    write(spark, folder, ["Robert met Alice"])
+    assert not D.is_kept(spark, folder, "mentions")
